@@ -1,5 +1,133 @@
-"""placeholder"""
-from tierbook.operators.query import page, text_filter
-KEY_TEXT_COLUMNS = ["patientName", "anonPatientName", "patientID", "anonPatientID", "studyInstanceUID", "anonStudyInstanceUID", "seriesInstanceUID", "anonSeriesInstanceUID", "sopInstanceUID", "anonSOPInstanceUID"]
-def list_keys(keys, text=None, order_by=None, ascending=True, start=0, count=None):
-    return page(text_filter(keys, KEY_TEXT_COLUMNS, text, prefix=True), order_by, ascending, start, count)
+"""Anonymization keys: lookup per level, matching, harmonised insert, purge.
+
+A key row pairs the five real identity values of an image with the anonymous ones; further attribute pairs hang below it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tierbook import schema as S
+from tierbook.operators.query import Predicate, all_of, check_column, page, text_filter
+
+REAL = ["patientName", "patientID", "studyInstanceUID", "seriesInstanceUID", "sopInstanceUID"]
+ANON = ["anon" + ("SOP" + c[3:] if c.startswith("sop") else c[0].upper() + c[1:]) for c in REAL]
+DEPTH = {"IMAGE": 5, "SERIES": 4, "STUDY": 3, "PATIENT": 2}
+IDENTITY_PATHS = [S.TAG_TEXT[k] for k, _ in S.IDENTITY]
+VALUE_LEVEL = {S.TAG_TEXT[k]: S.LEVEL_RANK[lv] for k, lv in S.MANDATORY_VALUES + S.OPTIONAL_VALUES}
+
+
+def list_keys(keys: DataFrame, text: str | None = None, order_by: str | None = None, ascending: bool = True,
+              start: int = 0, count: int | None = None) -> DataFrame:
+    """Free text matches the beginning of any identity column, case ignored."""
+    columns = [c for pair in zip(REAL, ANON, strict=True) for c in pair]
+    return page(text_filter(keys, columns, text, prefix=True), order_by, ascending, start, count)
+
+
+def query_keys(keys: DataFrame, predicates: tuple[Predicate, ...], order_by: str | None = None, ascending: bool = True,
+               start: int = 0, count: int | None = None) -> DataFrame:
+    for p in predicates:
+        check_column(keys, p.prop)
+    return page(keys.filter(all_of([p.on(F.col(p.prop)) for p in predicates])), order_by, ascending, start, count)
+
+
+def latest_keys(keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Newest key per value combination; ``max_by`` combines on the map side, whatever the number of generations."""
+    return keys.groupBy(*columns).agg(F.max_by("id", F.struct("created", "id")).alias("__key"))
+
+
+def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) -> DataFrame:
+    """Deepest level with a key: image, series, study, then patient.
+
+    ``requests`` has one row per image with the five identity values under their plain names.  Adds ``match_level``
+    (rank 1..4) and ``key_id``; without a hit the level is PATIENT and the key null.
+    """
+    columns = ANON if anonymous else REAL
+    frame = requests
+    for level, depth in DEPTH.items():
+        found = latest_keys(keys, columns[:depth]).toDF(*REAL[:depth], f"__{level}")
+        frame = frame.join(found, REAL[:depth], "left")
+    hit = [F.col(f"__{level}") for level in DEPTH]
+    level = F
+    for name, column in zip(DEPTH, hit, strict=True):
+        level = level.when(column.isNotNull(), F.lit(S.LEVEL_RANK[name]))
+    return frame.select(
+        *requests.columns,
+        level.otherwise(F.lit(S.LEVEL_RANK["PATIENT"])).cast("bigint").alias("match_level"),
+        F.coalesce(*hit).alias("key_id"),
+    )
+
+
+def key_pairs(keys: DataFrame, values: DataFrame) -> DataFrame:
+    """(key_id, tag_path, value, anon_value): stored pairs and the five identity pairs in one shape."""
+    identity = F.array(
+        *[
+            F.struct(F.lit(path).alias("tag_path"), F.col(real).alias("value"), F.col(anon).alias("anon_value"))
+            for path, real, anon in zip(IDENTITY_PATHS, REAL, ANON, strict=True)
+        ]
+    )
+    own = keys.select(F.col("id").alias("key_id"), F.explode(identity).alias("p")).select("key_id", "p.*")
+    return values.select("key_id", "tag_path", "value", "anon_value").unionByName(own)
+
+
+def key_maps(keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """One map path -> value per key; a key has at most one pair per value attribute, so maps stay small."""
+    pairs = key_pairs(keys, values).select("key_id", F.struct("tag_path", column).alias("e"))
+    return pairs.groupBy("key_id").agg(F.map_from_entries(F.collect_list("e")).alias("pairs"))
+
+
+def with_key_values(matched: DataFrame, keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    used = matched.select("key_id").filter(F.col("key_id").isNotNull()).distinct()
+    maps = key_maps(
+        keys.join(used.withColumnRenamed("key_id", "id"), "id", "left_semi"),
+        values.join(used, "key_id", "left_semi"), column,
+    )
+    return matched.join(maps, "key_id", "left")
+
+
+def value_level(path: Column) -> Column:
+    """Level rank of a value attribute, null for any other path."""
+    chain = F
+    for rank in sorted(set(VALUE_LEVEL.values())):
+        chain = chain.when(path.isin(*[p for p, r in VALUE_LEVEL.items() if r == rank]), F.lit(rank))
+    return chain
+
+
+def harmonise(pairs: DataFrame, context: DataFrame) -> DataFrame:
+    """Pairs to insert: at or above the matched level an existing anonymous value is reused.
+
+    ``pairs`` is (image_id, tag_path, value, anon_value), ``context`` one row per image with match_level and the map of
+    the matched key.  ``stored`` is false for identity pairs, which live in the key row itself.  New values come from a
+    keyed hash, so images of one batch agree with each other in any order.
+    """
+    reused = F.when(value_level(F.col("tag_path")) <= F.col("match_level"),
+                    F.try_element_at(F.col("pairs"), F.col("tag_path")))
+    return pairs.join(context.select("image_id", "match_level", "pairs"), "image_id").select(
+        "image_id", "match_level", "tag_path", "value", F.coalesce(reused, "anon_value").alias("anon_value"),
+        (~F.col("tag_path").isin(*IDENTITY_PATHS)).alias("stored"),
+    )
+
+
+def key_rows(harmonised: DataFrame) -> DataFrame:
+    """One new key per image from its harmonised identity pairs, missing values empty."""
+    def at(path: str, column: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("tag_path") == path, F.col(column))), F.lit(""))
+
+    columns = [
+        c
+        for path, real, anon in zip(IDENTITY_PATHS, REAL, ANON, strict=True)
+        for c in (at(path, "value").alias(real), at(path, "anon_value").alias(anon))
+    ]
+    return harmonised.groupBy("image_id", "match_level").agg(*columns)
+
+
+def purge(keys: DataFrame, values: DataFrame, image_ids: DataFrame | None = None,
+          key_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drop keys of deleted images or keys by id, and the values below them."""
+    left = keys
+    if image_ids is not None:
+        left = left.join(image_ids.toDF("image_id").distinct(), "image_id", "left_anti")
+    if key_ids is not None:
+        left = left.join(key_ids.toDF("id").distinct(), "id", "left_anti")
+    return left.select(*keys.columns), values.join(left.select(F.col("id").alias("key_id")), "key_id", "left_semi")

@@ -176,3 +176,19 @@ def merge_elements(elements: DataFrame, changes: DataFrame) -> DataFrame:
     """Replace or insert attributes; ``changes`` holds full element rows, one per (image, path)."""
     kept = elements.join(changes.select("image_id", "tag_path"), ["image_id", "tag_path"], "left_anti")
     return kept.select(*elements.columns).unionByName(changes.select(*elements.columns))
+
+
+# -- snapshots -------------------------------------------------------------------------------------------------
+
+
+def level_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Natural keys added, kept and deleted on every level between two sets of image rows."""
+    out = None
+    for name in S.LEVELS:
+        key = F.concat_ws("|", *key_path(name)).alias("natural_key")
+        old = before.select(key).distinct().withColumn("__old", F.lit(True))
+        new = after.select(key).distinct().withColumn("__new", F.lit(True))
+        status = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "deleted").otherwise("kept")
+        rows = old.join(new, "natural_key", "full_outer").select(F.lit(name).alias("level"), "natural_key", status.alias("status"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
