@@ -85,7 +85,7 @@ def anonymous_pairs(elements: DataFrame, profile: Profile, strategy: Strategy, f
                     custom: DataFrame | None = None) -> DataFrame:
     """(image_id, tag_path, value, anon_value) of the value attributes present; a custom value wins."""
     rows = _judged(elements, profile, strategy, force, None, custom)
-    return rows.filter(value_level(F.col("tag_path")).isNotNull() & ~F.col("skip")).select(
+    return rows.filter(F.col("level").isNotNull() & ~F.col("skip")).select(
         "image_id", "tag_path", F.get("values", F.lit(0)).alias("value"), "anon_value"
     )
 
@@ -118,65 +118,73 @@ def _judged(elements: DataFrame, profile: Profile, strategy: Strategy, force: bo
         facts["custom_seen"] = F.collect_set(given).over(image)
     frame = frame.withColumns(facts)
 
-    patient = F.concat_ws("|", F.coalesce("has_0", F.lit("")), F.coalesce("has_1", F.lit("")))
-    patient_pseudo = {
-        NAME: strategy(F.concat(F.lit("PatientName|"), patient)),
-        PATIENT_ID: strategy(F.concat(F.lit("PatientID|"), patient)),
+    # every stage below is one projection, so no expression is repeated inside another one
+    effect = profile.effect(F.col("tag"))
+    is_identity = path.isin(*IDENTITY_PATHS)
+    is_marker = path.isin(*MARKERS)
+    stage = {
+        "first": path == F.col("first_path"),
+        "effect": effect,
+        "level": value_level(path),
+        "skip": F.lit(False) if force else is_anonymous(F.col("marker")),
+        "own_custom": F.try_element_at("custom", path) if custom is not None else F.lit(None).cast("string"),
+        "patient": F.concat_ws("|", F.coalesce("has_0", F.lit("")), F.coalesce("has_1", F.lit(""))),
+        "alone": F.concat_ws("|", path, F.col("image_id").cast("string")),
     }
+    frame = frame.withColumns(stage)
 
     def uid_of(value: Column) -> Column:
         """Equal UIDs stay equal across images, so references survive; an empty one gets a value of its own."""
-        alone = F.concat_ws("|", path, F.col("image_id").cast("string"))
-        return strategy(F.concat(F.lit("uid|"), F.coalesce(F.nullif(value, F.lit("")), alone)))
+        return strategy(F.concat(F.lit("uid|"), F.coalesce(F.nullif(value, F.lit("")), F.col("alone"))))
 
-    # what the profile makes of an existing value
-    effect = profile.effect(F.col("tag"))
-    flow = F.when(effect == "uid", F.transform("values", uid_of)).when(effect == "zero", F.array(F.lit(""))).otherwise(
-        F.col("values"))
+    def new_identity(wanted: str) -> Column:
+        if wanted in (NAME, PATIENT_ID):
+            return strategy(F.concat(F.lit("PatientName|" if wanted == NAME else "PatientID|"), F.col("patient")))
+        return strategy(F.concat_ws("|", F.lit("uid"), F.lit(wanted), F.col("image_id").cast("string")))
 
+    nested = F.exists("path_tags", lambda t: profile.effect(t) == "remove")
+    gone = F.when(F.size("path_tags") == 1, F.col("effect") == "remove").otherwise(nested)
+    frame = frame.withColumns(
+        {
+            "gone": gone & ~is_identity & ~is_marker,
+            # what the profile makes of an existing value
+            "flow": F.when(F.col("effect") == "uid", F.transform("values", uid_of))
+            .when(F.col("effect") == "zero", F.array(F.lit("")))
+            .when(path == REMOVED, F.array(F.lit("YES")))
+            .when(path == METHOD, F.array(F.lit(profile.method)))
+            .otherwise(F.col("values")),
+        }
+    )
     # the five identity attributes never stay empty
-    def filled(index: int, wanted: str) -> Column:
-        value = F.get(flow, F.lit(0))
-        own = patient_pseudo.get(wanted, uid_of(F.concat(F.lit(f"{wanted}|"), F.col("image_id").cast("string"))))
-        return F.coalesce(F.nullif(value, F.lit("")), own)
-
-    flow_value = F.when(path == IDENTITY_PATHS[0], F.array(filled(0, IDENTITY_PATHS[0])))
-    for i, wanted in enumerate(IDENTITY_PATHS[1:], start=1):
-        flow_value = flow_value.when(path == wanted, F.array(filled(i, wanted)))
-    flow_value = flow_value.when(path == REMOVED, F.array(F.lit("YES"))).when(
-        path == METHOD, F.array(F.lit(profile.method))).otherwise(flow)
-
-    is_identity = path.isin(*IDENTITY_PATHS)
-    is_marker = path.isin(*MARKERS)
-    gone = removed_by(profile) & ~is_identity & ~is_marker
-    text = join_values(flow_value)
-    own_custom = F.try_element_at("custom", path) if custom is not None else F.lit(None).cast("string")
-    anon_value = F.coalesce(own_custom, F.when(gone, F.lit("")).otherwise(text))
+    chain = F
+    for wanted in IDENTITY_PATHS:
+        chain = chain.when(path == wanted, F.array(new_identity(wanted)))
+    empty_identity = is_identity & (F.coalesce(F.get("flow", F.lit(0)), F.lit("")) == "")
+    frame = frame.withColumn("flow", F.when(empty_identity, chain).otherwise(F.col("flow")))
+    frame = frame.withColumn("text", F.when(F.col("gone"), F.lit("")).otherwise(join_values(F.col("flow"))))
     reused = F.lit(None).cast("string")
     if context is not None:
-        level = value_level(path)
-        kept = F.coalesce(F.try_element_at("pairs", path), F.when(gone, F.lit("")).otherwise(text))
-        reused = F.when((level <= F.col("match_level")) & (F.size("path_tags") == 1), kept)
-    final = F.coalesce(own_custom, reused)
-    value = F.when(final.isNotNull(), F.split(final, r"\\")).when(~gone, flow_value)
-
-    skip = F.lit(False) if force else is_anonymous(F.col("marker"))
-    unchanged = F.array(_element(path, F.col("values"), F.col("vr"), F.col("path_tags")))
-    own = F.when(value.isNotNull(), F.array(_element(path, value, F.col("vr"), F.col("path_tags"))))
+        reused = F.when(F.col("level") <= F.col("match_level"), F.coalesce(F.try_element_at("pairs", path), "text"))
+    final = F.coalesce("own_custom", reused)
+    frame = frame.withColumns(
+        {
+            "anon_value": F.coalesce("own_custom", "text"),
+            "value": F.when(final.isNotNull(), F.split(final, r"\\")).when(~F.col("gone"), F.col("flow")),
+        }
+    )
+
     extras = [F.when(F.col("marker").isNull(), _inserted(REMOVED, F.lit("YES"), custom)),
               F.when(F.col("method").isNull(), _inserted(METHOD, F.lit(profile.method), custom))]
     for i, wanted in enumerate(IDENTITY_PATHS):
-        new = patient_pseudo.get(wanted, uid_of(F.concat(F.lit(f"{wanted}|"), F.col("image_id").cast("string"))))
-        extras.append(F.when(F.col(f"has_{i}").isNull(), _inserted(wanted, new, custom)))
+        extras.append(F.when(F.col(f"has_{i}").isNull(), _inserted(wanted, new_identity(wanted), custom)))
     inserted = F.array_compact(F.array(*extras))
     if custom is not None:
         inserted = F.concat(inserted, _custom_inserts())
     none = F.array().cast("array<struct<tag_path:string,path_tags:array<bigint>,vr:string,values:array<string>>>")
-    changed = F.concat(F.coalesce(own, none), F.when(path == F.col("first_path"), inserted).otherwise(none))
-    return frame.select(
-        "image_id", "tag_path", "values", skip.alias("skip"), anon_value.alias("anon_value"),
-        (F.when(skip, unchanged).otherwise(changed) if not force else changed).alias("out"),
-    )
+    kept = F.when(F.col("skip"), F.col("values")).otherwise(F.col("value"))
+    own = F.when(kept.isNotNull(), F.array(_element(path, kept, F.col("vr"), F.col("path_tags")))).otherwise(none)
+    out = F.when(F.col("first") & ~F.col("skip"), F.concat(own, inserted)).otherwise(own)
+    return frame.select("image_id", "tag_path", "values", "level", "skip", "anon_value", out.alias("out"))
 
 
 def _inserted(path: str, value: Column, custom: DataFrame | None) -> Column:
