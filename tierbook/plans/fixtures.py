@@ -93,9 +93,9 @@ class Fixtures:
         """Last arrival per image; ``max_by`` aggregates on the map side, so a hot series costs nothing extra."""
         return (
             self.arrivals()
-            .groupBy("id", "series_ref", "sopInstanceUID", "instanceNumber")
-            .agg(F.max_by("imageType", "arrival").alias("imageType"))
-            .select("id", "series_ref", "sopInstanceUID", "imageType", "instanceNumber")
+            .groupBy("id", "series_ref")
+            .agg(F.max(F.struct("arrival", "sopInstanceUID", "imageType", "instanceNumber")).alias("last"))
+            .select("id", "series_ref", "last.sopInstanceUID", "last.imageType", "last.instanceNumber")
         )
 
     def series_sources(self) -> DataFrame:
@@ -309,7 +309,8 @@ class Fixtures:
             (F.col("turn") + 1).alias("sequence"),
             F.when(F.col("role") != "system", F.col("conv_id") * 10 + F.col("turn") % 7 + 1).alias("image_id"),
             (F.col("role") == "user").alias("added"),
-            (F.col("turns") + F.col("conv_id") % 2).alias("total"),
+            # the sender may correct the total while it sends
+            F.when(F.col("turn") == 1, F.lit(1).cast("bigint")).otherwise(F.col("turns") + F.col("conv_id") % 2).alias("total"),
             (F.col("turn") * 1000).alias("ts_ms"),
         )
 
