@@ -15,6 +15,8 @@ SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot partition even if that costs one more shuffle further up
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # merge session windows inside each input partition before they are shuffled
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
