@@ -1,8 +1,9 @@
 """De-identification of attribute rows.
 
-All facts about an image (identity values, already anonymous, absent attributes) are taken in one window over its own rows.
-Inserted attributes are emitted by the first row of the image, so there is no second pass and no union: the rows are
-shuffled once by image, or not at all when the table is already laid out by image.
+Attribute rows split in two by their path.  The few value attributes (identity, markers, key attributes) are brought
+together per image, because they depend on each other, on keys and on custom values.  All other rows, the bulk of the data,
+depend on nothing but their own path and value: they run through a narrow projection and are never shuffled for the
+anonymisation itself.
 """
 
 from __future__ import annotations
@@ -11,18 +12,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tierbook import schema as S
 from tierbook.functions.scalar import join_values, pseudo_uid
-from tierbook.operators.keys import IDENTITY_PATHS, value_level
-from tierbook.operators.profile import Profile
+from tierbook.operators.keys import IDENTITY_PATHS, VALUE_LEVEL
+from tierbook.operators.profile import EFFECT, Profile
 
 REMOVED = S.TAG_TEXT["PatientIdentityRemoved"]
 METHOD = S.TAG_TEXT["DeidentificationMethod"]
 MARKERS = (REMOVED, METHOD)
 NAME, PATIENT_ID = IDENTITY_PATHS[:2]
+VALUE_PATHS = list(VALUE_LEVEL)
 VR_OF = {tag: vr for _, tag, vr, _ in S.DICTIONARY}
+COLUMNS = ["image_id", "tag", "tag_path", "path_tags", "vr", "length", "values"]
 
 Strategy = Callable[[Column], Column]
 
@@ -38,33 +40,18 @@ def is_anonymous(value: Column) -> Column:
 
 def removed_by(profile: Profile) -> Column:
     """True when an operation on the attribute or on any sequence around it removes the row."""
-    def removes(tag: Column) -> Column:
-        return profile.effect(tag) == "remove"
-
-    nested = F.exists("path_tags", removes)
-    return F.when(F.size("path_tags") == 1, removes(F.col("tag"))).otherwise(nested)
+    nested = F.exists("path_tags", lambda tag: profile.effect(tag) == "remove")
+    return F.when(F.size("path_tags") == 1, profile.effect(F.col("tag")) == "remove").otherwise(nested)
 
 
 def remove_elements(elements: DataFrame, profile: Profile) -> DataFrame:
     return elements.filter(~removed_by(profile))
 
 
-def identity_of(elements: DataFrame) -> DataFrame:
-    """One row per image: the five identity values (absent = empty) and the anonymity marker."""
-    from tierbook.sources.attributes import pick, root_only
-
-    keywords = [k for k, _ in S.IDENTITY]
-    names = ["patientName", "patientID", "studyInstanceUID", "seriesInstanceUID", "sopInstanceUID"]
-    return root_only(elements, [*keywords, "PatientIdentityRemoved"]).groupBy("image_id").agg(
-        *[F.coalesce(pick(k), F.lit("")).alias(n) for k, n in zip(keywords, names, strict=True)],
-        pick("PatientIdentityRemoved").alias("removed_marker"),
-    )
-
-
-def custom_maps(custom: DataFrame) -> DataFrame:
-    """Caller-supplied values (image_id, tag_path, value) as one small map per image."""
-    entry = F.struct("tag_path", "value")
-    return custom.groupBy("image_id").agg(F.map_from_entries(F.collect_list(entry)).alias("custom"))
+def marked_anonymous(elements: DataFrame) -> DataFrame:
+    """Ids of images that already carry the anonymity marker."""
+    marker = (F.col("tag_path") == REMOVED) & is_anonymous(F.get("values", F.lit(0)))
+    return elements.filter(marker).select("image_id").distinct()
 
 
 def anonymise(elements: DataFrame, profile: Profile, strategy: Strategy, force: bool = True,
@@ -72,171 +59,218 @@ def anonymise(elements: DataFrame, profile: Profile, strategy: Strategy, force:
     """Full attribute rows after de-identification.
 
     ``force`` anonymises every image; otherwise images already marked anonymous pass unchanged.  ``context`` (image_id,
-    match_level, pairs) reuses values of existing keys; ``custom`` (image_id, tag_path, value) overrides single values.
+    match_level, pairs) reuses values of existing keys.  ``custom`` (image_id, tag_path, value), one row per image and
+    path, overrides or inserts single values.
     """
-    rows = _judged(elements, profile, strategy, force, context, custom)
-    return rows.select("image_id", F.explode("out").alias("o")).select(
-        "image_id", F.col("o.path_tags")[F.size("o.path_tags") - 1].alias("tag"), "o.tag_path", "o.path_tags", "o.vr",
-        F.length(F.array_join("o.values", "\\")).cast("bigint").alias("length"), "o.values",
-    )
+    done = None if force else marked_anonymous(elements)
+    if custom is not None and done is not None:
+        custom = custom.join(done, "image_id", "left_anti")
+    rest = _other_rows(elements, profile, strategy, done, custom)
+    entries = [_entry(i, path, profile, strategy, context is not None, custom is not None)
+               for i, path in enumerate(VALUE_PATHS)]
+    unchanged = [_struct(p, F.when(_present(i), _values(i)), _vr(i, p)) for i, p in enumerate(VALUE_PATHS)]
+    images = _per_image(elements, context, custom, strategy)
+    out = F.array_compact(F.array(*entries))
+    if not force:
+        skip = is_anonymous(_first(VALUE_PATHS.index(REMOVED)))
+        out = F.when(skip, F.array_compact(F.array(*unchanged))).otherwise(out)
+    result = rest.unionByName(_emitted(images.select("image_id", out.alias("out"))))
+    if custom is not None:
+        result = result.unionByName(_custom_rows(custom))
+    return result
 
 
 def anonymous_pairs(elements: DataFrame, profile: Profile, strategy: Strategy, force: bool = True,
                     custom: DataFrame | None = None) -> DataFrame:
     """(image_id, tag_path, value, anon_value) of the value attributes present; a custom value wins."""
-    rows = _judged(elements, profile, strategy, force, None, custom)
-    return rows.filter(F.col("level").isNotNull() & ~F.col("skip")).select(
-        "image_id", "tag_path", F.get("values", F.lit(0)).alias("value"), "anon_value"
-    )
+    entries = []
+    for i, path in enumerate(VALUE_PATHS):
+        flow, gone = _flow(i, path, profile, strategy)
+        anon = F.lit("") if gone else join_values(flow)
+        if custom is not None:
+            anon = F.coalesce(F.try_element_at("custom", F.lit(path)), anon)
+        pair = F.struct(F.lit(path).alias("tag_path"), F.coalesce(_first(i), F.lit("")).alias("value"), anon.alias("anon_value"))
+        entries.append(F.when(_present(i), pair))
+    images = _per_image(elements, None, custom, strategy)
+    if not force:
+        images = images.filter(~is_anonymous(_first(VALUE_PATHS.index(REMOVED))))
+    rows = images.select("image_id", F.explode_outer(F.array_compact(F.array(*entries))).alias("p"))
+    return rows.filter(F.col("p").isNotNull()).select("image_id", "p.*")
 
 
-def _element(path: Column | str, value: Column, vr: Column | None = None, path_tags: Column | None = None) -> Column:
-    if isinstance(path, str):
-        vr = F.lit(VR_OF.get(path, "UN"))
-        path_tags = F.array(F.lit(S.tag_number(path)).cast("bigint"))
-        path = F.lit(path)
-    return F.struct(path.alias("tag_path"), path_tags.alias("path_tags"), vr.alias("vr"), value.alias("values"))
+def reidentify(elements: DataFrame, context: DataFrame) -> DataFrame:
+    """Put real values back on anonymous images, for value attributes at or above the matched level.
+
+    ``context`` has match_level and the map path -> real value of the matched key.  Attributes the image lacks are
+    inserted; images that are not anonymous, and images without a key, pass unchanged.
+    """
+    images = _per_image(elements, context, None, None)
+    anonymous = is_anonymous(_first(VALUE_PATHS.index(REMOVED)))
+    entries = []
+    for i, path in enumerate(VALUE_PATHS):
+        back = F.when(anonymous & (F.lit(VALUE_LEVEL[path]) <= F.col("match_level")), F.try_element_at("pairs", F.lit(path)))
+        entries.append(_struct(path, F.when(back.isNotNull(), F.split(back, r"\\")).otherwise(_values(i)), _vr(i, path)))
+    rest = elements.filter(~F.col("tag_path").isin(*VALUE_PATHS)).select(*COLUMNS)
+    return rest.unionByName(_emitted(images.select("image_id", F.array_compact(F.array(*entries)).alias("out"))))
 
 
-def _judged(elements: DataFrame, profile: Profile, strategy: Strategy, force: bool, context: DataFrame | None,
-            custom: DataFrame | None) -> DataFrame:
-    frame = elements.select("image_id", "tag", "tag_path", "path_tags", "vr", "values")
-    if context is not None:
-        frame = frame.join(context.select("image_id", "match_level", "pairs"), "image_id", "left")
-    if custom is not None:
-        frame = frame.join(custom_maps(custom), "image_id", "left")
-    path, first = F.col("tag_path"), F.get("values", F.lit(0))
-    image = Window.partitionBy("image_id")
+# -- rows that stand alone -------------------------------------------------------------------------------------
 
-    def of_image(wanted: str) -> Column:
-        return F.max(F.when(path == wanted, first)).over(image)
 
-    facts = {"first_path": F.min("tag_path").over(image), "marker": of_image(REMOVED), "method": of_image(METHOD)}
-    facts |= {f"has_{i}": of_image(p) for i, p in enumerate(IDENTITY_PATHS)}
+def _other_rows(elements: DataFrame, profile: Profile, strategy: Strategy, done: DataFrame | None,
+                custom: DataFrame | None) -> DataFrame:
+    """Everything but the value attributes.  Only a conditional run or custom values add a join."""
+    frame = elements.filter(~F.col("tag_path").isin(*VALUE_PATHS))
     if custom is not None:
-        given = F.when(F.map_contains_key("custom", path), path)
-        facts["custom_seen"] = F.collect_set(given).over(image)
-    frame = frame.withColumns(facts)
-
-    # every stage below is one projection, so no expression is repeated inside another one
-    effect = profile.effect(F.col("tag"))
-    is_identity = path.isin(*IDENTITY_PATHS)
-    is_marker = path.isin(*MARKERS)
-    stage = {
-        "first": path == F.col("first_path"),
-        "effect": effect,
-        "level": value_level(path),
-        "skip": F.lit(False) if force else is_anonymous(F.col("marker")),
-        "own_custom": F.try_element_at("custom", path) if custom is not None else F.lit(None).cast("string"),
-        "patient": F.concat_ws("|", F.coalesce("has_0", F.lit("")), F.coalesce("has_1", F.lit(""))),
-        "alone": F.concat_ws("|", path, F.col("image_id").cast("string")),
-    }
-    frame = frame.withColumns(stage)
-
-    def uid_of(value: Column) -> Column:
-        """Equal UIDs stay equal across images, so references survive; an empty one gets a value of its own."""
-        return strategy(F.concat(F.lit("uid|"), F.coalesce(F.nullif(value, F.lit("")), F.col("alone"))))
-
-    def new_identity(wanted: str) -> Column:
-        if wanted in (NAME, PATIENT_ID):
-            return strategy(F.concat(F.lit("PatientName|" if wanted == NAME else "PatientID|"), F.col("patient")))
-        return strategy(F.concat_ws("|", F.lit("uid"), F.lit(wanted), F.col("image_id").cast("string")))
-
-    nested = F.exists("path_tags", lambda t: profile.effect(t) == "remove")
+        frame = frame.join(custom.filter(~F.col("tag_path").isin(*VALUE_PATHS)).select("image_id", "tag_path"),
+                           ["image_id", "tag_path"], "left_anti")
+    skip = F.lit(False)
+    if done is not None:
+        frame = frame.join(done.withColumn("__done", F.lit(True)), "image_id", "left")
+        skip = F.coalesce("__done", F.lit(False))
+    frame = frame.withColumns({"effect": profile.effect(F.col("tag")), "skip": skip})
+    nested = F.exists("path_tags", lambda tag: profile.effect(tag) == "remove")
     gone = F.when(F.size("path_tags") == 1, F.col("effect") == "remove").otherwise(nested)
-    frame = frame.withColumns(
-        {
-            "gone": gone & ~is_identity & ~is_marker,
-            # what the profile makes of an existing value
-            "flow": F.when(F.col("effect") == "uid", F.transform("values", uid_of))
-            .when(F.col("effect") == "zero", F.array(F.lit("")))
-            .when(path == REMOVED, F.array(F.lit("YES")))
-            .when(path == METHOD, F.array(F.lit(profile.method)))
-            .otherwise(F.col("values")),
-        }
-    )
-    # the five identity attributes never stay empty
-    chain = F
-    for wanted in IDENTITY_PATHS:
-        chain = chain.when(path == wanted, F.array(new_identity(wanted)))
-    empty_identity = is_identity & (F.coalesce(F.get("flow", F.lit(0)), F.lit("")) == "")
-    frame = frame.withColumn("flow", F.when(empty_identity, chain).otherwise(F.col("flow")))
-    frame = frame.withColumn("text", F.when(F.col("gone"), F.lit("")).otherwise(join_values(F.col("flow"))))
-    reused = F.lit(None).cast("string")
-    if context is not None:
-        reused = F.when(F.col("level") <= F.col("match_level"), F.coalesce(F.try_element_at("pairs", path), "text"))
-    final = F.coalesce("own_custom", reused)
-    frame = frame.withColumns(
-        {
-            "anon_value": F.coalesce("own_custom", "text"),
-            "value": F.when(final.isNotNull(), F.split(final, r"\\")).when(~F.col("gone"), F.col("flow")),
-        }
+    alone = F.concat_ws("|", "tag_path", F.col("image_id").cast("string"))
+    values = (
+        F.when(F.col("skip"), F.col("values"))
+        .when(F.col("effect") == "uid", F.transform("values", lambda v: strategy(_uid_text(v, alone))))
+        .when(F.col("effect") == "zero", F.array(F.lit("")))
+        .otherwise(F.col("values"))
     )
+    frame = frame.filter(F.col("skip") | ~gone).withColumn("values", values)
+    return frame.withColumn("length", F.length(join_values(F.col("values"))).cast("bigint")).select(*COLUMNS)
 
-    extras = [F.when(F.col("marker").isNull(), _inserted(REMOVED, F.lit("YES"), custom)),
-              F.when(F.col("method").isNull(), _inserted(METHOD, F.lit(profile.method), custom))]
-    for i, wanted in enumerate(IDENTITY_PATHS):
-        extras.append(F.when(F.col(f"has_{i}").isNull(), _inserted(wanted, new_identity(wanted), custom)))
-    inserted = F.array_compact(F.array(*extras))
-    if custom is not None:
-        inserted = F.concat(inserted, _custom_inserts())
-    none = F.array().cast("array<struct<tag_path:string,path_tags:array<bigint>,vr:string,values:array<string>>>")
-    kept = F.when(F.col("skip"), F.col("values")).otherwise(F.col("value"))
-    own = F.when(kept.isNotNull(), F.array(_element(path, kept, F.col("vr"), F.col("path_tags")))).otherwise(none)
-    out = F.when(F.col("first") & ~F.col("skip"), F.concat(own, inserted)).otherwise(own)
-    return frame.select("image_id", "tag_path", "values", "level", "skip", "anon_value", out.alias("out"))
-
-
-def _inserted(path: str, value: Column, custom: DataFrame | None) -> Column:
-    chosen = F.coalesce(F.try_element_at("custom", F.lit(path)), value) if custom is not None else value
-    return _element(path, F.array(chosen))
-
-
-def _custom_inserts() -> Column:
-    """Custom attributes the image does not have and nobody else inserts."""
-    handled = F.array(*[F.lit(p) for p in (*MARKERS, *IDENTITY_PATHS)])
-    empty = F.array().cast("array<string>")
-    missing = F.array_except(F.array_except(F.coalesce(F.map_keys("custom"), empty), F.col("custom_seen")), handled)
-    vr_map = F.create_map(*[F.lit(x) for item in VR_OF.items() for x in item])
-    return F.transform(
-        missing,
-        lambda p: _element(
-            p, F.array(F.element_at("custom", p)), F.coalesce(F.try_element_at(vr_map, p), F.lit("UN")),
-            F.array(F.conv(F.concat(F.substring(p, 2, 4), F.substring(p, 7, 4)), 16, 10).cast("bigint")),
-        ),
-    )
 
+def _custom_rows(custom: DataFrame) -> DataFrame:
+    """Custom values of other attributes replace or insert the same way."""
+    vr_of = F.create_map(*[F.lit(x) for item in VR_OF.items() for x in item])
+    tag = F.conv(F.concat(F.substring("tag_path", 2, 4), F.substring("tag_path", 7, 4)), 16, 10).cast("bigint")
+    return custom.filter(~F.col("tag_path").isin(*VALUE_PATHS)).select(
+        "image_id", tag.alias("tag"), "tag_path", F.array(tag).alias("path_tags"),
+        F.coalesce(F.try_element_at(vr_of, F.col("tag_path")), F.lit("UN")).alias("vr"),
+        F.length("value").cast("bigint").alias("length"), F.split("value", r"\\").alias("values"))
 
-def reidentify(elements: DataFrame, context: DataFrame) -> DataFrame:
-    """Put real values back on anonymous images, for value attributes at or above the matched level.
 
-    ``context`` has match_level and the map path -> real value of the matched key.  Attributes the image lacks are
-    inserted; images that are not anonymous, and images without a key, pass unchanged.
+# -- value attributes, one row per image -----------------------------------------------------------------------
+
+
+def _per_image(elements: DataFrame, context: DataFrame | None, custom: DataFrame | None,
+               strategy: Strategy | None) -> DataFrame:
+    """One row per image with a column per value attribute; images without any of them are there too."""
+    path, content = F.col("tag_path"), F.struct("vr", "values")
+    known = elements.filter(path.isin(*VALUE_PATHS)).groupBy("image_id").agg(
+        *[F.max(F.when(path == p, content)).alias(f"v{i}") for i, p in enumerate(VALUE_PATHS)])
+    images = elements.select("image_id").distinct().join(known, "image_id", "left")
+    if context is not None:
+        images = images.join(context.select("image_id", "match_level", "pairs"), "image_id", "left")
+    if custom is not None:
+        maps = custom.filter(path.isin(*VALUE_PATHS)).groupBy("image_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("tag_path", "value"))).alias("custom"))
+        images = images.join(maps, "image_id", "left")
+    if strategy is None:
+        return images
+    names = [F.coalesce(_first(VALUE_PATHS.index(p)), F.lit("")) for p in (NAME, PATIENT_ID)]
+    images = images.withColumn("patient", F.concat_ws("|", *names))
+    return images.withColumns({
+        "name_pseudonym": strategy(F.concat(F.lit("PatientName|"), F.col("patient"))),
+        "id_pseudonym": strategy(F.concat(F.lit("PatientID|"), F.col("patient"))),
+    })
+
+
+def _present(i: int) -> Column:
+    return F.col(f"v{i}").isNotNull()
+
+
+def _values(i: int) -> Column:
+    return F.col(f"v{i}.values")
+
+
+def _first(i: int) -> Column:
+    return F.get(F.col(f"v{i}.values"), F.lit(0))
+
+
+def _vr(i: int, path: str) -> Column:
+    return F.coalesce(F.col(f"v{i}.vr"), F.lit(VR_OF[path]))
+
+
+def _uid_text(value: Column, alone: Column) -> Column:
+    """Equal UIDs stay equal across images, so references survive; an empty one gets a value of its own."""
+    return F.concat(F.lit("uid|"), F.coalesce(F.nullif(value, F.lit("")), alone))
+
+
+def _alone(path: str) -> Column:
+    return F.concat_ws("|", F.lit(path), F.col("image_id").cast("string"))
+
+
+def _new_identity(path: str, strategy: Strategy) -> Column:
+    if path == NAME:
+        return F.col("name_pseudonym")
+    if path == PATIENT_ID:
+        return F.col("id_pseudonym")
+    return strategy(F.concat(F.lit("uid|"), _alone(path)))
+
+
+def _flow(i: int, path: str, profile: Profile, strategy: Strategy) -> tuple[Column, bool]:
+    """What the profile makes of a value attribute, and whether it removes it.  The attribute is known, so is its operation."""
+    if path == REMOVED:
+        return F.array(F.lit("YES")), False
+    if path == METHOD:
+        return F.array(F.lit(profile.method)), False
+    effect = EFFECT[profile.op_of(S.tag_number(path)) or ""]
+    if path in IDENTITY_PATHS:
+        # identity attributes never stay empty
+        if effect == "uid":
+            return F.array(strategy(_uid_text(_first(i), _alone(path)))), False
+        new = F.array(_new_identity(path, strategy))
+        if effect in ("zero", "remove"):
+            return new, False
+        return F.when(F.coalesce(_first(i), F.lit("")) == "", new).otherwise(_values(i)), False
+    if effect == "uid":
+        return F.transform(_values(i), lambda v: strategy(_uid_text(v, _alone(path)))), False
+    if effect == "zero":
+        return F.array(F.lit("")), False
+    return _values(i), effect == "remove"
+
+
+def _entry(i: int, path: str, profile: Profile, strategy: Strategy, keyed: bool, custom: bool) -> Column:
+    """Outcome for one value attribute of an image: custom value, else reused key value, else the profile's, else inserted."""
+    flow, gone = _flow(i, path, profile, strategy)
+    text = F.lit("") if gone else join_values(flow)
+    final = []
+    if custom:
+        final.append(F.try_element_at("custom", F.lit(path)))
+    if keyed:
+        reuse = _present(i) & (F.lit(VALUE_LEVEL[path]) <= F.col("match_level"))
+        final.append(F.when(reuse, F.coalesce(F.try_element_at("pairs", F.lit(path)), text)))
+    inserted = None
+    if path in MARKERS:
+        inserted = flow
+    elif path in IDENTITY_PATHS:
+        inserted = F.array(_new_identity(path, strategy))
+    plain = F if gone else F.when(_present(i), flow)
+    if inserted is not None:
+        plain = plain.when(~_present(i), inserted)
+    if plain is F:
+        plain = F.lit(None).cast("array<string>")
+    value = F.when(F.coalesce(*final).isNotNull(), F.split(F.coalesce(*final), r"\\")).otherwise(plain) if final else plain
+    return _struct(path, value, _vr(i, path))
+
+
+def _struct(path: str, values: Column, vr: Column) -> Column:
+    element = F.struct(
+        F.lit(S.tag_number(path)).cast("bigint").alias("tag"), F.lit(path).alias("tag_path"), vr.alias("vr"),
+        values.alias("values"))
+    return F.when(values.isNotNull(), element)
+
+
+def _emitted(frame: DataFrame) -> DataFrame:
+    """Element rows out of the per-image arrays.
+
+    ``explode_outer`` plus a filter on its output: for a plain explode the optimizer adds a "not empty" filter on the array
+    and pushes it below the projections, which would evaluate the whole expression twice.
     """
-    path = F.col("tag_path")
-    image = Window.partitionBy("image_id")
-    frame = elements.join(context.select("image_id", "match_level", "pairs"), "image_id", "left").withColumns(
-        {
-            "marker": F.max(F.when(path == REMOVED, F.get("values", F.lit(0)))).over(image),
-            "first_path": F.min("tag_path").over(image),
-            "seen": F.collect_set(F.when(value_level(path).isNotNull(), path)).over(image),
-        }
-    )
-    active = F.map_filter("pairs", lambda p, v: value_level(p) <= F.col("match_level"))
-    frame = frame.withColumn("active", F.when(is_anonymous(F.col("marker")), active))
-    back = F.try_element_at("active", path)
-    own = _element(path, F.when(back.isNotNull(), F.split(back, r"\\")).otherwise(F.col("values")), F.col("vr"),
-                   F.col("path_tags"))
-    empty = F.array().cast("array<string>")
-    missing = F.array_except(F.coalesce(F.map_keys("active"), empty), F.col("seen"))
-    vr_map = F.create_map(*[F.lit(x) for item in VR_OF.items() for x in item])
-    extra = F.transform(
-        missing,
-        lambda p: _element(p, F.array(F.element_at("active", p)), F.coalesce(F.try_element_at(vr_map, p), F.lit("UN")),
-                           F.array(F.conv(F.concat(F.substring(p, 2, 4), F.substring(p, 7, 4)), 16, 10).cast("bigint"))),
-    )
-    out = F.when(path == F.col("first_path"), F.concat(F.array(own), extra)).otherwise(F.array(own))
-    return frame.select("image_id", F.explode(out).alias("o")).select(
-        "image_id", F.col("o.path_tags")[F.size("o.path_tags") - 1].alias("tag"), "o.tag_path", "o.path_tags", "o.vr",
-        F.length(F.array_join("o.values", "\\")).cast("bigint").alias("length"), "o.values",
-    )
+    rows = frame.select("image_id", F.explode_outer("out").alias("o")).filter(F.col("o").isNotNull())
+    return rows.select(
+        "image_id", "o.tag", "o.tag_path", F.array("o.tag").alias("path_tags"), "o.vr",
+        F.length(join_values(F.col("o.values"))).cast("bigint").alias("length"), "o.values")
