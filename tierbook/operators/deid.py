@@ -55,12 +55,14 @@ def marked_anonymous(elements: DataFrame) -> DataFrame:
 
 
 def anonymise(elements: DataFrame, profile: Profile, strategy: Strategy, force: bool = True,
-              context: DataFrame | None = None, custom: DataFrame | None = None) -> DataFrame:
+              context: DataFrame | None = None, custom: DataFrame | None = None,
+              image_ids: DataFrame | None = None) -> DataFrame:
     """Full attribute rows after de-identification.
 
     ``force`` anonymises every image; otherwise images already marked anonymous pass unchanged.  ``context`` (image_id,
     match_level, pairs) reuses values of existing keys.  ``custom`` (image_id, tag_path, value), one row per image and
-    path, overrides or inserts single values.
+    path, overrides or inserts single values.  ``image_ids`` names the images where a catalogue already lists them, which
+    saves a pass over the elements.
     """
     done = None if force else marked_anonymous(elements)
     if custom is not None and done is not None:
@@ -69,7 +71,7 @@ def anonymise(elements: DataFrame, profile: Profile, strategy: Strategy, force:
     entries = [_entry(i, path, profile, strategy, context is not None, custom is not None)
                for i, path in enumerate(VALUE_PATHS)]
     unchanged = [_struct(p, F.when(_present(i), _values(i)), _vr(i, p)) for i, p in enumerate(VALUE_PATHS)]
-    images = _per_image(elements, context, custom, strategy)
+    images = _per_image(elements, context, custom, strategy, image_ids)
     out = F.array_compact(F.array(*entries))
     if not force:
         skip = is_anonymous(_first(VALUE_PATHS.index(REMOVED)))
@@ -81,7 +83,7 @@ def anonymise(elements: DataFrame, profile: Profile, strategy: Strategy, force:
 
 
 def anonymous_pairs(elements: DataFrame, profile: Profile, strategy: Strategy, force: bool = True,
-                    custom: DataFrame | None = None) -> DataFrame:
+                    custom: DataFrame | None = None, image_ids: DataFrame | None = None) -> DataFrame:
     """(image_id, tag_path, value, anon_value) of the value attributes present; a custom value wins."""
     entries = []
     for i, path in enumerate(VALUE_PATHS):
@@ -91,20 +93,20 @@ def anonymous_pairs(elements: DataFrame, profile: Profile, strategy: Strategy, f
             anon = F.coalesce(F.try_element_at("custom", F.lit(path)), anon)
         pair = F.struct(F.lit(path).alias("tag_path"), F.coalesce(_first(i), F.lit("")).alias("value"), anon.alias("anon_value"))
         entries.append(F.when(_present(i), pair))
-    images = _per_image(elements, None, custom, strategy)
+    images = _per_image(elements, None, custom, strategy, image_ids)
     if not force:
         images = images.filter(~is_anonymous(_first(VALUE_PATHS.index(REMOVED))))
     rows = images.select("image_id", F.explode_outer(F.array_compact(F.array(*entries))).alias("p"))
     return rows.filter(F.col("p").isNotNull()).select("image_id", "p.*")
 
 
-def reidentify(elements: DataFrame, context: DataFrame) -> DataFrame:
+def reidentify(elements: DataFrame, context: DataFrame, image_ids: DataFrame | None = None) -> DataFrame:
     """Put real values back on anonymous images, for value attributes at or above the matched level.
 
     ``context`` has match_level and the map path -> real value of the matched key.  Attributes the image lacks are
     inserted; images that are not anonymous, and images without a key, pass unchanged.
     """
-    images = _per_image(elements, context, None, None)
+    images = _per_image(elements, context, None, None, image_ids)
     anonymous = is_anonymous(_first(VALUE_PATHS.index(REMOVED)))
     entries = []
     for i, path in enumerate(VALUE_PATHS):
@@ -156,12 +158,13 @@ def _custom_rows(custom: DataFrame) -> DataFrame:
 
 
 def _per_image(elements: DataFrame, context: DataFrame | None, custom: DataFrame | None,
-               strategy: Strategy | None) -> DataFrame:
+               strategy: Strategy | None, image_ids: DataFrame | None) -> DataFrame:
     """One row per image with a column per value attribute; images without any of them are there too."""
     path, content = F.col("tag_path"), F.struct("vr", "values")
     known = elements.filter(path.isin(*VALUE_PATHS)).groupBy("image_id").agg(
         *[F.max(F.when(path == p, content)).alias(f"v{i}") for i, p in enumerate(VALUE_PATHS)])
-    images = elements.select("image_id").distinct().join(known, "image_id", "left")
+    images = elements.select("image_id").distinct() if image_ids is None else image_ids
+    images = images.join(known, "image_id", "left")
     if context is not None:
         images = images.join(context.select("image_id", "match_level", "pairs"), "image_id", "left")
     if custom is not None:

@@ -107,6 +107,10 @@ def identities(fx: Fixtures) -> DataFrame:
     return fx.flat_images().select("image_id", *K.REAL)
 
 
+def image_ids(fx: Fixtures) -> DataFrame:
+    return fx.images().select(F.col("id").alias("image_id"))
+
+
 def key_context(fx: Fixtures) -> DataFrame:
     keys = fx.anon_key_table()
     return K.with_key_values(K.match_keys(identities(fx), keys), keys, fx.anon_key_values(), "anon_value")
@@ -165,7 +169,7 @@ def deid_remove(fx: Fixtures):
     "fx_flat_images",
 )
 def deid_attributes(fx: Fixtures):
-    return shown(D.anonymise(fx.elements(), RESEARCH, D.salted(V.SALT)))
+    return shown(D.anonymise(fx.elements(), RESEARCH, D.salted(V.SALT), image_ids=image_ids(fx)))
 
 
 @query(
@@ -175,7 +179,7 @@ def deid_attributes(fx: Fixtures):
     f"'M5') UNION ALL SELECT image_id, '(0012,0063)', '{BASIC.method}' FROM fx_flat_images WHERE manufacturer NOT IN ('M4', 'M5')",
 )
 def deid_conditional(fx: Fixtures):
-    return shown(D.anonymise(fx.elements(), BASIC, D.salted(V.SALT), force=False))
+    return shown(D.anonymise(fx.elements(), BASIC, D.salted(V.SALT), force=False, image_ids=image_ids(fx)))
 
 
 # -- keys ------------------------------------------------------------------------------------------------------
@@ -238,7 +242,8 @@ _NEW_PAIRS = (
     "f.tag_path",
 )
 def anon_pairs(fx: Fixtures):
-    return D.anonymous_pairs(fx.elements(), RESEARCH, D.salted(V.SALT), force=False, custom=custom_values(fx))
+    return D.anonymous_pairs(fx.elements(), RESEARCH, D.salted(V.SALT), force=False, custom=custom_values(fx),
+                             image_ids=image_ids(fx))
 
 
 @query(
@@ -251,21 +256,22 @@ def anon_pairs(fx: Fixtures):
 )
 def anon_key_harmonise(fx: Fixtures):
     """Pairs to insert for every image that gets anonymised, in harmony with the keys that exist."""
-    pairs = D.anonymous_pairs(fx.elements(), RESEARCH, D.salted(V.SALT), force=False)
+    pairs = D.anonymous_pairs(fx.elements(), RESEARCH, D.salted(V.SALT), force=False, image_ids=image_ids(fx))
     return K.harmonise(pairs, key_context(fx))
 
 
 @query("deid_harmonised", _harmonised_sql(RESEARCH, force=False, strip_markers=False))
 def deid_harmonised(fx: Fixtures):
     return shown(D.anonymise(fx.elements(), RESEARCH, D.salted(V.SALT), force=False, context=key_context(fx),
-                             custom=custom_values(fx)))
+                             custom=custom_values(fx), image_ids=image_ids(fx)))
 
 
 @query("deid_bulk", _harmonised_sql(LINKED, force=True, strip_markers=True))
 def deid_bulk(fx: Fixtures):
     """Bulk job: old markers are dropped first, so every image is anonymised, with per-image custom values."""
     elements = fx.elements().filter(~F.col("tag_path").isin(*D.MARKERS))
-    return shown(D.anonymise(elements, LINKED, D.salted(V.SALT), context=key_context(fx), custom=custom_values(fx)))
+    return shown(D.anonymise(elements, LINKED, D.salted(V.SALT), context=key_context(fx), custom=custom_values(fx),
+                             image_ids=image_ids(fx)))
 
 
 @query(
@@ -293,8 +299,9 @@ def reidentify(fx: Fixtures):
         ],
     )
     keys = fx.anon_key_table()
+    ids = image_ids(fx)
     matched = K.match_keys(arrivals.drop("manufacturer"), keys, anonymous=True)
-    return shown(D.reidentify(elements, K.with_key_values(matched, keys, fx.anon_key_values(), "value")))
+    return shown(D.reidentify(elements, K.with_key_values(matched, keys, fx.anon_key_values(), "value"), ids))
 
 
 @query(
