@@ -54,6 +54,16 @@ def marked_anonymous(elements: DataFrame) -> DataFrame:
     return elements.filter(marker).select("image_id").distinct()
 
 
+def identity_of(elements: DataFrame) -> DataFrame:
+    """The five identity values per image out of attribute rows, absent = empty; for data the catalogue does not know yet."""
+    from tierbook.operators.keys import REAL
+    from tierbook.sources.attributes import pick, root_only
+
+    keywords = [k for k, _ in S.IDENTITY]
+    return root_only(elements, keywords).groupBy("image_id").agg(
+        *[F.coalesce(pick(k), F.lit("")).alias(n) for k, n in zip(keywords, REAL, strict=True)])
+
+
 def anonymise(elements: DataFrame, profile: Profile, strategy: Strategy, force: bool = True,
               context: DataFrame | None = None, custom: DataFrame | None = None,
               image_ids: DataFrame | None = None) -> DataFrame:

@@ -55,10 +55,10 @@ def sent_index(transactions: DataFrame, images: DataFrame) -> DataFrame:
 def outgoing_progress(totals: DataFrame, sent: DataFrame) -> DataFrame:
     """``sent`` has one row per reported delivery; a repeated report counts again, capped at the total."""
     counted = sent.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("reports"))
-    done = F.least(F.col("total"), F.col("reports"))
+    done = F.least(F.col("total"), F.coalesce("reports", F.lit(0).cast("bigint")))
     status = F.when(F.col("reports").isNull(), "WAITING").when(done >= F.col("total"), "FINISHED").otherwise("PROCESSING")
     return totals.join(counted, "transaction_id", "left").select(
-        "transaction_id", "total", F.coalesce(done, F.lit(0).cast("bigint")).alias("sent_count"), status.alias("status"))
+        "transaction_id", "total", done.alias("sent_count"), status.alias("status"))
 
 
 def incoming_progress(events: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def running_sent_index(fx: Fixtures):
     "outgoing_progress",
     "WITH rep AS (SELECT transaction_id FROM fx_outgoing_images WHERE sent UNION ALL SELECT transaction_id FROM fx_outgoing_images WHERE "
     "role = 'assistant' AND transaction_id % 3 = 0), n AS (SELECT transaction_id, count(*) AS c FROM rep GROUP BY 1) SELECT t.id AS "
-    "transaction_id, t.total AS total, coalesce(least(t.total, n.c), 0) AS sent_count, CASE WHEN n.c IS NULL THEN 'WAITING' WHEN n.c >= "
+    "transaction_id, t.total AS total, least(t.total, coalesce(n.c, 0)) AS sent_count, CASE WHEN n.c IS NULL THEN 'WAITING' WHEN n.c >= "
     "t.total THEN 'FINISHED' ELSE 'PROCESSING' END AS status FROM fx_outgoing t LEFT JOIN n ON n.transaction_id = t.id",
 )
 def outgoing_progress(fx: Fixtures):
