@@ -52,7 +52,7 @@ def test_column_and_lookup_agree(spark):
     tags = [S.tag_number(t) for _, t, _, _ in S.DICTIONARY] + [0x80030010, 0x60003000, 0x60024000, 0x70534009, 0x70530000]
     profile = Profile(("BASIC_PROFILE", "RETAIN_UIDS", "RETAIN_SAFE_PRIVATE"))
     frame = spark.createDataFrame([(t,) for t in tags], "tag bigint")
-    for row in frame.select("tag", profile.op_column(F.col("tag")).alias("op")).collect():
+    for row in frame.select("tag", profile.op_column().alias("op")).collect():
         assert row.op == profile.op_of(row.tag), hex(row.tag)
 
 

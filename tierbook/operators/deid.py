@@ -40,8 +40,7 @@ def is_anonymous(value: Column) -> Column:
 
 def removed_by(profile: Profile) -> Column:
     """True when an operation on the attribute or on any sequence around it removes the row."""
-    nested = F.exists("path_tags", lambda tag: profile.effect(tag) == "remove")
-    return F.when(F.size("path_tags") == 1, profile.effect(F.col("tag")) == "remove").otherwise(nested)
+    return F.expr(profile.removed_sql())
 
 
 def remove_elements(elements: DataFrame, profile: Profile) -> DataFrame:
@@ -140,9 +139,8 @@ def _other_rows(elements: DataFrame, profile: Profile, strategy: Strategy, done:
     if done is not None:
         frame = frame.join(done.withColumn("__done", F.lit(True)), "image_id", "left")
         skip = F.coalesce("__done", F.lit(False))
-    frame = frame.withColumns({"effect": profile.effect(F.col("tag")), "skip": skip})
-    nested = F.exists("path_tags", lambda tag: profile.effect(tag) == "remove")
-    gone = F.when(F.size("path_tags") == 1, F.col("effect") == "remove").otherwise(nested)
+    frame = frame.withColumns({"effect": F.expr(profile.effect_sql()), "skip": skip})
+    gone = F.expr(profile.removed_sql("effect"))
     alone = F.concat_ws("|", "tag_path", F.col("image_id").cast("string"))
     values = (
         F.when(F.col("skip"), F.col("values"))

@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierbook.functions.scalar import mask_hit
 from tierbook.sources.dims import constant_table
 
 FULL_MASK = 0xFFFFFFFF
@@ -148,25 +147,30 @@ class Profile:
             return self._exact[tag]
         return next((r[4] for r in self.rows if r[3] != FULL_MASK and tag & r[3] == r[2]), None)
 
-    def pick(self, tag: Column, value_of) -> Column:
-        """``value_of(code)`` of the winning operation as a column, null without an operation."""
-        by_value: dict[object, list[int]] = {}
+    def case_sql(self, tag: str, value_of=lambda code: code) -> str:
+        """``value_of(code)`` of the winning operation as SQL text over a tag column or lambda variable, null without one.
+
+        Text keeps plan building cheap: one call instead of one per attribute.
+        """
+        by_value: dict[str, list[int]] = {}
         for number, code in self._exact.items():
             by_value.setdefault(value_of(code), []).append(number)
-        chain = F
-        for value, numbers in by_value.items():
-            chain = chain.when(tag.isin(*numbers), F.lit(value))
-        for _, _, masked, mask, code in self.rows:
-            if mask != FULL_MASK:
-                chain = chain.when(mask_hit(tag, mask, masked), F.lit(value_of(code)))
-        return F.lit(None) if chain is F else chain
-
-    def op_column(self, tag: Column) -> Column:
-        return self.pick(tag, lambda code: code)
-
-    def effect(self, tag: Column) -> Column:
+        whens = [f"WHEN {tag} IN ({', '.join(f'{n}L' for n in numbers)}) THEN '{value}'" for value, numbers in by_value.items()]
+        whens += [f"WHEN ({tag} & {mask}L) = {masked}L THEN '{value_of(code)}'"
+                  for _, _, masked, mask, code in self.rows if mask != FULL_MASK]
+        return f"CASE {' '.join(whens)} END" if whens else "CAST(NULL AS STRING)"
+
+    def op_column(self, tag: str = "tag") -> Column:
+        return F.expr(self.case_sql(tag))
+
+    def effect_sql(self, tag: str = "tag") -> str:
         """remove / zero / uid / keep"""
-        return F.coalesce(self.pick(tag, lambda code: EFFECT[code]), F.lit("keep"))
+        return f"coalesce({self.case_sql(tag, lambda code: EFFECT[code])}, 'keep')"
+
+    def removed_sql(self, effect: str | None = None) -> str:
+        """An operation on the attribute or on any sequence around it removes the row; ``effect`` is a ready column."""
+        return (f"CASE WHEN size(path_tags) = 1 THEN {effect or self.effect_sql()} = 'remove' "
+                f"ELSE exists(path_tags, t -> {self.effect_sql('t')} = 'remove') END")
 
 
 def option_dim(spark: SparkSession) -> DataFrame:

@@ -136,7 +136,7 @@ def custom_values(fx: Fixtures) -> DataFrame:
 def profile_ops(fx: Fixtures):
     """Winning operation of every attribute in the catalogue under four profiles."""
     counts = fx.elements().groupBy("tag").agg(F.count(F.lit(1)).alias("rows_found"))
-    return counts.select("tag", "rows_found", *[p.op_column(F.col("tag")).alias(f"op_{n}") for n, p in PROFILES.items()])
+    return counts.select("tag", "rows_found", *[p.op_column().alias(f"op_{n}") for n, p in PROFILES.items()])
 
 
 @query(
@@ -151,7 +151,7 @@ def profile_options(fx: Fixtures):
     counts = fx.elements().groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     names = [o[0] for o in OPTIONS if o[3] and o[0] != "BASIC_PROFILE"]
     touched = [
-        F.sum(F.when(Profile((name,)).op_column(F.col("tag")).isNotNull(), F.col("n")).otherwise(0)).alias(name) for name in names
+        F.sum(F.when(Profile((name,)).op_column().isNotNull(), F.col("n")).otherwise(0)).alias(name) for name in names
     ]
     rows = counts.agg(*touched).unpivot([], names, "name", "rows_found")
     return selectable_options(fx.spark).join(rows, "name").select("name", "title", "rank", "rows_found")
@@ -292,10 +292,10 @@ def reidentify(fx: Fixtures):
     elements = unpivot(
         arrivals,
         [
-            *[(p, "UI", F.col(c)) for p, c in zip(K.IDENTITY_PATHS, K.REAL, strict=True)],
-            (D.REMOVED, "CS", F.when(F.col("manufacturer") == "M3", "NO").otherwise("YES")),
-            ("(0008,1030)", "LO", F.lit("hidden")),
-            ("(0008,0060)", "CS", F.lit("CT")),
+            *[(p, "UI", c) for p, c in zip(K.IDENTITY_PATHS, K.REAL, strict=True)],
+            (D.REMOVED, "CS", "CASE WHEN manufacturer = 'M3' THEN 'NO' ELSE 'YES' END"),
+            ("(0008,1030)", "LO", "'hidden'"),
+            ("(0008,0060)", "CS", "'CT'"),
         ],
     )
     keys = fx.anon_key_table()

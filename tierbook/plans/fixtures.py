@@ -159,7 +159,7 @@ class Fixtures:
 
     def elements(self, images: DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
         wanted = [e for e in V.ELEMENTS if paths is None or e[0] in paths]
-        return unpivot(self.flat_images(images), [(p, vr, F.expr(_spark_text(x))) for p, vr, x in wanted])
+        return unpivot(self.flat_images(images), wanted)
 
     # -- rules and filters -------------------------------------------------------------------------------------
 
@@ -330,10 +330,3 @@ class Fixtures:
             F.col("r_name").alias("name"),
             F.when(F.col("r_regionkey") % 2 == 0, "POLL").otherwise("PUSH").alias("send_method"),
         )
-
-
-def _spark_text(expression: str) -> str:
-    """Element expressions are written for both engines; only the backslash needs care, and none uses it."""
-    if "\\" in expression:
-        raise ValueError("element expressions must not contain a backslash")
-    return expression

@@ -12,33 +12,23 @@ BULK_VRS = ("OW", "OF", "OB", "OD")
 BULK_LIMIT = 20
 
 
-def unpivot(images: DataFrame, elements: list[tuple[str, str, Column]]) -> DataFrame:
-    """Turn one wide row per image into element rows ``(path, vr, value)``; a null value is an absent element.
+def unpivot(images: DataFrame, elements: list[tuple[str, str, str]]) -> DataFrame:
+    """Turn one wide row per image into element rows ``(path, vr, SQL expression)``; a null value is an absent element.
 
     The path arrays are literals, so the explode is a narrow step: no shuffle.
     """
-    entries = [
-        F.struct(
-            F.lit(path).alias("tag_path"),
-            F.array(*[F.lit(t).cast("bigint") for t in S.path_numbers(path)]).alias("path_tags"),
-            F.lit(vr).alias("vr"),
-            value.cast("string").alias("value"),
-        )
+    entries = ", ".join(
+        f"named_struct('tag_path', '{path}', 'path_tags', array({', '.join(f'{t}L' for t in S.path_numbers(path))}), "
+        f"'vr', '{vr}', 'value', CAST({value} AS STRING))"
         for path, vr, value in elements
-    ]
+    )
     return (
-        images.select("image_id", F.explode(F.array(*entries)).alias("e"))
-        .filter(F.col("e.value").isNotNull())
-        .select(
-            "image_id",
-            F.element_at("e.path_tags", -1).alias("tag"),
-            F.col("e.tag_path").alias("tag_path"),
-            F.col("e.path_tags").alias("path_tags"),
-            F.col("e.vr").alias("vr"),
-            F.length("e.value").cast("bigint").alias("length"),
-            F.when(F.col("e.vr") == "SQ", F.array().cast("array<string>"))
-            .otherwise(F.split("e.value", r"\\"))
-            .alias("values"),
+        images.select("image_id", F.expr(f"explode(array({entries}))").alias("e"))
+        .filter("e.value IS NOT NULL")
+        .selectExpr(
+            "image_id", "element_at(e.path_tags, -1) AS tag", "e.tag_path", "e.path_tags", "e.vr",
+            "CAST(length(e.value) AS BIGINT) AS length",
+            r"CASE WHEN e.vr = 'SQ' THEN CAST(array() AS ARRAY<STRING>) ELSE split(e.value, '\\\\') END AS values",
         )
     )
 
