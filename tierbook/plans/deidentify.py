@@ -342,12 +342,12 @@ def query_anon_keys(fx: Fixtures):
 @query(
     "purge_keys",
     f"WITH gone AS {_DOOMED}, left_keys AS (SELECT id, image_id FROM fx_anon_keys WHERE image_id NOT IN (SELECT id FROM gone) AND NOT "
-    "(created = 1 AND patientID = '7')) SELECT 'key' AS kind, id AS key_id, image_id::VARCHAR AS detail FROM left_keys UNION ALL SELECT "
+    "(created = 1 AND patientID = '8')) SELECT 'key' AS kind, id AS key_id, image_id::VARCHAR AS detail FROM left_keys UNION ALL SELECT "
     "'value', key_id, tag_path FROM fx_anon_key_values WHERE key_id IN (SELECT id FROM left_keys)",
 )
 def purge_keys(fx: Fixtures):
     keys = fx.anon_key_table()
-    single = keys.filter((F.col("created") == 1) & (F.col("patientID") == "7")).select("id")
+    single = keys.filter((F.col("created") == 1) & (F.col("patientID") == "8")).select("id")
     left, left_values = K.purge(keys, fx.anon_key_values(), doomed_images(fx), single)
     parts = [
         left.select(F.lit("key").alias("kind"), F.col("id").alias("key_id"), F.col("image_id").cast("string").alias("detail")),

@@ -197,12 +197,12 @@ class Fixtures:
     # -- keys --------------------------------------------------------------------------------------------------
 
     def anon_keys(self) -> DataFrame:
-        """Two generations of keys for the type-A images of furniture studies with final series, patients 0..9."""
+        """Two generations of keys for the type-A images of furniture studies with final series, female patients."""
         keyed = self.flat_images().filter(
             F.col("imageType").startswith("A")
             & (F.col("studyDescription") == "FURNITURE")
             & (F.col("modality") == "F")
-            & (F.col("patient_id") < 10)
+            & (F.col("patientSex") == "F")
         )
         gen = F.col("created").cast("string")
         return keyed.withColumn("created", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))).select(

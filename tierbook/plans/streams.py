@@ -9,7 +9,7 @@ from tierbook.operators import maintain as M
 from tierbook.operators import rules as R
 from tierbook.plans import fixture_values as V
 from tierbook.plans.attributes import _involved_elements
-from tierbook.plans.fixtures import Fixtures
+from tierbook.plans.fixtures import Fixtures, source_kind
 from tierbook.plans.maintenance import _WIDE, level_rows, wide_arrivals
 from tierbook.plans.registry import query
 from tierbook.plans.transfers import _BATCH, IDLE
@@ -75,9 +75,28 @@ def stream_classify(fx: Fixtures):
         found = R.rule_values(_involved_elements(fx, reps, nested=False), attributes)
         return R.classify(reps, found, fx.rules(), attributes)
 
-    stream = StreamedFixtures(fx, "lineitem").arrivals().select(F.col("series_ref").alias("series_id"))
-    J.classify_arrivals(stream, work, classify)
-    return J.current_types(J.read_deltas(fx.spark, work))
+    key = F.col("series_ref")
+    stream = StreamedFixtures(fx, "lineitem").arrivals().select(
+        key.alias("series_id"), F.col("id").alias("image_id"), source_kind(key).alias("sourcetype"), (key % 7).alias("sourceid"))
+    J.react_to_arrivals(stream, work, classify, fx.forwarding_rules())
+    return J.current_types(J.read_deltas(fx.spark, f"{work}/types"))
+
+
+@query(
+    "stream_purge",
+    "WITH gone AS (SELECT id FROM fx_arrivals WHERE l_quantity = 50) SELECT id AS key_id, image_id FROM fx_anon_keys WHERE image_id NOT IN "
+    "(SELECT id FROM gone)",
+)
+def stream_purge(fx: Fixtures):
+    """Images deleted as a stream (arrivals of quantity 50 stand for the deletions) take their keys with them."""
+    from tierbook.operators.keys import purge
+
+    work = work_dir(fx.spark, "purge")
+    stream = StreamedFixtures(fx, "lineitem").arrivals().filter(F.col("l_quantity") == 50).select(F.col("id").alias("image_id"))
+    J.react_to_deletions(stream, work)
+    gone = J.read_deltas(fx.spark, work).select("image_id")
+    keys, _ = purge(fx.anon_key_table(), fx.anon_key_values(), gone)
+    return keys.select(F.col("id").alias("key_id"), "image_id")
 
 
 @query(

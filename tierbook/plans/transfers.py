@@ -95,16 +95,17 @@ def running_sent_index(fx: Fixtures):
 
 @query(
     "outgoing_progress",
-    "WITH rep AS (SELECT transaction_id FROM fx_outgoing_images WHERE sent UNION ALL SELECT transaction_id FROM fx_outgoing_images WHERE "
-    "role = 'assistant' AND transaction_id % 3 = 0), n AS (SELECT transaction_id, count(*) AS c FROM rep GROUP BY 1) SELECT t.id AS "
+    "WITH rep AS (SELECT transaction_id FROM fx_outgoing_images WHERE role <> 'system' UNION ALL SELECT transaction_id FROM "
+    "fx_outgoing_images WHERE sent AND transaction_id IN (SELECT id FROM fx_outgoing WHERE status = 'FAILED')), n AS (SELECT transaction_id, count(*) AS c FROM rep GROUP BY 1) SELECT t.id AS "
     "transaction_id, t.total AS total, least(t.total, coalesce(n.c, 0)) AS sent_count, CASE WHEN n.c IS NULL THEN 'WAITING' WHEN n.c >= "
     "t.total THEN 'FINISHED' ELSE 'PROCESSING' END AS status FROM fx_outgoing t LEFT JOIN n ON n.transaction_id = t.id",
 )
 def outgoing_progress(fx: Fixtures):
-    """Delivery reports: every sent image once; every third conversation also reports its answers."""
+    """Delivery reports: every image but the system ones, and the user ones twice where a transaction failed once."""
     images = fx.outgoing_images()
-    again = images.filter((F.col("role") == "assistant") & (F.col("transaction_id") % 3 == 0))
-    reports = images.filter("sent").select("transaction_id").unionByName(again.select("transaction_id"))
+    failed = fx.outgoing().filter(F.col("status") == "FAILED").select(F.col("id").alias("transaction_id"))
+    again = images.filter("sent").join(failed, "transaction_id", "left_semi")
+    reports = images.filter(F.col("role") != "system").select("transaction_id").unionByName(again.select("transaction_id"))
     return T.outgoing_progress(fx.outgoing().select(F.col("id").alias("transaction_id"), "total"), reports)
 
 
@@ -127,15 +128,15 @@ def incoming_progress(fx: Fixtures):
 @query(
     "transaction_status",
     "WITH inc AS (" + _INCOMING + "), failed AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') SELECT "
-    "i.transaction_id AS transaction_id, i.total AS total, CASE WHEN i.transaction_id % 4 = 0 AND f.conv_id IS NULL THEN i.total ELSE "
-    "i.received END AS received, CASE WHEN f.conv_id IS NOT NULL THEN 'FAILED' WHEN i.transaction_id % 4 = 0 THEN 'FINISHED' ELSE i.status "
+    "i.transaction_id AS transaction_id, i.total AS total, CASE WHEN i.sequences > 5 AND f.conv_id IS NULL THEN i.total ELSE "
+    "i.received END AS received, CASE WHEN f.conv_id IS NOT NULL THEN 'FAILED' WHEN i.sequences > 5 THEN 'FINISHED' ELSE i.status "
     "END AS status FROM inc i LEFT JOIN failed f ON f.conv_id = i.transaction_id",
 )
 def transaction_status(fx: Fixtures):
-    """Status messages: conversations with a system turn fail, every fourth of the others is declared finished."""
+    """Status messages: conversations with a system turn fail, the others with more than five turns are declared finished."""
     talk = fx.table("conversations").groupBy(F.col("conv_id").alias("transaction_id")).agg(
-        F.max(F.when(F.col("role") == "system", 1).otherwise(0)).alias("bad"))
-    changes = talk.filter((F.col("bad") == 1) | (F.col("transaction_id") % 4 == 0)).select(
+        F.max(F.when(F.col("role") == "system", 1).otherwise(0)).alias("bad"), F.count(F.lit(1)).alias("turns"))
+    changes = talk.filter((F.col("bad") == 1) | (F.col("turns") > 5)).select(
         "transaction_id", F.when(F.col("bad") == 1, "FAILED").otherwise("FINISHED").alias("status"))
     state = T.incoming_progress(fx.incoming_events()).select("transaction_id", "total", "received", "status")
     return T.set_status(state, changes)

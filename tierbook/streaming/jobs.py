@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tierbook.operators.forwarding import match_rules
 from tierbook.operators.maintain import latest
 
 Batch = Callable[[DataFrame, int], None]
@@ -55,6 +56,17 @@ def delta_writer(work: str, shape: Callable[[DataFrame], DataFrame]) -> Batch:
     return handle
 
 
+def fan_out(work: str, shapes: dict[str, Callable[[DataFrame], DataFrame]]) -> Batch:
+    """Several reactions to one stream of events, each with its own delta folder."""
+    handlers = [delta_writer(f"{work}/{name}", shape) for name, shape in shapes.items()]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        for one in handlers:
+            one(batch, batch_id)
+
+    return handle
+
+
 def read_deltas(spark: SparkSession, work: str) -> DataFrame:
     """All deltas with their batch number."""
     return spark.read.parquet(f"{work}/delta").withColumn("batch", F.col("batch").cast("bigint"))
@@ -86,17 +98,26 @@ def compact(deltas: DataFrame, keys: list[str], props: list[str], order: str, pa
 # -- arrivals --------------------------------------------------------------------------------------------------
 
 
-def classify_arrivals(stream: DataFrame, work: str, classify: Callable[[DataFrame], DataFrame]) -> None:
-    """Reclassify the series touched by a batch, each once; ``classify`` maps (series_id) to (series_id, type_id).
+def react_to_arrivals(stream: DataFrame, work: str, classify: Callable[[DataFrame], DataFrame], rules: DataFrame) -> None:
+    """Arrivals drive classification (folder ``types``) and forwarding (folder ``forward``).
 
-    One row per series and batch is kept, also when no type is left, so an older result is replaced, not added to.
+    The series touched by a batch are reclassified, each once; ``classify`` maps (series_id) to (series_id, type_id).  One row
+    per series and batch is kept, also when no type is left, so an older result is replaced, not added to.
     """
     def shape(batch: DataFrame) -> DataFrame:
         touched = batch.select("series_id").distinct()
         types = classify(touched).groupBy("series_id").agg(F.array_sort(F.collect_set("type_id")).alias("types"))
         return touched.join(types, "series_id", "left")
 
-    run_batches(stream, work, delta_writer(work, shape))
+    def queued(batch: DataFrame) -> DataFrame:
+        return match_rules(batch, rules).select("rule_id", "image_id").distinct()
+
+    run_batches(stream, work, fan_out(work, {"types": shape, "forward": queued}))
+
+
+def react_to_deletions(stream: DataFrame, work: str) -> None:
+    """Deleted image ids as deltas; keys, members and links are resolved against them with an anti join on read."""
+    run_batches(stream, work, delta_writer(work, lambda batch: batch.select("image_id").distinct()))
 
 
 def current_types(deltas: DataFrame) -> DataFrame:
