@@ -90,12 +90,16 @@ class Fixtures:
         )
 
     def images(self) -> DataFrame:
-        """Last arrival per image; ``max_by`` aggregates on the map side, so a hot series costs nothing extra."""
-        return (
-            self.arrivals()
-            .groupBy("id", "series_ref")
-            .agg(F.max(F.struct("arrival", "sopInstanceUID", "imageType", "instanceNumber")).alias("last"))
-            .select("id", "series_ref", "last.sopInstanceUID", "last.imageType", "last.instanceNumber")
+        """Last arrival per image.  The aggregate combines on the map side, so a hot series costs nothing extra; texts are
+        built after it, which keeps the shuffled rows short."""
+        order = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus"]
+        last = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*order)).alias("a"))
+        return last.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            F.col("l_orderkey").alias("series_ref"),
+            F.concat_ws(".", F.lit("SO"), "l_orderkey", "l_linenumber").alias("sopInstanceUID"),
+            F.concat("a.l_returnflag", F.lit("\\"), "a.l_linestatus").alias("imageType"),
+            F.col("l_linenumber").cast("string").alias("instanceNumber"),
         )
 
     def series_sources(self) -> DataFrame:
