@@ -26,9 +26,16 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        self._schemas = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A table of the data folder; its footer is read for the schema only once per plan."""
+        reader, path = self.spark.read, f"{self.dir}/{name}.parquet"
+        if name in self._schemas:
+            return reader.schema(self._schemas[name]).parquet(path)
+        frame = reader.parquet(path)
+        self._schemas[name] = frame.schema
+        return frame
 
     # -- hierarchy ---------------------------------------------------------------------------------------------
 
