@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierbook.llm import packing
+from tierbook.llm import packing, simhash, warc
 from tierbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,31 @@ def register(name: str, sql: str | None = None):
 @register("op1_best_fit_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op3_simhash_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+BASE32_SQL = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT) >> {s}) & 31)::INT + 1, 1)"
+    for i in range(8) for s in (15, 10, 5, 0)
+)
+
+
+@register(
+    "op8_warc",
+    f"""
+    with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+    q as (select page_id, strlen(html)::bigint as payload_bytes, {BASE32_SQL} as payload_digest,
+                 max(page_id) over (partition by html) as original from p)
+    select page_id, payload_bytes, payload_digest,
+           case when page_id = original then 'response' else 'revisit' end as record_type,
+           case when page_id <> original then original end as refers_to
+    from q
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
