@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierbook.llm import decontaminate, packing, repeats, simhash, warc
+from tierbook.llm import decontaminate, packing, repeats, simhash, topk, warc
 from tierbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_benchmark_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register(
+    "op4_exact_topk",
+    """
+    with v as (select vec_id, [floor(256 * x::double)::bigint for x in embedding] as e from embeddings
+               where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e::double[], c.e::double[])::bigint as score
+          from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+    select query_id, rank, vec_id, score from (
+      select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+    where rank <= 5
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
