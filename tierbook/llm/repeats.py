@@ -1,6 +1,6 @@
 """Removal of every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else.
 
-Every string of that length is owned by the 16-byte gram of least hash in it (the first of equals), so equal strings have
+Every string of that length is owned by the 64-byte gram of least hash in it (the first of equals), so equal strings have
 equal owners, wherever they are.  Neighbouring strings with the same owner form a segment.  Owners that occur once are
 dropped; equal segments of an owner are counted and kept once; an owner with one distinct segment needs no comparison.  The
 segments of all other owners are dealt to shards by owner, and the suffix order with common prefixes of each shard
@@ -28,11 +28,12 @@ from tierbook.llm.common import stored
 from tierbook.llm.suffixes import repeated_starts
 
 LENGTH = 200
-GRAM = 16
+#: A power of two from 16 on; short grams recur by chance and make work, long ones make more segments.
+GRAM = 64
 #: Positions handled at a time; a position fits the low bits of a packed minimum.
 SLICE = 1 << 20
 LOW = np.uint64(SLICE - 1)
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 3_000_000
 CROWD = 4000
 #: A side of a join is broadcast up to this many rows; beyond, both sides are shuffled.
 BROADCAST_ROWS = 300_000
@@ -40,25 +41,29 @@ BROADCAST_ROWS = 300_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x6A09E667F3BCC909))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 16 bytes from each position."""
-    n = len(data) - GRAM + 1
-    words = np.empty(n + 8, np.uint64)
-    for k in range(8):
-        m = (n + 8 - k + 7) // 8
-        piece = data[k : k + 8 * m]
-        if len(piece) < 8 * m:
-            piece = np.append(piece, np.zeros(8 * m - len(piece), np.uint8))
-        words[k::8] = np.frombuffer(piece.tobytes(), "<u8")[: len(words[k::8])]
-    h = words[:n] * MIX[0]
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = left * MIX[0]
     h ^= h >> np.uint64(29)
-    h += words[8 : n + 8] * MIX[1]
+    h += right * MIX[1]
     h ^= h >> np.uint64(32)
     h *= MIX[0]
     h ^= h >> np.uint64(29)
     return h
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each position: of eight bytes, then of twice as many until all are in."""
+    n = len(data) - 7
+    h = np.empty(n, np.uint64)
+    for k in range(8):
+        m = len(h[k::8])
+        h[k::8] = np.frombuffer(data[k : k + 8 * m].tobytes(), "<u8")
+    width = 8
+    while width < GRAM:
+        h, width = mixed(h[:-width], h[width:]), 2 * width
+    return h
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours, by prefix and suffix minima of blocks."""
     n = len(values)
