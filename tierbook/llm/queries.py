@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierbook.llm import decontaminate, packing, repeats, simhash, topk, warc
+from tierbook.llm import decontaminate, packing, repeats, resample, simhash, topk, toxicity, warc
 from tierbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@register("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = toxicity.scored(docs, toxicity.fit(docs, labels))
+    doc_id = F.col("row.doc_id")
+    return found.select(doc_id, toxicity.held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op10_importance_resampling")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample drawn towards documents labelled good; its share of the corpus is that of the good among the labelled."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    share = known.agg(F.avg("quality")).first()[0]
+    target = docs.join(known.where("quality = 1"), "doc_id", "left_semi").select("text")
+    found = resample.select(docs, target, resample.FRACTION if share is None else share)
+    return found.where("selected").select("doc_id", "log_weight", "key")
