@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierbook.llm import decontaminate, packing, repeats, resample, simhash, topk, toxicity, warc
+from tierbook.llm import decontaminate, licenses, packing, repeats, resample, simhash, topk, toxicity, warc
 from tierbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = docs.join(known.where("quality = 1"), "doc_id", "left_semi").select("text")
     found = resample.select(docs, target, resample.FRACTION if share is None else share)
     return found.where("selected").select("doc_id", "log_weight", "key")
+
+
+@register("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(table(spark, sf_dir, "documents"))
