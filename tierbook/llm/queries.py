@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierbook.llm import decontaminate, licenses, packing, repeats, resample, simhash, topk, toxicity, warc
+from tierbook.llm import decontaminate, licenses, packing, repeats, resample, simhash, topk, toxicity, warc, wrappers
 from tierbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_license_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents"))
+
+
+@register("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
