@@ -56,13 +56,18 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit number."""
+    """doc_id, a hash of the text and the fingerprint as a signed 64-bit number."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()], np.uint64)
-        return pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return by_batch(docs.select(F.col(id_col).cast("long"), F.col(text_col)), "doc_id long, fp long", rows)
+    read = docs.select(F.col(id_col).cast("long"), F.col(text_col), text_mark(text_col))
+    return by_batch(read, "doc_id long, mark long, fp long", rows)
+
+
+def text_mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def block_masks() -> list[int]:
@@ -117,11 +122,26 @@ def links(classes: DataFrame, crowd: int = 256) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256) -> DataFrame:
-    """doc_id, fp, fingerprint (hexadecimal) and component_id, the smallest doc_id reachable over links."""
+    """doc_id, mark, fp, fingerprint (hexadecimal) and component_id, the smallest doc_id reachable over links."""
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     found = components(links(classes.where("node is not null"), crowd))
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "mark", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256) -> DataFrame:
+    """One row of each group, all columns: that with the smallest id (and text hash, where an id is repeated).
+
+    Rows without an id go if their fingerprint has a group with ids; else one row for each fingerprint stays.
+    """
+    found = groups(docs, id_col, text_col, crowd)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    nameless = found.where("component_id is null").groupBy("fp").agg(F.min("mark").alias("mark"))
+    kept = first.union(nameless.select(F.lit(None).cast("long"), "mark"))
+    absent = F.lit(-(1 << 63)).cast("long")
+    kept = stored(kept.select(F.coalesce("doc_id", absent).alias("_id"), F.col("mark").alias("_mark")).distinct(), "kept")
+    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), absent), "_mark": text_mark(text_col)})
+    return rows.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
