@@ -35,8 +35,8 @@ SLICE = 1 << 20
 LOW = np.uint64(SLICE - 1)
 SHARD_BYTES = 3_000_000
 CROWD = 4000
-#: A side of a join is broadcast up to this many rows; beyond, both sides are shuffled.
-BROADCAST_ROWS = 300_000
+#: A side of a join is broadcast while it holds at most this many entries (about 30 bytes each); beyond, both are shuffled.
+BROADCAST_ENTRIES = 1_000_000
 #: Fixed odd multipliers of the gram hash (digits of the golden ratio and of the square root of two).
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x6A09E667F3BCC909))
 
@@ -148,6 +148,8 @@ def _segments(length: int):
 
 SEGMENT = "doc long, mark long, key long, print long, low long, n long"
 CLASS = ["key", "print", "n"]
+#: A segment's first string and number of strings in one number: a segment has fewer strings than LENGTH.
+PLACE = (1 << 16) - 1
 
 
 def _known(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,8 +157,9 @@ def _known(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, entries: str, limit: int) -> DataFrame:
+    held = df.agg(F.sum(F.size(entries) + 1)).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
 
 
 def _cut_out(length: int):
@@ -166,9 +169,10 @@ def _cut_out(length: int):
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 raw, rows = text.as_py(), wanted.as_py()
+                sizes = [r["place"] & PLACE for r in rows]
+                texts = [raw[r["place"] >> 16 : (r["place"] >> 16) + n + length - 1] for r, n in zip(rows, sizes, strict=True)]
                 yield pa.record_batch(
-                    [pa.array([r[c] for r in rows], pa.int64()) for c in CLASS]
-                    + [pa.array([raw[r["low"] : r["low"] + r["n"] + length - 1] for r in rows], pa.binary())],
+                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in ("key", "print")), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())],
                     [*CLASS, "bytes"],
                 )
 
@@ -223,8 +227,8 @@ def _strings(length: int):
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
-                    crowd: int = CROWD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc, mark and ranges, the strings that also start elsewhere as (begin, stop) of their starts."""
+                    crowd: int = CROWD, shard_bytes: int = SHARD_BYTES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """doc, mark and ranges, the strings that also start elsewhere as (begin, stop) of their starts, in order and apart."""
     known = _known(docs, id_col, text_col)
     owners = known.select("text").mapInArrow(_owners(length), "key long").groupBy("key").count().where("count > 1")
     segs = known.mapInArrow(_segments(length), SEGMENT).join(stored(owners.select("key"), "owners"), "key", "left_semi")
@@ -236,9 +240,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     total = compared.where(F.col("distinct") <= crowd).agg(F.sum(F.col("n") + length)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
 
+    place = F.shiftleft("low", 16).bitwiseOR(F.col("n"))
+
     def texts(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("doc", "mark").agg(F.collect_set(F.struct(*CLASS, "low")).alias("wanted"))
-        found = known.join(_sized(stored(wanted, "wanted")), ["doc", "mark"]).select("text", "wanted")
+        wanted = rows.groupBy("doc", "mark").agg(F.collect_set(F.struct("key", "print", place.alias("place"))).alias("wanted"))
+        found = known.join(_sized(stored(wanted, "wanted"), "wanted", broadcast_entries), ["doc", "mark"]).select("text", "wanted")
         out = found.mapInArrow(_cut_out(length), "key long, print long, n long, bytes binary")
         return out
 
@@ -257,7 +263,18 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     single = classes.where("copies = 1").select(*CLASS)
     found = stored(found.union(ranges.join(single, CLASS, "left_semi")), "found")
     spans = segs.join(found, CLASS).select("doc", "mark", (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("stop")).alias("stop"))
-    return spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "stop")).alias("ranges"))
+    spans = spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("begin", "stop"))).alias("ranges"))
+    last = F.struct(F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("stop"))
+    kind = "struct<done:array<struct<begin:bigint,stop:bigint>>,open:struct<begin:bigint,stop:bigint>>"
+    joined = F.aggregate(
+        "ranges", F.struct(F.array().alias("done"), last.alias("open")).cast(kind),
+        lambda acc, r: F.when(
+            r["begin"] <= acc["open"]["stop"],
+            F.struct(acc["done"].alias("done"), F.struct(acc["open"]["begin"].alias("begin"), F.greatest(acc["open"]["stop"], r["stop"]).alias("stop")).alias("open")),
+        ).otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), r.alias("open"))).cast(kind),
+        lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda r: r["stop"] > r["begin"]),
+    )
+    return spans.select("doc", "mark", joined.alias("ranges"))
 
 
 def removed_runs(begin: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,19 +289,19 @@ def removed_runs(begin: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.n
 
 
 def with_removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD,
-                  shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """All columns of docs in ``row``, and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining text).
+                  shard_bytes: int = SHARD_BYTES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """All columns of docs but the text in ``row``, and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining text).
 
     Cutting bytes can part a character; what is left of it becomes the replacement character in ``kept``, while the digest
     is that of the remaining bytes.
     """
-    ranges = stored(repeated_ranges(docs, length, id_col, text_col, crowd, shard_bytes), "removals")
+    ranges = stored(repeated_ranges(docs, length, id_col, text_col, crowd, shard_bytes, broadcast_entries), "removals")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"),
     )
-    joined = rows.join(_sized(ranges), ["doc", "mark"], "left").select("row", "text", "ranges")
+    joined = rows.join(_sized(ranges, "ranges", broadcast_entries), ["doc", "mark"], "left").select("row", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
