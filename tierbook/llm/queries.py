@@ -98,7 +98,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     share = known.agg(F.avg("quality")).first()[0]
-    target = docs.join(known.where("quality = 1"), "doc_id", "left_semi").select("text")
+    target = resample.texts_of(docs, known.where("quality = 1"))
     found = resample.select(docs, target, resample.FRACTION if share is None else share)
     return found.where("selected").select("doc_id", "log_weight", "key")
 

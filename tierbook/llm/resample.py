@@ -29,6 +29,8 @@ TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\s]+")
 BUCKETS = 65_536
 SHARPNESS = 200.0
 SEED = 42
+#: Ids of target documents are broadcast up to this many (16 bytes each); beyond, texts are shuffled by id.
+BROADCAST_IDS = 2_000_000
 #: Share of the documents drawn.
 FRACTION = 0.5
 #: Added to every bucket of both models.
@@ -132,3 +134,9 @@ def select(docs: DataFrame, target: DataFrame, fraction: float = FRACTION, bucke
     if not k:
         return found.withColumn("selected", F.lit(False))
     return found.withColumn("selected", F.col("key") >= threshold(found, k))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The texts of the documents whose doc_id is in ``ids``."""
+    ids = stored(ids.select("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, "doc_id", "left_semi").select("text")
