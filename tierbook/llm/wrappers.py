@@ -3,13 +3,13 @@
 For every host one page is the seed (that with the least hash).  The tree of every page of the host is aligned with that of
 the seed by simple tree matching: nodes with equal labels match, their children are aligned in order for the largest number
 of matches.  Siblings with equal labels are one node of the compared trees, as repeated records are.  Over all pages of the
-host, tasks count for each node of the seed how many pages matched it and in how many its text was that of the seed; pages
-whose text is mostly that of the seed (copies) say nothing and are not counted.  Nodes with constant text are template, the
-others slots.
+host, tasks count for each block of the seed how many pages matched its node and how many of them had a block of the same text
+there; pages whose text is mostly that of the seed (copies) say nothing and are not counted.  Constant blocks are template,
+all else are slots.
 
 The text of a page is that of its slots within the main region: an article, main element or the like if there is one, else
 the subtree that holds the most text outside links, headings and text together.  Elements whose tag, class, id or role says
-menu, header, footer, sidebar, notice, advert, form or comment are left out, and so are nodes that are template.
+menu, header, footer, sidebar, notice, advert, form or comment are left out, and so are blocks that are template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two line feeds.  Null
 html is empty and gives an empty text, as does a page without text.  Pages without a readable host, or without page_id, are
@@ -68,24 +68,33 @@ def marked_outside(node: Node, in_article: bool) -> bool:
 
 
 class Shape:
-    """Siblings with one label; ``text`` is what stands in them outside their own children."""
+    """Siblings with one label; ``texts`` are those of each as a block, that is with the elements inside lines."""
 
-    __slots__ = ("label", "nodes", "children", "text", "number")
+    __slots__ = ("label", "nodes", "children", "texts", "number")
 
     def __init__(self, label: str, nodes: list[Node]):
         self.label, self.nodes, self.number = label, nodes, -1
-        own, groups = [], {}
+        groups: dict[str, list[Node]] = {}
         for node in nodes:
             for child in node.children:
-                if isinstance(child, str):
-                    if child and not child.isspace():
-                        own.append(child)
-                elif child.tag not in RAW and child.tag != "head":
+                if not isinstance(child, str) and child.tag not in RAW and child.tag != "head":
                     groups.setdefault(child.label, []).append(child)
-        self.text = SPACE.sub(" ", " ".join(own)).strip()
+        self.texts = [line_text(n) for n in nodes] if nodes[0].tag in BLOCK else []
         self.children = [Shape(k, v) for k, v in groups.items()]
 
 
+def line_text(node: Node) -> str:
+    """The text of a block without that of the blocks in it."""
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        child = todo.pop()
+        if isinstance(child, str):
+            out.append(child)
+        elif child.tag not in BLOCK and child.tag not in RAW:
+            todo += reversed(child.children)
+    return SPACE.sub(" ", "".join(out)).strip()
+
+
 def shape_of(html: str) -> tuple[Node, Shape]:
     root = parsed(html)
     return root, Shape("#page", [root])
@@ -129,14 +138,20 @@ def matched(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     return 1 + best[m][n], found
 
 
-def observed(page: Shape, seed: Shape) -> list[tuple[int, bool]] | None:
-    """(number of the seed's node, equal text) of the matched nodes with text; None if the page is a copy."""
-    _, pairs = matched(page, seed)
-    rows = [(s.number, p.text == s.text, len(p.text)) for p, s in pairs if p.text and s.text]
-    mass = sum(n for _, _, n in rows)
-    if not mass or sum(n for _, same, n in rows if same) > COPY * mass:
-        return None
-    return [(k, same) for k, same, _ in rows]
+def observed(page: Shape, seed: Shape) -> list[tuple[int, int]] | None:
+    """(number of the seed's node, which of its blocks the page has too; -1 for the node itself); None if the page is a copy."""
+    out, mass, shared = [], 0, 0
+    for mine, theirs in matched(page, seed)[1]:
+        texts = set(mine.texts) - {""}
+        if not texts:
+            continue
+        out.append((theirs.number, -1))
+        mass += sum(map(len, texts))
+        for k, text in enumerate(theirs.texts):
+            if text in texts and text not in theirs.texts[:k]:
+                out.append((theirs.number, k))
+                shared += len(text)
+    return out if mass and shared <= COPY * mass else None
 
 
 # ---- text of a page -------------------------------------------------------------------------------------------------
@@ -193,7 +208,7 @@ def main_regions(root: Node) -> list[Node]:
     return [root if best is None or not mass[id(best)] else best]
 
 
-def blocks_of(region: Node, template: set[int]) -> list[str]:
+def blocks_of(region: Node) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 
@@ -203,8 +218,7 @@ def blocks_of(region: Node, template: set[int]) -> list[str]:
             out.append(text)
         held.clear()
 
-    def walk(node: Node) -> None:
-        constant = node.slot in template
+    def walk(node: Node, constant: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
                 if not constant:
@@ -215,22 +229,23 @@ def blocks_of(region: Node, template: set[int]) -> list[str]:
                 block = child.tag in BLOCK
                 if block:
                     close()
-                walk(child)
+                walk(child, bool(child.slot) if block else constant)
                 if block:
                     close()
 
-    walk(region)
+    walk(region, bool(region.slot))
     close()
     return out
 
 
-def main_text(root: Node, shape: Shape, seed: Shape | None, template: set[int]) -> str:
+def main_text(root: Node, shape: Shape, seed: Shape | None, template: set[tuple[int, int]]) -> str:
     if seed is not None and template:
         for mine, theirs in matched(shape, seed)[1]:
-            for node in mine.nodes:
-                # a slot is template in this page only if it holds the template's text
-                node.slot = theirs.number if mine.text == theirs.text else None
-    return "\n\n".join(b for region in main_regions(root) for b in blocks_of(region, template))
+            constant = {text for k, text in enumerate(theirs.texts) if (theirs.number, k) in template}
+            if constant:
+                for node, text in zip(mine.nodes, mine.texts, strict=True):
+                    node.slot = text in constant
+    return "\n\n".join(b for region in main_regions(root) for b in blocks_of(region))
 
 
 # ---- jobs -----------------------------------------------------------------------------------------------------------
@@ -252,14 +267,12 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds, counts = Seeds(), Counter()
     for batch in batches:
         for host, html, seed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for number, same in observed(shape_of(html)[1], seeds[seed]) or ():
-                counts[host, number, same] += 1
+            for node, block in observed(shape_of(html)[1], seeds[seed]) or ():
+                counts[host, node, block] += 1
     if counts:
-        host, number, same = zip(*counts, strict=True)
-        n = list(counts.values())
+        host, node, block = zip(*counts, strict=True)
         yield pa.record_batch(
-            [pa.array(host), pa.array(number, pa.int32()), pa.array(n, pa.int64()), pa.array([c if s else 0 for c, s in zip(n, same, strict=True)], pa.int64())],
-            ["host", "node", "pages", "same"],
+            [pa.array(host), pa.array(node, pa.int32()), pa.array(block, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["host", "node", "block", "n"]
         )
 
 
@@ -269,7 +282,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for html, seed, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             root, shape = shape_of(html)
-            texts.append(main_text(root, shape, seeds[seed] if template else None, set(template or ())))
+            texts.append(main_text(root, shape, seeds[seed] if template else None, {(t["node"], t["block"]) for t in template or ()}))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -287,10 +300,12 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     picked = known.join(_sized(first, "length(host) + 8"), ["host", "mark"]).select("host", "html")
     # copies of the seed have its hash; one row a host is left
     seeds = stored(picked.groupBy("host").agg(F.first("html").alias("seed")), "seeds")
-    counts = known.join(_sized(seeds, "octet_length(seed)"), "host").select("host", "html", "seed").mapInArrow(_observe, "host string, node int, pages long, same long")
-    counts = counts.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    template = counts.where((F.col("pages") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("pages")))
-    template = template.groupBy("host").agg(F.collect_list("node").alias("template"))
+    counts = known.join(_sized(seeds, "octet_length(seed)"), "host").select("host", "html", "seed").mapInArrow(_observe, "host string, node int, block int, n long")
+    counts = stored(counts.groupBy("host", "node", "block").agg(F.sum("n").alias("n")), "counts")
+    matches = counts.where("block < 0").select("host", "node", F.col("n").alias("pages"))
+    template = counts.where("block >= 0").join(matches, ["host", "node"])
+    template = template.where((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("pages")))
+    template = template.groupBy("host").agg(F.collect_list(F.struct("node", "block")).alias("template"))
     wrappers = stored(seeds.join(template, "host"), "wrappers")
     joined = rows.join(_sized(wrappers, "octet_length(seed)"), "host", "left").select("page_id", "url", "html", "seed", "template")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
