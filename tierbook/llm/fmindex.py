@@ -69,6 +69,8 @@ class Wavelet:
 
 class Index:
     def __init__(self, text: np.ndarray, largest: int):
+        if not len(text) or text[-1]:  # the last symbol has no row that follows it, so it must be one that is never sought
+            text = np.append(text, 0)
         n = len(text)
         counts = np.bincount(text, minlength=largest + 1)
         self.smaller = np.concatenate([[0], np.cumsum(counts)])[:-1]

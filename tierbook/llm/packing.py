@@ -94,7 +94,8 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
         t = np.arange(0, capacity // 2 + 1)
         above = whole[-1] - whole[capacity - t + 1]
         between = part[capacity - t + 1] - part[t]
-        best = max(best, int(-(-(above * capacity * k + between) // (capacity * k)).max()))
+        most = int((above * capacity * k + between).max())
+        best = max(best, -(-most // (capacity * k)))
     plain = int(-(-(counts * sizes).sum() // capacity))
     return max(best, plain)
 
