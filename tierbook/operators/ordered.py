@@ -92,11 +92,13 @@ def sessions(frame: DataFrame, keys: list[str], ts: str, gap: int, width: int, c
     return frame.join(starts, [*keys, ts])
 
 
-def allocate_ids(frame: DataFrame, keys: list[str], first: Column, buckets: int = 4096) -> DataFrame:
+def allocate_ids(frame: DataFrame, keys: list[str], first: Column, buckets: int | None = None) -> DataFrame:
     """Dense surrogate ids for rows with unique natural keys, counted from ``first``.
 
-    Unique keys hash evenly, so no bucket is hot, and the offsets window runs over ``buckets`` rows only.
+    Unique keys hash evenly, so no bucket is hot, and the offsets window runs over ``buckets`` rows only: a few for each
+    shuffle partition, a number that is set to fit the data.
     """
+    buckets = buckets or 16 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = frame.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets))).repartition(BUCKET)
     offsets = (
         rows.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__n"))

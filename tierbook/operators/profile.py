@@ -6,6 +6,7 @@ attribute becomes a literal set test plus a short mask chain: no join, no broadc
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -52,42 +53,281 @@ OPERATIONS = [
 ]
 EFFECT = {code: effect for code, _, effect in OPERATIONS}
 
-# Public confidentiality profile (PS3.15 table E.1-1), attribute pattern and operation.
+# Public confidentiality profile (PS3.15 table E.1-1), attribute pattern and operation, as far as it concerns
+# common headers; read_operations takes the complete table.
 # An x stands for any digit; "odd" stands for any odd group.
 ATTRIBUTE_OPS: dict[str, list[tuple[str, str]]] = {
     "BASIC_PROFILE": [
-        ("0000,1000", "X"), ("0000,1001", "U"), ("0002,0003", "U"), ("0008,0014", "U"), ("0008,0018", "U"),
-        ("0008,0020", "Z"), ("0008,0021", "X/D"), ("0008,0022", "X/Z"), ("0008,0023", "Z/D"), ("0008,002A", "X/D"),
-        ("0008,0030", "Z"), ("0008,0031", "X/D"), ("0008,0032", "X/Z"), ("0008,0033", "Z/D"), ("0008,0050", "Z"),
-        ("0008,0080", "X/Z/D"), ("0008,0081", "X"), ("0008,0090", "Z"), ("0008,0092", "X"), ("0008,0094", "X"),
-        ("0008,1010", "X/Z/D"), ("0008,1030", "X"), ("0008,103E", "X"), ("0008,1040", "X"), ("0008,1048", "X"),
-        ("0008,1050", "X"), ("0008,1060", "X"), ("0008,1070", "X/Z/D"), ("0008,1080", "X"), ("0008,1140", "X/Z/U*"),
-        ("0008,1155", "U"), ("0008,2111", "X"), ("0008,2112", "X/Z/U*"), ("0008,3010", "U"), ("0008,4000", "X"),
-        ("0010,0010", "Z"), ("0010,0020", "Z"), ("0010,0021", "X"), ("0010,0030", "Z"), ("0010,0032", "X"),
-        ("0010,0040", "Z"), ("0010,1000", "X"), ("0010,1001", "X"), ("0010,1010", "X"), ("0010,1020", "X"),
-        ("0010,1030", "X"), ("0010,1040", "X"), ("0010,2000", "X"), ("0010,2110", "X"), ("0010,2154", "X"),
-        ("0010,2160", "X"), ("0010,2180", "X"), ("0010,21A0", "X"), ("0010,21B0", "X"), ("0010,4000", "X"),
-        ("0018,1000", "X/Z/D"), ("0018,1002", "U"), ("0018,1030", "X/D"), ("0018,2042", "U"), ("0018,4000", "X"),
-        ("0018,700A", "X"), ("0020,000D", "U"), ("0020,000E", "U"), ("0020,0010", "Z"), ("0020,0052", "U"),
-        ("0020,0200", "U"), ("0020,4000", "X"), ("0028,4000", "X"), ("0032,1032", "X"), ("0032,1033", "X"),
-        ("0032,4000", "X"), ("0038,0010", "X"), ("0038,4000", "X"), ("0040,0006", "X"), ("0040,0007", "X"),
-        ("0040,0275", "X"), ("0040,0555", "X"), ("0040,A123", "D"), ("0070,0084", "Z"),
-        ("50xx,xxxx", "X"), ("60xx,3000", "X"), ("60xx,4000", "X"), ("odd", "X"),
+        ("0000,1000", "X"),
+        ("0000,1001", "U"),
+        ("0002,0003", "U"),
+        ("0008,0014", "U"),
+        ("0008,0018", "U"),
+        ("0008,0020", "Z"),
+        ("0008,0021", "X/D"),
+        ("0008,0022", "X/Z"),
+        ("0008,0023", "Z/D"),
+        ("0008,0024", "X"),
+        ("0008,0025", "X"),
+        ("0008,002A", "X/D"),
+        ("0008,0030", "Z"),
+        ("0008,0031", "X/D"),
+        ("0008,0032", "X/Z"),
+        ("0008,0033", "Z/D"),
+        ("0008,0034", "X"),
+        ("0008,0035", "X"),
+        ("0008,0050", "Z"),
+        ("0008,0058", "U"),
+        ("0008,0080", "X/Z/D"),
+        ("0008,0081", "X"),
+        ("0008,0082", "X/Z/D"),
+        ("0008,0090", "Z"),
+        ("0008,0092", "X"),
+        ("0008,0094", "X"),
+        ("0008,0096", "X"),
+        ("0008,009C", "Z"),
+        ("0008,009D", "X"),
+        ("0008,0201", "X"),
+        ("0008,1010", "X/Z/D"),
+        ("0008,1030", "X"),
+        ("0008,103E", "X"),
+        ("0008,1040", "X"),
+        ("0008,1048", "X"),
+        ("0008,1049", "X"),
+        ("0008,1050", "X"),
+        ("0008,1052", "X"),
+        ("0008,1060", "X"),
+        ("0008,1062", "X"),
+        ("0008,1070", "X/Z/D"),
+        ("0008,1072", "X/D"),
+        ("0008,1080", "X"),
+        ("0008,1084", "X"),
+        ("0008,1110", "X/Z"),
+        ("0008,1111", "X/Z/D"),
+        ("0008,1120", "X"),
+        ("0008,1140", "X/Z/U*"),
+        ("0008,1155", "U"),
+        ("0008,1195", "U"),
+        ("0008,2111", "X"),
+        ("0008,2112", "X/Z/U*"),
+        ("0008,3010", "U"),
+        ("0008,4000", "X"),
+        ("0010,0010", "Z"),
+        ("0010,0020", "Z"),
+        ("0010,0021", "X"),
+        ("0010,0030", "Z"),
+        ("0010,0032", "X"),
+        ("0010,0040", "Z"),
+        ("0010,0050", "X"),
+        ("0010,0101", "X"),
+        ("0010,0102", "X"),
+        ("0010,1000", "X"),
+        ("0010,1001", "X"),
+        ("0010,1002", "X"),
+        ("0010,1005", "X"),
+        ("0010,1010", "X"),
+        ("0010,1020", "X"),
+        ("0010,1030", "X"),
+        ("0010,1040", "X"),
+        ("0010,1050", "X"),
+        ("0010,1060", "X"),
+        ("0010,1080", "X"),
+        ("0010,1081", "X"),
+        ("0010,1090", "X"),
+        ("0010,2000", "X"),
+        ("0010,2110", "X"),
+        ("0010,2150", "X"),
+        ("0010,2152", "X"),
+        ("0010,2154", "X"),
+        ("0010,2155", "X"),
+        ("0010,2160", "X"),
+        ("0010,2180", "X"),
+        ("0010,21A0", "X"),
+        ("0010,21B0", "X"),
+        ("0010,21C0", "X"),
+        ("0010,21D0", "X"),
+        ("0010,21F0", "X"),
+        ("0010,2203", "X/Z"),
+        ("0010,2297", "X"),
+        ("0010,2299", "X"),
+        ("0010,4000", "X"),
+        ("0018,0010", "Z/D"),
+        ("0018,1000", "X/Z/D"),
+        ("0018,1002", "U"),
+        ("0018,1004", "X"),
+        ("0018,1005", "X"),
+        ("0018,1007", "X"),
+        ("0018,1008", "X"),
+        ("0018,1030", "X/D"),
+        ("0018,1400", "X/D"),
+        ("0018,2042", "U"),
+        ("0018,4000", "X"),
+        ("0018,700A", "X"),
+        ("0018,A003", "X"),
+        ("0020,000D", "U"),
+        ("0020,000E", "U"),
+        ("0020,0010", "Z"),
+        ("0020,0052", "U"),
+        ("0020,0200", "U"),
+        ("0020,3401", "X"),
+        ("0020,3404", "X"),
+        ("0020,3406", "X"),
+        ("0020,4000", "X"),
+        ("0020,9158", "X"),
+        ("0020,9161", "U"),
+        ("0020,9164", "U"),
+        ("0028,1199", "U"),
+        ("0028,1214", "U"),
+        ("0028,4000", "X"),
+        ("0032,0012", "X"),
+        ("0032,1020", "X"),
+        ("0032,1021", "X"),
+        ("0032,1030", "X"),
+        ("0032,1032", "X"),
+        ("0032,1033", "X"),
+        ("0032,1060", "X/Z"),
+        ("0032,1070", "X"),
+        ("0032,4000", "X"),
+        ("0038,0010", "X"),
+        ("0038,0011", "X"),
+        ("0038,001E", "X"),
+        ("0038,0020", "X"),
+        ("0038,0021", "X"),
+        ("0038,0040", "X"),
+        ("0038,0050", "X"),
+        ("0038,0060", "X"),
+        ("0038,0061", "X"),
+        ("0038,0062", "X"),
+        ("0038,0300", "X"),
+        ("0038,0400", "X"),
+        ("0038,0500", "X"),
+        ("0038,4000", "X"),
+        ("0040,0005", "X"),
+        ("0040,0006", "X"),
+        ("0040,0007", "X"),
+        ("0040,000B", "X"),
+        ("0040,0012", "X"),
+        ("0040,0244", "X"),
+        ("0040,0245", "X"),
+        ("0040,0248", "X"),
+        ("0040,0253", "X"),
+        ("0040,0254", "X"),
+        ("0040,0275", "X"),
+        ("0040,0280", "X"),
+        ("0040,0555", "X"),
+        ("0040,1001", "X"),
+        ("0040,1004", "X"),
+        ("0040,1005", "X"),
+        ("0040,1010", "X"),
+        ("0040,1011", "X"),
+        ("0040,1101", "D"),
+        ("0040,1102", "X"),
+        ("0040,1103", "X"),
+        ("0040,1400", "X"),
+        ("0040,2001", "X"),
+        ("0040,2008", "X"),
+        ("0040,2009", "X"),
+        ("0040,2010", "X"),
+        ("0040,2016", "Z"),
+        ("0040,2017", "Z"),
+        ("0040,2400", "X"),
+        ("0040,3001", "X"),
+        ("0040,4023", "U"),
+        ("0040,4025", "X"),
+        ("0040,4027", "X"),
+        ("0040,4034", "X"),
+        ("0040,4035", "X"),
+        ("0040,4036", "X"),
+        ("0040,4037", "X"),
+        ("0040,A073", "D"),
+        ("0040,A075", "D"),
+        ("0040,A123", "D"),
+        ("0040,A124", "U"),
+        ("0070,0084", "Z"),
+        ("0070,0086", "X"),
+        ("0088,0140", "U"),
+        ("0088,0200", "X"),
+        ("50xx,xxxx", "X"),
+        ("60xx,3000", "X"),
+        ("60xx,4000", "X"),
+        ("odd", "X"),
+    ],
+    "RETAIN_UIDS": [
+        ("0000,1001", "K"),
+        ("0002,0003", "K"),
+        ("0008,0014", "K"),
+        ("0008,0018", "K"),
+        ("0008,1140", "K"),
+        ("0008,1155", "K"),
+        ("0008,2112", "K"),
+        ("0008,3010", "K"),
+        ("0018,1002", "K"),
+        ("0018,2042", "K"),
+        ("0020,000D", "K"),
+        ("0020,000E", "K"),
+        ("0020,0052", "K"),
+        ("0020,0200", "K"),
+    ],
+    "RETAIN_DEVICE_IDENTITY": [
+        ("0008,1010", "K"),
+        ("0018,1000", "K"),
+        ("0018,1002", "K"),
+        ("0018,700A", "K"),
+    ],
+    "RETAIN_INSTITUTION_IDENTITY": [
+        ("0008,0080", "K"),
+        ("0008,0081", "K"),
+        ("0008,1040", "K"),
+    ],
+    "RETAIN_PATIENT_CHARACTERISTICS": [
+        ("0010,0040", "K"),
+        ("0010,1010", "K"),
+        ("0010,1020", "K"),
+        ("0010,1030", "K"),
+        ("0010,2160", "K"),
+        ("0010,21A0", "K"),
+        ("0010,2110", "C"),
+    ],
+    "RETAIN_LONGITUDINAL_TEMPORAL_INFORMATION": [
+        ("0008,0020", "K"),
+        ("0008,0021", "K"),
+        ("0008,0022", "K"),
+        ("0008,0023", "K"),
+        ("0008,002A", "K"),
+        ("0008,0030", "K"),
+        ("0008,0031", "K"),
+        ("0008,0032", "K"),
+        ("0008,0033", "K"),
+    ],
+    "RETAIN_SAFE_PRIVATE": [
+        ("7053,xx00", "K"),
+        ("7053,xx09", "K"),
+        ("00E1,xx21", "K"),
+        ("01E1,xx26", "K"),
+        ("01F1,xx01", "K"),
+        ("01F1,xx07", "K"),
+        ("01F1,xx26", "K"),
+        ("01F1,xx27", "K"),
+        ("0019,xx23", "K"),
+        ("0019,xx24", "K"),
+        ("0019,xx27", "K"),
+        ("0043,xx27", "K"),
+        ("0043,xx6F", "K"),
+        ("0045,xx01", "K"),
+        ("0045,xx02", "K"),
+        ("0903,xx10", "K"),
+        ("0903,xx11", "K"),
+        ("0903,xx12", "K"),
+        ("2001,xx03", "K"),
+        ("2001,xx04", "K"),
+        ("2005,xx0D", "K"),
+        ("2005,xx0E", "K"),
+        ("0019,xx0C", "K"),
+        ("0019,xx0D", "K"),
+        ("0019,xx0E", "K"),
+        ("0051,xx0F", "K"),
+        ("0019,xx1E", "K"),
     ],
-    "RETAIN_UIDS": [(t, "K") for t in (
-        "0000,1001 0002,0003 0008,0014 0008,0018 0008,1140 0008,1155 0008,2112 0008,3010 0018,1002 0018,2042 0020,000D "
-        "0020,000E 0020,0052 0020,0200").split()],
-    "RETAIN_DEVICE_IDENTITY": [(t, "K") for t in "0008,1010 0018,1000 0018,1002 0018,700A".split()],
-    "RETAIN_INSTITUTION_IDENTITY": [(t, "K") for t in "0008,0080 0008,0081 0008,1040".split()],
-    "RETAIN_PATIENT_CHARACTERISTICS": [(t, "K") for t in (
-        "0010,0040 0010,1010 0010,1020 0010,1030 0010,2160 0010,21A0").split()] + [("0010,2110", "C")],
-    "RETAIN_LONGITUDINAL_TEMPORAL_INFORMATION": [(t, "K") for t in (
-        "0008,0020 0008,0021 0008,0022 0008,0023 0008,002A 0008,0030 0008,0031 0008,0032 0008,0033").split()],
-    # safe private attributes (table E.3.10-1)
-    "RETAIN_SAFE_PRIVATE": [(t, "K") for t in (
-        "7053,xx00 7053,xx09 00E1,xx21 01E1,xx26 01F1,xx01 01F1,xx07 01F1,xx26 01F1,xx27 0019,xx23 0019,xx24 0019,xx27 "
-        "0043,xx27 0043,xx6F 0045,xx01 0045,xx02 0903,xx10 0903,xx11 0903,xx12 2001,xx03 2001,xx04 2005,xx0D 2005,xx0E "
-        "0019,xx0C 0019,xx0D 0019,xx0E 0051,xx0F 0019,xx1E").split()],
 }
 
 
@@ -106,14 +346,29 @@ DESCRIPTION = {name: text for name, text, _, _, _ in OPTIONS}
 SUPPORTED = {name for name, _, _, ok, _ in OPTIONS if ok}
 
 
-def profile_rows() -> list[tuple[str, int, int, int, str]]:
+BUILT_IN = tuple((option, text, code) for option, ops in ATTRIBUTE_OPS.items() for text, code in ops)
+
+
+def read_operations(path: str) -> tuple[tuple[str, str, str], ...]:
+    """(option, attribute pattern, operation) from a CSV file with these columns: the complete table of the standard, in the
+    edition that applies.  ``Profile(options, read_operations(path))`` uses it instead of the built-in part."""
+    with open(path, newline="", encoding="utf-8") as rows:
+        found = tuple((r["option"], r["attribute"], r["operation"]) for r in csv.DictReader(rows))
+    unknown = {o for o, _, _ in found} - set(RANK) | {c for _, _, c in found} - set(EFFECT)
+    if unknown:
+        raise ValueError(f"no such option or operation {sorted(unknown)}")
+    return found
+
+
+def profile_rows(operations: tuple[tuple[str, str, str], ...] = BUILT_IN) -> list[tuple[str, int, int, int, str]]:
     """(option, rank, tag, mask, op)"""
-    return [(o, RANK[o], *pattern(p), code) for o, ops in ATTRIBUTE_OPS.items() for p, code in ops]
+    return [(o, RANK[o], *pattern(p), code) for o, p, code in operations]
 
 
 @dataclass(frozen=True)
 class Profile:
     options: tuple[str, ...]
+    operations: tuple[tuple[str, str, str], ...] = BUILT_IN
 
     def __post_init__(self):
         unknown = [o for o in self.options if o not in RANK]
@@ -122,7 +377,7 @@ class Profile:
             raise ValueError(f"no such option {unknown}, not supported {unsupported}")
 
     def completed(self) -> Profile:
-        return self if "BASIC_PROFILE" in self.options else Profile(("BASIC_PROFILE", *self.options))
+        return self if "BASIC_PROFILE" in self.options else Profile(("BASIC_PROFILE", *self.options), self.operations)
 
     @property
     def method(self) -> str:
@@ -130,7 +385,7 @@ class Profile:
 
     @cached_property
     def rows(self) -> list[tuple[str, int, int, int, str]]:
-        return sorted((r for r in profile_rows() if r[0] in self.options), key=lambda r: -r[1])
+        return sorted((r for r in profile_rows(self.operations) if r[0] in self.options), key=lambda r: -r[1])
 
     @cached_property
     def _exact(self) -> dict[int, str]:

@@ -17,6 +17,10 @@ from tierbook import schema as S
 from tierbook.functions.scalar import like_contains, like_prefix
 
 
+#: Rows of a page when the caller names none.
+PAGE_ROWS = 20
+
+
 @dataclass(frozen=True)
 class Catalogue:
     patient: DataFrame
@@ -100,8 +104,13 @@ def check_column(frame: DataFrame, name: str | None) -> None:
 
 
 def page(frame: DataFrame, order_by: str | None, ascending: bool, start: int = 0, count: int | None = None) -> DataFrame:
-    """Order by one column with the id as tiebreak, then cut a page: a top-k, not a full sort."""
+    """Order by one column with the id as tiebreak, then cut a page: a top-k, not a full sort.
+
+    A page that starts beyond the first row has ``PAGE_ROWS`` rows unless told otherwise; ``page_after`` reads deep pages.
+    """
     check_column(frame, order_by)
+    if start and count is None:
+        count = PAGE_ROWS
     keys = [] if order_by is None else [F.col(order_by).asc() if ascending else F.col(order_by).desc()]
     if order_by != "id":
         keys.append(F.col("id").asc())
@@ -113,6 +122,23 @@ def page(frame: DataFrame, order_by: str | None, ascending: bool, start: int = 0
     return frame if count is None else frame.limit(count)
 
 
+def page_after(frame: DataFrame, order_by: str, ascending: bool, last: tuple[object, int] | None, count: int | None = None) -> DataFrame:
+    """The page after the row with order value and id ``last``: a filter and a top-k of ``count`` rows, however deep.
+
+    Null order values come first when ascending, last when not, as in ``page``.
+    """
+    check_column(frame, order_by)
+    if last is not None:
+        value, row_id = F.lit(last[0]), last[1]
+        tie = F.col(order_by).eqNullSafe(value) & (F.col("id") > row_id)
+        if last[0] is None:
+            beyond = F.col(order_by).isNotNull() if ascending else F.lit(False)
+        else:
+            beyond = F.col(order_by) > value if ascending else (F.col(order_by) < value) | F.col(order_by).isNull()
+        frame = frame.filter(tie | beyond)
+    return page(frame, order_by, ascending, 0, PAGE_ROWS if count is None else count)
+
+
 def text_filter(frame: DataFrame, columns: list[str], value: str | None, prefix: bool = False) -> DataFrame:
     """Free text: any of the columns holds the value, case ignored."""
     if value is None:

@@ -26,8 +26,8 @@ def involved(elements: DataFrame, attributes: DataFrame) -> DataFrame:
 def rule_values(elements: DataFrame, attributes: DataFrame, sequences: bool = False) -> DataFrame:
     """(series_id, sequence, tag, value) for every place a rule attribute can look at.
 
-    With ``sequences`` the first item of the named sequence is read; a sequence without a first item falls back to the
-    root attribute.
+    With ``sequences`` the first item of the named sequence is read, ``(gggg,eeee)[1].(gggg,eeee)`` names one inside another;
+    a sequence without a first item falls back to the root attribute.
     """
     root = involved(elements, attributes).select(
         "series_id", F.lit("").alias("sequence"), F.col("tag_path").alias("tag"), comma_values(F.col("values")).alias("value")
@@ -36,16 +36,18 @@ def rule_values(elements: DataFrame, attributes: DataFrame, sequences: bool = Fa
         return root
     asked = attributes.filter(F.col("sequence") != "").select("sequence", "tag").distinct()
     inside = (
-        elements.filter(F.col("tag_path").contains("[1]."))
+        elements.filter(F.col("tag_path").rlike(r"^\([0-9A-F,]+\)(\[1\]\.\([0-9A-F,]+\))+$"))
+        .select("series_id", F.split("tag_path", r"\[1\]\.").alias("steps"), comma_values(F.col("values")).alias("value"))
         .select(
-            "series_id",
-            F.split_part("tag_path", F.lit("[1]."), F.lit(1)).alias("sequence"),
-            F.split_part("tag_path", F.lit("[1]."), F.lit(2)).alias("tag"),
-            comma_values(F.col("values")).alias("value"),
+            "series_id", "steps", "value", F.element_at("steps", -1).alias("tag"),
+            F.array_join(F.slice("steps", 1, F.size("steps") - 1), "[1].").alias("sequence"),
         )
-        .join(asked.select("sequence").distinct(), "sequence", "left_semi")
     )
-    resolved = inside.select("series_id", "sequence").distinct()
+    # a first item is there if anything is inside it, at any depth
+    depth = F.explode(F.sequence(F.lit(1), F.size("steps") - 1))
+    resolved = inside.select("series_id", "steps", depth.alias("depth")).select(
+        "series_id", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "[1].").alias("sequence")).distinct()
+    inside = inside.join(asked.select("sequence").distinct(), "sequence", "left_semi")
     fallback = (
         root.drop("sequence").join(asked, "tag")
         .join(resolved, ["series_id", "sequence"], "left_anti")

@@ -16,7 +16,8 @@ RETRY_MS = 15_000
 def create_outgoing(requests: DataFrame, values: DataFrame) -> dict[str, DataFrame]:
     """One transaction per request group with numbered images and their attribute values.
 
-    ``requests`` is (transaction_id, box_id, image_id), ``values`` (image_id, tag_path, value).
+    ``requests`` is (transaction_id, box_id, image_id), ``values`` (transaction_id, image_id, tag_path, value): the same image
+    may be sent with other values in another transaction.
     """
     transactions = requests.groupBy("transaction_id", "box_id").agg(F.count(F.lit(1)).alias("total")).select(
         "transaction_id", "box_id", "total", F.lit(0).cast("bigint").alias("sent_count"), F.lit("WAITING").alias("status")
@@ -25,7 +26,7 @@ def create_outgoing(requests: DataFrame, values: DataFrame) -> dict[str, DataFra
         requests.select("transaction_id", "image_id"), ["transaction_id"], ["image_id"],
         split_by(F.col("image_id"), RANK_SPAN), "sequence",
     ).withColumn("sent", F.lit(False))
-    tag_values = images.select("transaction_id", "image_id", "sequence").join(values, "image_id")
+    tag_values = images.select("transaction_id", "image_id", "sequence").join(values, ["transaction_id", "image_id"])
     return {"transactions": transactions, "images": images, "values": tag_values}
 
 
@@ -61,17 +62,17 @@ def outgoing_progress(totals: DataFrame, sent: DataFrame) -> DataFrame:
         "transaction_id", "total", done.alias("sent_count"), status.alias("status"))
 
 
-def incoming_progress(events: DataFrame) -> DataFrame:
-    """Counters per incoming transaction from its received rows, in order of ``sequence``.
+def incoming_progress(events: DataFrame, width_ms: int = 60_000) -> DataFrame:
+    """Counters per incoming transaction from its received rows, in order of arrival (``ts_ms``, then ``sequence``).
 
     Every row counts one up and caps at the total it names, so the count after n rows is the smallest of n and, over all
     rows k, total(k) + n - k.  With row numbers this is one minimum, which combines on the map side; row numbers come from
     the bucketed window, so one huge transaction spreads over many tasks.
     """
     key = ["box_id", "transaction_id"]
-    bucket = split_by(F.col("sequence"), RANK_SPAN)
-    ranked = numbered(events, key, ["sequence", "ts_ms"], bucket, "k")
-    added = numbered(events.filter("added").select(*key, "sequence", "ts_ms", "total"), key, ["sequence", "ts_ms"], bucket, "k")
+    bucket, order = split_by(F.col("ts_ms"), width_ms), ["ts_ms", "sequence"]
+    ranked = numbered(events, key, order, bucket, "k")
+    added = numbered(events.filter("added").select(*key, "sequence", "ts_ms", "total"), key, order, bucket, "k")
 
     def capped(count: Column) -> Column:
         return F.least(count, count + F.min(F.col("total") - F.col("k")))

@@ -238,8 +238,7 @@ def _involved_elements(fx: Fixtures, reps, nested: bool):
     asked = {a[1] for a in rows}
     paths = [p for p, _, _ in V.ELEMENTS if p in asked or (nested and "[1]." in p)]
     images = fx.images().join(reps.select(F.col("image_id").alias("id")), "id", "left_semi")
-    series_of = reps.select("image_id", "series_id")
-    return fx.elements(images, paths).join(series_of, "image_id")
+    return fx.elements(images, paths, keep=("series_id",))
 
 
 def _classified(fx: Fixtures, nested: bool):
@@ -332,9 +331,8 @@ def _filter_sql(black: bool, white: bool) -> str:
 
 
 def _filtered(fx: Fixtures, blacklist: bool, whitelist: bool):
-    source = fx.series_sources().select(F.col("id").alias("series_ref"), "sourcetype", "sourceid")
-    owner = fx.images().join(source, "series_ref").select(F.col("id").alias("image_id"), "sourcetype", "sourceid")
-    elements = fx.elements().select("image_id", "tag_path").join(owner, "image_id")
+    source = fx.series_sources().select(F.col("id").alias("series_id"), "sourcetype", "sourceid")
+    elements = fx.elements(keep=("sourcetype", "sourceid"), of_series=source)
     spec = T.specs(fx.tag_filters(), fx.tag_filter_paths(), fx.source_tag_filters())
     return T.apply_filters(elements, spec, blacklist, whitelist).select("image_id", "tag_path", "sourcetype", "sourceid")
 

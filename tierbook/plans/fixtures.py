@@ -168,9 +168,12 @@ class Fixtures:
             .join(self.patients().withColumnRenamed("id", "patient_id"), "patient_id")
         )
 
-    def elements(self, images: DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
+    def elements(self, images: DataFrame | None = None, paths: list[str] | None = None, keep: tuple[str, ...] = (),
+                 of_series: DataFrame | None = None) -> DataFrame:
+        """Element rows; ``of_series`` adds columns by series_id before the images are spread into elements."""
         wanted = [e for e in V.ELEMENTS if paths is None or e[0] in paths]
-        return unpivot(self.flat_images(images), wanted)
+        flat = self.flat_images(images)
+        return unpivot(flat if of_series is None else flat.join(of_series, "series_id"), wanted, keep)
 
     # -- rules and filters -------------------------------------------------------------------------------------
 
@@ -322,7 +325,8 @@ class Fixtures:
             (F.col("role") == "user").alias("added"),
             # the sender may correct the total while it sends
             F.when(F.col("turn") == 1, F.lit(1).cast("bigint")).otherwise(F.col("turns") + F.col("conv_id") % 2).alias("total"),
-            (F.col("turn") * 1000).alias("ts_ms"),
+            # eight are sent at a time, so they do not arrive in the order of their numbers
+            ((F.col("turn") * 7 + F.col("conv_id")) % 10 * 1000 + F.col("turn")).alias("ts_ms"),
         )
 
     def import_log(self) -> DataFrame:

@@ -107,7 +107,7 @@ FX: dict[str, str] = {
     "ELSE 'PROCESSING' END AS status FROM fx_outgoing_images GROUP BY transaction_id",
     "fx_incoming_events": "SELECT conv_id % 5 AS box_id, conv_id AS transaction_id, turn + 1 AS sequence, "
     "CASE WHEN role <> 'system' THEN conv_id * 10 + turn % 7 + 1 END AS image_id, role = 'user' AS added, "
-    "CASE WHEN turn = 1 THEN 1::BIGINT ELSE count(*) OVER (PARTITION BY conv_id) + conv_id % 2 END AS total, turn * 1000 AS ts_ms FROM conversations",
+    "CASE WHEN turn = 1 THEN 1::BIGINT ELSE count(*) OVER (PARTITION BY conv_id) + conv_id % 2 END AS total, (turn * 7 + conv_id) % 10 * 1000 + turn AS ts_ms FROM conversations",
     "fx_import_log": "SELECT series_ref % 20 AS session_id, id AS image_id, l_quantity = 50 AS rejected, turn, "
     "l_shipdate, l_partkey, l_suppkey, l_extendedprice, imageType, epoch_us(l_shipdate) // 1000 AS ts_ms FROM fx_arrivals",
     "fx_boxes": "SELECT r_regionkey::BIGINT AS id, r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'POLL' "

@@ -30,8 +30,8 @@ def outgoing_create(fx: Fixtures):
     """All images of each patient as one transaction, with a value for the type-A images."""
     flat = fx.flat_images()
     requests = flat.select(F.col("patient_id").alias("transaction_id"), (F.col("patient_id") % 5).alias("box_id"), "image_id")
-    values = fx.images().filter(F.col("imageType").startswith("A")).select(
-        F.col("id").alias("image_id"), F.lit("(0008,1030)").alias("tag_path"), F.concat(F.lit("Sent "), "imageType").alias("value"))
+    values = flat.filter(F.col("imageType").startswith("A")).select(
+        F.col("patient_id").alias("transaction_id"), "image_id", F.lit("(0008,1030)").alias("tag_path"), F.concat(F.lit("Sent "), "imageType").alias("value"))
     made = T.create_outgoing(requests, values)
     return (
         made["transactions"].select(F.lit("transaction").alias("kind"), "transaction_id", F.col("box_id").alias("a"),
@@ -112,9 +112,9 @@ def outgoing_progress(fx: Fixtures):
 # -- incoming --------------------------------------------------------------------------------------------------
 
 _INCOMING = (
-    "WITH f AS (SELECT box_id, transaction_id, list_reduce(list(total ORDER BY sequence), lambda r, t: least(t, r + 1), 0::BIGINT) AS "
-    "received, list_reduce(coalesce(list(total ORDER BY sequence) FILTER (WHERE added), []), lambda r, t: least(t, r + 1), 0::BIGINT) AS "
-    "added, arg_max(total, sequence) AS total, count(DISTINCT sequence) AS sequences, count(image_id) AS members FROM fx_incoming_events "
+    "WITH f AS (SELECT box_id, transaction_id, list_reduce(list(total ORDER BY ts_ms), lambda r, t: least(t, r + 1), 0::BIGINT) AS "
+    "received, list_reduce(coalesce(list(total ORDER BY ts_ms) FILTER (WHERE added), []), lambda r, t: least(t, r + 1), 0::BIGINT) AS "
+    "added, arg_max(total, ts_ms) AS total, count(DISTINCT sequence) AS sequences, count(image_id) AS members FROM fx_incoming_events "
     "GROUP BY ALL) SELECT box_id, transaction_id, received, added, total, sequences, members, CASE WHEN received >= total THEN "
     "'FINISHED' ELSE 'PROCESSING' END AS status FROM f"
 )

@@ -138,12 +138,50 @@ ACCEPTED_SYNTAXES = [
     "1.2.840.10008.1.2.4.50",
 ]
 ACCEPTED_IMAGE_CLASSES = [
-    "1.2.840.10008.5.1.4.1.1." + tail
-    for tail in (
-        "1 1.1 501.2.2 1.2 1.2.1 1.3 1.3.1 2 2.1 3 3.1 4 4.1 4.2 6 6.1 12.1 12.1.1 12.2 12.2.1 13.1.1 13.1.2 "
-        "13.1.3 14.1 14.2 20 77.1.1 77.1.2 77.1.3 77.1.5.1 77.1.5.2 77.1.5.4 77.1.6 128 130 481.1 66.4"
-    ).split()
+    "1.2.840.10008.5.1.4.1.1.1",
+    "1.2.840.10008.5.1.4.1.1.1.1",
+    "1.2.840.10008.5.1.4.1.1.501.2.2",
+    "1.2.840.10008.5.1.4.1.1.1.2",
+    "1.2.840.10008.5.1.4.1.1.1.2.1",
+    "1.2.840.10008.5.1.4.1.1.1.3",
+    "1.2.840.10008.5.1.4.1.1.1.3.1",
+    "1.2.840.10008.5.1.4.1.1.2",
+    "1.2.840.10008.5.1.4.1.1.2.1",
+    "1.2.840.10008.5.1.4.1.1.3",
+    "1.2.840.10008.5.1.4.1.1.3.1",
+    "1.2.840.10008.5.1.4.1.1.4",
+    "1.2.840.10008.5.1.4.1.1.4.1",
+    "1.2.840.10008.5.1.4.1.1.4.2",
+    "1.2.840.10008.5.1.4.1.1.6",
+    "1.2.840.10008.5.1.4.1.1.6.1",
+    "1.2.840.10008.5.1.4.1.1.12.1",
+    "1.2.840.10008.5.1.4.1.1.12.1.1",
+    "1.2.840.10008.5.1.4.1.1.12.2",
+    "1.2.840.10008.5.1.4.1.1.12.2.1",
+    "1.2.840.10008.5.1.4.1.1.13.1.1",
+    "1.2.840.10008.5.1.4.1.1.13.1.2",
+    "1.2.840.10008.5.1.4.1.1.13.1.3",
+    "1.2.840.10008.5.1.4.1.1.14.1",
+    "1.2.840.10008.5.1.4.1.1.14.2",
+    "1.2.840.10008.5.1.4.1.1.20",
+    "1.2.840.10008.5.1.4.1.1.77.1.1",
+    "1.2.840.10008.5.1.4.1.1.77.1.2",
+    "1.2.840.10008.5.1.4.1.1.77.1.3",
+    "1.2.840.10008.5.1.4.1.1.77.1.5.1",
+    "1.2.840.10008.5.1.4.1.1.77.1.5.2",
+    "1.2.840.10008.5.1.4.1.1.77.1.5.4",
+    "1.2.840.10008.5.1.4.1.1.77.1.6",
+    "1.2.840.10008.5.1.4.1.1.128",
+    "1.2.840.10008.5.1.4.1.1.130",
+    "1.2.840.10008.5.1.4.1.1.481.1",
+    "1.2.840.10008.5.1.4.1.1.66.4",
+]
+ACCEPTED_EXTENDED_CLASSES = [
+    "1.2.840.10008.5.1.4.1.1.7",
+    "1.2.840.10008.5.1.4.1.1.7.1",
+    "1.2.840.10008.5.1.4.1.1.7.2",
+    "1.2.840.10008.5.1.4.1.1.7.3",
+    "1.2.840.10008.5.1.4.1.1.7.4",
 ]
-ACCEPTED_EXTENDED_CLASSES = ["1.2.840.10008.5.1.4.1.1." + tail for tail in "7 7.1 7.2 7.3 7.4".split()]
 
 SOURCE_TYPES = ("scp", "directory", "box", "user", "import", "unknown")

@@ -12,8 +12,9 @@ BULK_VRS = ("OW", "OF", "OB", "OD")
 BULK_LIMIT = 20
 
 
-def unpivot(images: DataFrame, elements: list[tuple[str, str, str]]) -> DataFrame:
+def unpivot(images: DataFrame, elements: list[tuple[str, str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
     """Turn one wide row per image into element rows ``(path, vr, SQL expression)``; a null value is an absent element.
+    The columns in ``keep`` are carried along, so nobody has to join them to the element rows.
 
     The path arrays are literals, so the explode is a narrow step: no shuffle.
     """
@@ -23,10 +24,10 @@ def unpivot(images: DataFrame, elements: list[tuple[str, str, str]]) -> DataFram
         for path, vr, value in elements
     )
     return (
-        images.select("image_id", F.expr(f"explode(array({entries}))").alias("e"))
+        images.select("image_id", *keep, F.expr(f"explode(array({entries}))").alias("e"))
         .filter("e.value IS NOT NULL")
         .selectExpr(
-            "image_id", "element_at(e.path_tags, -1) AS tag", "e.tag_path", "e.path_tags", "e.vr",
+            "image_id", *keep, "element_at(e.path_tags, -1) AS tag", "e.tag_path", "e.path_tags", "e.vr",
             "CAST(length(e.value) AS BIGINT) AS length",
             r"CASE WHEN e.vr = 'SQ' THEN CAST(array() AS ARRAY<STRING>) ELSE split(e.value, '\\\\') END AS values",
         )
@@ -56,10 +57,19 @@ def pick(keyword: str) -> Column:
     return F.max(F.when(F.col("tag_path") == S.TAG_TEXT[keyword], F.get("values", F.lit(0))))
 
 
+def pick_number(keyword: str) -> Column:
+    return F.max(F.when(F.col("tag_path") == S.TAG_TEXT[keyword], F.get("values", F.lit(0)).try_cast("bigint")))
+
+
 def pick_joined(keyword: str) -> Column:
     return F.max(F.when(F.col("tag_path") == S.TAG_TEXT[keyword], join_values(F.col("values"))))
 
 
+def every_image(elements: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with a row for each image that has elements of any kind."""
+    return elements.select("image_id").distinct().join(found, "image_id", "left")
+
+
 def root_only(elements: DataFrame, keywords: list[str]) -> DataFrame:
     """Narrow to a few root attributes before anything is shuffled."""
     return elements.filter(F.col("tag_path").isin(*[S.TAG_TEXT[k] for k in keywords]))
@@ -67,9 +77,8 @@ def root_only(elements: DataFrame, keywords: list[str]) -> DataFrame:
 
 def image_information(elements: DataFrame) -> DataFrame:
     keys = ["InstanceNumber", "ImageIndex", "NumberOfFrames", "SmallestImagePixelValue", "LargestImagePixelValue"]
-    per_image = root_only(elements, keys).groupBy("image_id").agg(
-        *[pick(k).try_cast("bigint").alias(k) for k in keys]
-    )
+    # numbers are compared as numbers and every image has a row, whatever it holds
+    per_image = elements.groupBy("image_id").agg(*[pick_number(k).alias(k) for k in keys])
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     return per_image.select(
         "image_id",
@@ -84,15 +93,18 @@ def extract_levels(elements: DataFrame) -> DataFrame:
     """Promoted properties of the four levels, one row per image, absent = empty string."""
     keywords = {p: S.PROPERTY_KEYWORD[p] for lv in S.LEVELS.values() for p in lv.props}
     aggs = [
-        F.coalesce(pick_joined(k) if p == "imageType" else pick(k), F.lit("")).alias(p) for p, k in keywords.items()
+        (pick_joined(k) if p == "imageType" else pick(k)).alias(p) for p, k in keywords.items()
     ]
-    return root_only(elements, list(keywords.values())).groupBy("image_id").agg(*aggs)
+    found = root_only(elements, list(keywords.values())).groupBy("image_id").agg(*aggs)
+    return every_image(elements, found).select("image_id", *[F.coalesce(p, F.lit("")).alias(p) for p in keywords])
 
 
 def context_rows(elements: DataFrame) -> DataFrame:
-    return root_only(elements, ["SOPClassUID", "TransferSyntaxUID"]).groupBy("image_id").agg(
-        F.coalesce(pick("SOPClassUID"), F.lit("")).alias("sop_class"),
-        F.coalesce(pick("TransferSyntaxUID"), F.lit("")).alias("transfer_syntax"),
+    found = root_only(elements, ["SOPClassUID", "TransferSyntaxUID"]).groupBy("image_id").agg(
+        pick("SOPClassUID").alias("sop_class"), pick("TransferSyntaxUID").alias("transfer_syntax")
+    )
+    return every_image(elements, found).select(
+        "image_id", F.coalesce("sop_class", F.lit("")).alias("sop_class"), F.coalesce("transfer_syntax", F.lit("")).alias("transfer_syntax")
     )
 
 

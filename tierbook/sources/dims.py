@@ -12,13 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierbook import schema as S
 
-MAX_ROWS = 10_000
-
 
 def constant_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
-    """A frame of program constants; ``columns`` maps name to a Spark SQL type."""
-    if len(rows) > MAX_ROWS:
-        raise ValueError("constant tables are for program constants only")
+    """A frame of rows written in the program; ``columns`` maps name to a Spark SQL type.  Tables of a user come from files."""
     arrays = {name: [row[i] for row in rows] for i, name in enumerate(columns)}
     types = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(),
              "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}

@@ -50,6 +50,6 @@ def manifest(images: DataFrame, flat: DataFrame) -> DataFrame:
 
 
 def write_manifest(frame: DataFrame, path: str) -> None:
-    """Partitioned by patient folder; a hot patient is split over several files by a hash of the entry."""
-    spread = frame.repartition("patient_folder", F.pmod(F.xxhash64("entry"), F.lit(64)))
+    """Partitioned by patient folder; the rebalance joins small parts and splits a hot patient over as many files as it needs."""
+    spread = frame.hint("rebalance", "patient_folder")
     spread.write.mode("overwrite").partitionBy("patient_folder").parquet(path)

@@ -142,7 +142,7 @@ def forwarding_sessions(stream: DataFrame, rules: DataFrame, idle: str, delay: s
 def incoming_counters(stream: DataFrame, work: str) -> None:
     """Running counters per incoming transaction; only changed transactions are written per batch."""
     counted = stream.groupBy("box_id", "transaction_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("added").alias("new_rows"), F.max_by("total", "sequence").alias("total"))
+        F.count(F.lit(1)).alias("rows"), F.count_if("added").alias("new_rows"), F.max_by("total", F.struct("ts_ms", "sequence")).alias("total"))
     run_batches(counted, work, delta_writer(work, lambda batch: batch), mode="update")
 
 
