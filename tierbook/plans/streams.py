@@ -133,7 +133,8 @@ def stream_incoming(fx: Fixtures):
     totals = fx.table("conversations").groupBy("conv_id").agg((F.count(F.lit(1)) + F.first("conv_id") % 2).alias("total"))
     stream = StreamedFixtures(fx, "conversations").table("conversations").join(totals, "conv_id").select(
         (F.col("conv_id") % 5).alias("box_id"), F.col("conv_id").alias("transaction_id"), (F.col("turn") + 1).alias("sequence"),
-        (F.col("role") == "user").alias("added"), "total")
+        (F.col("role") == "user").alias("added"), "total",
+        ((F.col("turn") * 7 + F.col("conv_id")) % 10 * 1000 + F.col("turn")).alias("ts_ms"))
     J.incoming_counters(stream, work)
     return J.current_counters(J.read_deltas(fx.spark, work))
 
