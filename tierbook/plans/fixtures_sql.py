@@ -87,8 +87,8 @@ FX: dict[str, str] = {
     "studyInstanceUID, 'AS' || g || '.' || studyID AS anonStudyInstanceUID, seriesInstanceUID, "
     "'AE' || g || '.' || seriesInstanceUID AS anonSeriesInstanceUID, sopInstanceUID, "
     "'AO' || g || '.' || sopInstanceUID AS anonSOPInstanceUID, studyDescription, protocolName, studyID "
-    "FROM (SELECT *, unnest([1::BIGINT, 2::BIGINT]) AS g FROM fx_flat_images WHERE imageType LIKE 'A%' "
-    "AND studyDescription = 'FURNITURE' AND modality = 'F' AND patientSex = 'F')",
+    "FROM (SELECT *, unnest([1::BIGINT, 2::BIGINT]) AS g FROM fx_flat_images WHERE patient_id < 10 OR "
+    "(imageType LIKE 'A%' AND studyDescription = 'FURNITURE' AND modality = 'F'))",
     "fx_anon_key_values": "SELECT key_id, v.tag_path AS tag_path, v.val AS value, 'anon ' || v.val AS anon_value FROM "
     "(SELECT id AS key_id, unnest([{'tag_path': '(0008,1030)', 'val': studyDescription}, "
     "{'tag_path': '(0020,0010)', 'val': studyID}, {'tag_path': '(0018,1030)', 'val': protocolName}]) AS v "
