@@ -33,8 +33,9 @@ GRAM = 64
 #: Positions handled at a time; a position fits the low bits of a packed minimum.
 SLICE = 1 << 20
 LOW = np.uint64(SLICE - 1)
-SHARD_BYTES = 3_000_000
-CROWD = 4000
+#: About 100 bytes of memory are needed for each byte of a shard.
+SHARD_BYTES = 1_500_000
+CROWD = 1000
 #: A side of a join is broadcast while it holds at most this many entries (about 30 bytes each); beyond, both are shuffled.
 BROADCAST_ENTRIES = 1_000_000
 #: Fixed odd multipliers of the gram hash (digits of the golden ratio and of the square root of two).

@@ -41,7 +41,7 @@ class Hashes(dict):
     """Hash of each token, remembered up to a bounded number."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[token] = zlib.crc32(token)
         return value

@@ -164,9 +164,12 @@ def rising(text: np.ndarray, run: np.ndarray) -> np.ndarray:
 
 def star_names(text: np.ndarray, up: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, bool]:
     """Order-keeping names of the tuples from each S* position to the next, and whether some are equal."""
-    symbol = (text.astype(np.uint64) << np.uint64(1) | up) + np.uint64(1)
-    symbol = np.append(symbol, np.zeros(8, np.uint64))
-    four = symbol[:-3] << np.uint64(48) | symbol[1:-2] << np.uint64(32) | symbol[2:-1] << np.uint64(16) | symbol[3:]
+    # four symbols with their kinds in one number, put together in place
+    symbol = np.append(text.astype(np.uint16) << 1 | up, np.zeros(3, np.uint16)) + np.uint16(1)
+    symbol[len(text) :] = 0
+    four = np.zeros(len(text) + 1, np.uint64)
+    for k in range(4):
+        four[:-1] |= symbol[k : k + len(text)].astype(np.uint64) << np.uint64(48 - 16 * k)
     length = np.diff(np.append(stars, len(text))) + 1
     rank, active, done = np.zeros(len(stars), np.int64), np.arange(len(stars)), 0
     same = np.zeros(0, np.int64)
