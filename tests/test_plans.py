@@ -42,3 +42,19 @@ def test_standalone_elements_are_not_shuffled(spark):
     """The bulk of the rows of a forced run: no exchange keyed by image beyond the per-image part."""
     text = plan(spark, "deid_remove")
     assert "hashpartitioning(image_id" not in text
+
+
+@pytest.mark.parametrize(
+    ("name", "scans", "exchanges"),
+    [("tag_blacklist", 1, 3), ("tag_whitelist", 1, 3), ("tag_filter_combined", 1, 3), ("extract_levels", 2, 4), ("image_information", 1, 4),
+     ("flat_series", 0, 3), ("incoming_progress", 0, 15), ("next_outgoing", 0, 6), ("anon_key_match", 14, 43)],
+)
+def test_tables_are_read_and_shuffled_no_more_than_needed(spark, name, scans, exchanges):
+    text = plan(spark, name)
+    assert text.count("lineitem.parquet") <= scans
+    assert text.count("Exchange hashpartitioning") <= exchanges
+
+
+@pytest.mark.parametrize("name", ["tag_blacklist", "tag_whitelist", "tag_filter_combined"])
+def test_elements_are_not_shuffled_to_find_their_source(spark, name):
+    assert "hashpartitioning(image_id" not in plan(spark, name)

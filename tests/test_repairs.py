@@ -94,3 +94,23 @@ def test_operations_from_a_file(tmp_path):
     path.write_text("option,attribute,operation\nNO_SUCH,\"0010,0010\",X\n")
     with pytest.raises(ValueError, match="NO_SUCH"):
         read_operations(str(path))
+
+
+def test_keys_match_at_the_deepest_level_and_duplicates_do_no_harm(spark):
+    from tierbook.operators import keys as K
+
+    columns = ["id long", "created long", "image_id long"] + [f"{c} string" for pair in zip(K.REAL, K.ANON, strict=True) for c in pair]
+
+    def key(i, created, *values):
+        return (i, created, i, *[x for v in values for x in (v, f"a{v}")])
+
+    keys = spark.createDataFrame([key(1, 1, "P", "1", "st", "se", "im"), key(2, 5, "P", "1", "st", "se", "im"), key(3, 9, "P", "1", "st", "se2", "im9"),
+                                  key(4, 2, "P", "1", "st3", "se3", "im3")], ", ".join(columns))
+    asked = [(1, "P", "1", "st", "se", "im"), (2, "P", "1", "st", "se", "x"), (3, "P", "1", "st", "y", "x"), (4, "P", "1", "z", "y", "x"), (5, "Q", "1", "st", "se", "im")]
+    requests = spark.createDataFrame(asked, "image_id long, " + ", ".join(f"{c} string" for c in K.REAL))
+    found = {r["image_id"]: (r["match_level"], r["key_id"]) for r in K.match_keys(requests, keys).collect()}
+    assert found == {1: (4, 2), 2: (3, 2), 3: (2, 3), 4: (1, 3), 5: (1, None)}
+    values = spark.createDataFrame([(1, "(0008,1030)", "b", "ab"), (1, "(0008,1030)", "a", "aa"), (1, "(0010,0010)", "P", "aP")],
+                                   "key_id long, tag_path string, value string, anon_value string")
+    maps = {r["key_id"]: r["pairs"] for r in K.key_maps(keys, values, "value").collect()}
+    assert maps[1]["(0008,1030)"] == "a" and len(maps[1]) == 6

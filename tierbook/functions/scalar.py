@@ -24,6 +24,16 @@ def comma_values(values: Column) -> Column:
     return F.coalesce(F.array_join(values, ","), F.lit(""))
 
 
+def map_of(entries: Column) -> Column:
+    """A map of an array of (tag_path, value) structs; of entries that share a path the first in sort order counts."""
+    ordered = F.sort_array(entries)
+    first = F.filter(
+        F.transform(ordered, lambda e, i: F.struct(e.alias("e"), ((i == 0) | (e["tag_path"] != F.get(ordered, i - 1)["tag_path"])).alias("new"))),
+        lambda x: x["new"],
+    )
+    return F.map_from_entries(F.transform(first, lambda x: x["e"]))
+
+
 def mask_hit(tag: Column, mask: int, masked_tag: int) -> Column:
     return tag.bitwiseAND(F.lit(mask).cast("bigint")) == F.lit(masked_tag).cast("bigint")
 

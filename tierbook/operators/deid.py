@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierbook import schema as S
-from tierbook.functions.scalar import join_values, pseudo_uid
+from tierbook.functions.scalar import join_values, map_of, pseudo_uid
 from tierbook.operators.keys import IDENTITY_PATHS, VALUE_LEVEL
 from tierbook.operators.profile import EFFECT, Profile
 
@@ -177,7 +177,7 @@ def _per_image(elements: DataFrame, context: DataFrame | None, custom: DataFrame
         images = images.join(context.select("image_id", "match_level", "pairs"), "image_id", "left")
     if custom is not None:
         maps = custom.filter(path.isin(*VALUE_PATHS)).groupBy("image_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("tag_path", "value"))).alias("custom"))
+            map_of(F.collect_set(F.struct("tag_path", "value"))).alias("custom"))
         images = images.join(maps, "image_id", "left")
     if strategy is None:
         return images

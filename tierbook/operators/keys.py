@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierbook import schema as S
+from tierbook.functions.scalar import map_of
 from tierbook.operators.query import Predicate, all_of, check_column, page, text_filter
 
 REAL = ["patientName", "patientID", "studyInstanceUID", "seriesInstanceUID", "sopInstanceUID"]
@@ -32,9 +33,19 @@ def query_keys(keys: DataFrame, predicates: tuple[Predicate, ...], order_by: str
     return page(keys.filter(all_of([p.on(F.col(p.prop)) for p in predicates])), order_by, ascending, start, count)
 
 
-def latest_keys(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Newest key per value combination; ``max_by`` combines on the map side, whatever the number of generations."""
-    return keys.groupBy(*columns).agg(F.max_by("id", F.struct("created", "id")).alias("__key"))
+def newest_keys(keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Newest key (``key``: created, id) per combination of all five identity values, under their plain names."""
+    named = keys.select(*[F.col(c).alias(r) for c, r in zip(columns, REAL, strict=True)], F.struct("created", "id").alias("key"))
+    return named.groupBy(*REAL).agg(F.max("key").alias("key"))
+
+
+def _prefixes(frame: DataFrame, *keep: str) -> DataFrame:
+    """A row for series, study and patient of each row: ``depth`` and the identity values down to it, empty below."""
+    rows = [
+        F.struct(F.lit(depth).alias("depth"), *[(F.col(c) if i < depth else F.lit("")).alias(f"at_{c}") for i, c in enumerate(REAL[:4])])
+        for level, depth in DEPTH.items() if level != "IMAGE"
+    ]
+    return frame.select(*keep, F.explode(F.array(*rows)).alias("at")).select(*keep, "at.*")
 
 
 def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) -> DataFrame:
@@ -42,20 +53,23 @@ def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) ->
 
     ``requests`` has one row per image with the five identity values under their plain names.  Adds ``match_level``
     (rank 1..4) and ``key_id``; without a hit the level is PATIENT and the key null.
+
+    Series, study and patient are settled on the distinct series of the requests, of which there are far fewer than images
+    and no hot ones; the images then meet their own key and the answer of their series.
     """
-    columns = ANON if anonymous else REAL
-    frame = requests
-    for level, depth in DEPTH.items():
-        found = latest_keys(keys, columns[:depth]).toDF(*REAL[:depth], f"__{level}")
-        frame = frame.join(found, REAL[:depth], "left")
-    hit = [F.col(f"__{level}") for level in DEPTH]
-    level = F
-    for name, column in zip(DEPTH, hit, strict=True):
-        level = level.when(column.isNotNull(), F.lit(S.LEVEL_RANK[name]))
+    newest = newest_keys(keys, ANON if anonymous else REAL)
+    series, at = REAL[:4], [f"at_{c}" for c in REAL[:4]]
+    levels = _prefixes(newest, "key").groupBy("depth", *at).agg(F.max("key").alias("key"))
+    asked = _prefixes(requests.select(*series).distinct(), *series)
+    answers = asked.join(levels, ["depth", *at]).groupBy(*series).agg(F.max(F.struct("depth", "key.id")).alias("above"))
+    frame = requests.join(newest, REAL, "left").join(answers, series, "left")
+    level = F.when(F.col("key").isNotNull(), F.lit(S.LEVEL_RANK["IMAGE"]))
+    for name, depth in DEPTH.items():
+        level = level.when(F.col("above.depth") == depth, F.lit(S.LEVEL_RANK[name]))
     return frame.select(
         *requests.columns,
         level.otherwise(F.lit(S.LEVEL_RANK["PATIENT"])).cast("bigint").alias("match_level"),
-        F.coalesce(*hit).alias("key_id"),
+        F.coalesce("key.id", "above.id").alias("key_id"),
     )
 
 
@@ -72,9 +86,9 @@ def key_pairs(keys: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def key_maps(keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """One map path -> value per key; a key has at most one pair per value attribute, so maps stay small."""
+    """One map path -> value per key, small as there are few value attributes; of pairs that share a path the least value counts."""
     pairs = key_pairs(keys, values).select("key_id", F.struct("tag_path", column).alias("e"))
-    return pairs.groupBy("key_id").agg(F.map_from_entries(F.collect_list("e")).alias("pairs"))
+    return pairs.groupBy("key_id").agg(map_of(F.collect_set("e")).alias("pairs"))
 
 
 def with_key_values(matched: DataFrame, keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
