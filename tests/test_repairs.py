@@ -114,3 +114,30 @@ def test_keys_match_at_the_deepest_level_and_duplicates_do_no_harm(spark):
                                    "key_id long, tag_path string, value string, anon_value string")
     maps = {r["key_id"]: r["pairs"] for r in K.key_maps(keys, values, "value").collect()}
     assert maps[1]["(0008,1030)"] == "a" and len(maps[1]) == 6
+
+
+def test_ingest_keeps_ids_links_levels_and_feeds_queries(spark):
+    from tierbook import schema as S
+    from tierbook.operators import maintain as M
+
+    props = [p for lv in S.LEVELS.values() for p in lv.props]
+
+    def arrivals(*rows):
+        data = [tuple({"patientName": p, "patientID": "1", "studyInstanceUID": st, "seriesInstanceUID": se, "sopInstanceUID": im, "modality": mod}.get(c, "")
+                      for c in props) + (src, src + "1", 1, t) for p, st, se, im, mod, src, t in rows]
+        return spark.createDataFrame(data, ", ".join(f"{p} string" for p in props) + ", sourcetype string, sourcename string, sourceid long, t long")
+
+    first = M.ingest(M.empty_catalogue(spark), arrivals(("A", "st", "se", "i1", "CT", "box", 1), ("A", "st", "se", "i2", "MR", "user", 2),
+                                                        ("A", "st", "se", "i1", "CT", "box", 0)), F.col("t"))
+    assert [r[2:] for r in first.added.select("image_id", "series_id", "patient_added", "study_added", "series_added", "image_added").collect()] == [(True,) * 4] * 2
+    assert first.catalogue.series.first()["modality"] == "MR" and first.catalogue.series_sources.first()["sourcetype"] == "user"
+    old = {r["sopInstanceUID"]: r["id"] for r in first.catalogue.image.collect()}
+    second = M.ingest(first.catalogue, arrivals(("A", "st", "se", "i2", "PT", "scp", 3), ("A", "st2", "se", "i2", "NM", "box", 4), ("B", "st", "se", "i1", "CT", "box", 5)), F.col("t"))
+    cat = second.catalogue
+    images = [(r["sopInstanceUID"], r["id"]) for r in cat.image.collect()]
+    assert len(images) == 4 == len({i for _, i in images}) and set(old.items()) <= set(images)
+    assert (cat.patient.count(), cat.study.count(), cat.series.count(), cat.series_sources.count()) == (2, 3, 3, 3)
+    flags = sorted(tuple(r[c] for c in ("patient_added", "study_added", "series_added", "image_added")) for r in second.added.collect())
+    assert flags == [(False,) * 4, (False, True, True, True), (True,) * 4]
+    found = Q.run_query(cat, "series", Q.Query(predicates=(Q.Predicate("modality", "=", "PT"),), filters=Q.Filters(sources=(("scp", 1),)))).collect()
+    assert len(found) == 1

@@ -5,13 +5,15 @@ Every operator is a function from tables to new tables; callers write the result
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierbook import schema as S
+from tierbook.operators.ordered import allocate_ids
 from tierbook.operators.query import Catalogue
+from tierbook.session import materialise
 
 
 def key_path(level: str) -> list[str]:
@@ -68,6 +70,64 @@ def snapshot_of(batch: DataFrame, order: Column) -> dict[str, DataFrame]:
     return {name: latest(batch, key_path(name), own_props(name), order) for name in S.LEVELS}
 
 
+# -- ingest ----------------------------------------------------------------------------------------------------
+
+SOURCE = ("sourcetype", "sourcename", "sourceid")
+
+
+@dataclass(frozen=True)
+class Ingest:
+    catalogue: Catalogue
+    added: DataFrame  # one row per image that arrived: ids of the four levels and whether each of them is new
+
+
+def empty_catalogue(spark: SparkSession) -> Catalogue:
+    def frame(columns: list[str]) -> DataFrame:
+        kinds = {"id": "bigint", "sourceid": "bigint"} | {lv.ref: "bigint" for lv in S.LEVELS.values()}
+        return spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns))
+
+    return Catalogue(**{name: frame(lv.columns) for name, lv in S.LEVELS.items()}, series_sources=frame(["id", *SOURCE]))
+
+
+def ingest(cat: Catalogue, arrivals: DataFrame, order: Column) -> Ingest:
+    """Insert or update all four levels and the sources of their series; the result is a catalogue for the next query.
+
+    ``arrivals`` has one row per arrival of an image with the properties of all levels and its source; the last one in
+    ``order`` wins.  A row that is known by its natural key inside its parent keeps its id, a new one gets the next free id.
+    Arrivals are read once: they are reduced to the last write of each image, and every level is rolled up from the one below.
+    """
+    batch = arrivals.withColumn("patientName", F.substring("patientName", 1, S.NAME_LIMIT)).withColumn("__order", order)
+    levels = list(S.LEVELS)
+    rolled: dict[str, DataFrame] = {}
+    for rank in range(len(levels), 0, -1):
+        name, below = levels[rank - 1], batch if rank == len(levels) else rolled[levels[rank]]
+        props = [p for upper in levels[:rank] for p in own_props(upper)] + (list(SOURCE) if rank >= S.SERIES.rank else [])
+        last = below.groupBy(*key_path(name)).agg(F.max_by(F.struct(*props, "__order"), "__order").alias("r"))
+        rolled[name] = materialise(last.select(*key_path(name), "r.*"), f"ingest-{name}")
+    tables: dict[str, DataFrame] = {}
+    with_ids: dict[str, DataFrame] = {}
+    for name, lv in S.LEVELS.items():
+        rows, known = rolled[name], cat.level(name)
+        on = [*lv.key, *([lv.ref] if lv.ref else [])]
+        if lv.parent:
+            above = with_ids[lv.parent].select(*key_path(lv.parent), F.col("id").alias(lv.ref))
+            rows = rows.join(above, key_path(lv.parent))
+        rows = rows.join(known.select(F.col("id").alias("__known"), *on), on, "left")
+        free = F.coalesce(known.agg(F.max("id")).scalar(), F.lit(0)) + 1
+        new = allocate_ids(rows.filter("__known IS NULL"), key_path(name), free).withColumn("added", F.lit(True))
+        old = rows.filter("__known IS NOT NULL").withColumn("id", F.col("__known")).withColumn("added", F.lit(False))
+        columns = list(dict.fromkeys([*lv.columns, *key_path(name), *(SOURCE if name == "series" else ()), "added"]))
+        with_ids[name] = materialise(old.select(*columns).unionByName(new.select(*columns)), f"ingest-ids-{name}")
+        tables[name] = known.select(*lv.columns).join(with_ids[name], "id", "left_anti").unionByName(with_ids[name].select(*lv.columns))
+    came = with_ids["series"].select("id", *SOURCE)
+    sources = cat.series_sources.select("id", *SOURCE).join(came, "id", "left_anti").unionByName(came)
+    added = with_ids["image"].select(F.col("id").alias("image_id"), F.col("series_ref").alias("series_id"), F.col("added").alias("image_added"))
+    for name, lv in ((n, S.LEVELS[n]) for n in ("series", "study", "patient")):
+        parent = [F.col(lv.ref).alias(f"{lv.parent}_id")] if lv.parent else []
+        added = added.join(with_ids[name].select(F.col("id").alias(f"{name}_id"), *parent, F.col("added").alias(f"{name}_added")), f"{name}_id")
+    return Ingest(replace(cat, **tables, series_sources=sources), added)
+
+
 # -- delete ----------------------------------------------------------------------------------------------------
 
 

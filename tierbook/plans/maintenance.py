@@ -79,6 +79,45 @@ def ingest_upsert(fx: Fixtures):
     return level_rows(M.upsert_hierarchy(old, batch, F.col("arrival")))
 
 
+_KEYS5 = ", ".join(M.key_path("image"))
+_LAST = "l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, imageType DESC"
+
+
+def _new(level: str) -> str:
+    return f"min(l_shipdate) OVER (PARTITION BY {', '.join(M.key_path(level))}) >= DATE '{CUTOFF}'"
+
+
+@query(
+    "ingest_catalogue",
+    f"WITH wide AS ({_WIDE}), w AS (SELECT *, {', '.join(_new(n) + f' AS {n}_new' for n in S.LEVELS)}, row_number() OVER (PARTITION BY "
+    f"{_KEYS5} ORDER BY {_LAST}) AS rn, first_value(['box', 'directory', 'user'][l_suppkey % 3 + 1]) OVER (PARTITION BY "
+    f"{', '.join(M.key_path('series'))} ORDER BY {_LAST} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sourcetype, max(l_shipdate) OVER "
+    f"(PARTITION BY {_KEYS5}) >= DATE '{CUTOFF}' AS came FROM wide) SELECT sopInstanceUID, seriesInstanceUID, studyInstanceUID, patientName, imageType, "
+    "sourcetype, CASE WHEN came THEN patient_new END AS patient_added, CASE WHEN came THEN study_new END AS study_added, CASE WHEN came THEN "
+    "series_new END AS series_added, CASE WHEN came THEN image_new END AS image_added, true AS known_once FROM w WHERE rn = 1",
+)
+def ingest_catalogue(fx: Fixtures):
+    """Two ingests into an empty catalogue, the second one from the cutoff on; images with their parents found over ids."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("box", "directory", "user")]), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    wide = wide_arrivals(fx).withColumns({"sourcetype": kind, "sourcename": F.concat(kind, F.lit("1")), "sourceid": F.lit(1).cast("bigint")})
+    late = F.col("ship_date") >= F.lit(CUTOFF).cast("date")
+    first = M.ingest(M.empty_catalogue(fx.spark), wide.filter(~late), F.col("arrival"))
+    last = M.ingest(first.catalogue, wide.filter(late), F.col("arrival"))
+    cat = last.catalogue
+    series = (
+        cat.series.select(F.col("id").alias("series_ref"), "study_ref", "seriesInstanceUID")
+        .join(cat.study.select(F.col("id").alias("study_ref"), "patient_ref", "studyInstanceUID"), "study_ref")
+        .join(cat.patient.select(F.col("id").alias("patient_ref"), "patientName"), "patient_ref")
+        .join(cat.series_sources.select(F.col("id").alias("series_ref"), "sourcetype"), "series_ref")
+    )
+    once = cat.image.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("known_once"))
+    return (
+        cat.image.join(series, "series_ref").join(once, "id").join(last.added.withColumnRenamed("image_id", "id"), "id", "left")
+        .select("sopInstanceUID", "seriesInstanceUID", "studyInstanceUID", "patientName", "imageType", "sourcetype", "patient_added", "study_added",
+                "series_added", "image_added", "known_once")
+    )
+
+
 _DOOMED = ("(SELECT i.id FROM fx_images i JOIN fx_flat_series f ON f.id = i.series_ref JOIN nation n ON "
            "n.n_nationkey = f.patient_id WHERE i.imageType LIKE '%F' OR n.n_regionkey = 0)")
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SQL_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -54,3 +54,11 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = os.path.join(tempfile.gettempdir(), "tierbook")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(frame: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder and read again: computed once, whatever reads them, and safe from lost executors."""
+    spark = frame.sparkSession
+    path = work_dir(spark, label)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
