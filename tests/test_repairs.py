@@ -141,3 +141,18 @@ def test_ingest_keeps_ids_links_levels_and_feeds_queries(spark):
     assert flags == [(False,) * 4, (False, True, True, True), (True,) * 4]
     found = Q.run_query(cat, "series", Q.Query(predicates=(Q.Predicate("modality", "=", "PT"),), filters=Q.Filters(sources=(("scp", 1),)))).collect()
     assert len(found) == 1
+
+
+def test_images_of_closed_transactions_can_be_deleted(spark):
+    from tierbook.operators import forwarding as W
+
+    rules = spark.createDataFrame([(1, "box", 1, "scu", 5, False), (2, "box", 2, "scu", 5, False), (3, "box", 3, "scu", 5, True)],
+                                  "rule_id long, sourcetype string, sourceid long, destinationtype string, destinationid long, keep_images boolean")
+    members = spark.createDataFrame([(1, 0, 7, 1, 10), (1, 0, 8, 1, 11), (2, 0, 9, 1, 12), (2, 500, 9, 1, 510), (3, 0, 4, 1, 3)],
+                                    "rule_id long, session_start long, image_id long, arrivals long, last_ts long")
+    sent = spark.createDataFrame([("scu", 5, i) for i in (7, 9, 4)], "destinationtype string, destinationid long, image_id long")
+    state = W.flags(W.transactions(members), W.for_destination(rules, members, sent), 100_000)
+    closed = W.finalise(state, rules)
+    # the second transaction of rule 2 is not delivered, so its source keeps all images
+    assert sorted((r["rule_id"], r["action"]) for r in closed.collect()) == [(1, "delete"), (3, "remove")]
+    assert sorted(r[0] for r in W.images_to_delete(closed, members).collect()) == [7, 8]

@@ -62,6 +62,12 @@ def finalise(flagged: DataFrame, rules: DataFrame) -> DataFrame:
     return remove.unionByName(delete)
 
 
+def images_to_delete(closed: DataFrame, members: DataFrame) -> DataFrame:
+    """Images of the transactions that end with ``delete``, each once."""
+    gone = closed.filter(F.col("action") == "delete").select(*KEY)
+    return members.join(gone, KEY, "left_semi").select("image_id").distinct()
+
+
 def route(flagged: DataFrame, rules: DataFrame, failed: DataFrame) -> DataFrame:
     """Send transactions to the sink of their destination type; a failed network destination makes them fresh again."""
     down = failed.select("destinationid").distinct().withColumn("__down", F.lit(True))

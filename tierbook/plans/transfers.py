@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierbook.operators import forwarding as W
@@ -10,6 +11,7 @@ from tierbook.operators.ordered import sessions
 from tierbook.plans import fixture_values as V
 from tierbook.plans.fixtures import Fixtures
 from tierbook.plans.registry import query
+from tierbook.session import materialise
 
 IDLE = 2 * V.HOUR_MS
 NOW = V.NOW_MS
@@ -222,7 +224,8 @@ def matched(fx: Fixtures):
 
 
 def members(fx: Fixtures):
-    return W.batches(matched(fx), IDLE)
+    """Members are read by every later step, so they are written once."""
+    return materialise(W.batches(matched(fx), IDLE), "members")
 
 
 def sent_reports(fx: Fixtures):
@@ -231,10 +234,10 @@ def sent_reports(fx: Fixtures):
         (F.col("user_id") % 5).alias("destinationid"), (F.col("event_id") % 500).alias("image_id"))
 
 
-def state(fx: Fixtures):
-    batch = members(fx)
+def state(fx: Fixtures, batch: DataFrame | None = None):
+    batch = members(fx) if batch is None else batch
     hits = W.for_destination(fx.forwarding_rules(), batch, sent_reports(fx))
-    return W.flags(W.transactions(batch), hits, NOW, IDLE)
+    return materialise(W.flags(W.transactions(batch), hits, NOW, IDLE), "transactions")
 
 
 @query("forwarding_match", f"WITH {_MATCH} SELECT event_id, image_id, rule_id FROM m")
@@ -265,10 +268,26 @@ def forwarding_delivered(fx: Fixtures):
     return state(fx).select("rule_id", "session_start", "delivered", "enroute")
 
 
+_CLOSED = (f"{_FLAGS}, k AS (SELECT s.*, r.sourcetype, r.sourceid, r.keep_images FROM state s JOIN fx_forwarding_rules r ON r.rule_id = "
+           "s.rule_id WHERE r.rule_id <> 8)")
+
+
+@query(
+    "forwarding_deletes",
+    f"WITH {_CLOSED} SELECT DISTINCT m.image_id AS image_id FROM k JOIN members m ON m.rule_id = k.rule_id AND m.session_start = "
+    "k.session_start WHERE k.delivered AND NOT k.keep_images AND NOT EXISTS (SELECT 1 FROM k o WHERE o.sourcetype = k.sourcetype AND "
+    "o.sourceid = k.sourceid AND NOT o.delivered)",
+)
+def forwarding_deletes(fx: Fixtures):
+    """Images that the closing transactions allow to be deleted."""
+    batch = members(fx)
+    closed = W.finalise(state(fx, batch), fx.forwarding_rules().filter("rule_id <> 8"))
+    return W.images_to_delete(closed, batch)
+
+
 @query(
     "forwarding_finalize",
-    f"WITH {_FLAGS}, k AS (SELECT s.*, r.sourcetype, r.sourceid, r.keep_images FROM state s JOIN fx_forwarding_rules r ON r.rule_id = "
-    "s.rule_id WHERE r.rule_id <> 8) SELECT rule_id, session_start, CASE WHEN keep_images THEN 'remove' ELSE 'delete' END AS action FROM k "
+    f"WITH {_CLOSED} SELECT rule_id, session_start, CASE WHEN keep_images THEN 'remove' ELSE 'delete' END AS action FROM k "
     "WHERE delivered AND (keep_images OR NOT EXISTS (SELECT 1 FROM k o WHERE o.sourcetype = k.sourcetype AND o.sourceid = k.sourceid AND "
     "NOT o.delivered))",
 )
