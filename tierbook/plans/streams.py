@@ -53,7 +53,9 @@ def stream_ingest(fx: Fixtures):
     stream = wide_arrivals(StreamedFixtures(fx, "lineitem"))
     keys, props = M.key_path("image"), M.own_props("image")
     J.ingest_upsert(stream, work, keys, props, "arrival")
-    current = J.resolve(J.read_deltas(fx.spark, work), keys, props, F.col("arrival"))
+    base = f"{work}/base"
+    J.compact(J.read_deltas(fx.spark, work), keys, props, "arrival", base)
+    current = J.resolve(fx.spark.read.parquet(base), keys, props, F.col("arrival"))
     return level_rows({"image": current}, status=False)
 
 

@@ -48,12 +48,21 @@ def work_dir(spark: SparkSession, label: str) -> str:
     All executors must see the folder, so a cluster has to name it.  Only a local session, where driver and
     executors share one machine, falls back to a temporary folder.
     """
+    return f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def job_dir(spark: SparkSession, job: str) -> str:
+    """The folder of a job that goes on where it stopped: the same for every run under this name."""
+    return f"{_root(spark)}/jobs/{job}"
+
+
+def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = os.path.join(tempfile.gettempdir(), "tierbook")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
 
 
 def materialise(frame: DataFrame, label: str) -> DataFrame:

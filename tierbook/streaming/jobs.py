@@ -1,8 +1,9 @@
 """Structured Streaming jobs.
 
-State and output of a job live below the shared work folder, so a restarted query goes on from its checkpoint.  Sinks of
+State and output of a job live below the folder it is given: under ``session.job_dir`` a restarted query goes on from its
+checkpoint.  Sinks of
 ``foreachBatch`` jobs write one folder per batch id and overwrite it, which makes a replayed batch harmless.  Merged tables
-are kept as append-only deltas that are resolved on read: the cost of a batch follows the size of the batch, not of the table.
+are kept as append-only deltas that are resolved on read: writing a batch costs what the batch weighs; reclassification also reads the series it touches.
 """
 
 from __future__ import annotations
