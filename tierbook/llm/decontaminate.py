@@ -13,7 +13,7 @@ is the empty string.  Repeated documents each get the same result.  Other column
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +172,12 @@ def _pass(shared, shard_words: int):
 
 
 def found_in(docs: DataFrame, items: DataFrame, row_columns: list[str], window: int = WINDOW, shard_words: int = SHARD_WORDS,
-             block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """row (the columns asked for), text, n_words, hits (merged word ranges) and items (ids of the items found)."""
+             block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+             then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, then_schema: StructType | None = None) -> DataFrame:
+    """row (the columns asked for), text, n_words, hits (merged word ranges) and items (ids of the items found).
+
+    ``then`` goes on with the batches of the last pass in the same task.
+    """
     spark = docs.sparkSession
     bench = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -187,10 +191,20 @@ def found_in(docs: DataFrame, items: DataFrame, row_columns: list[str], window:
         # a block holds about block_bytes of text, whatever the number of items
         block = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in block], window))
-        out = out.select("row", "text", "hits", "items").mapInArrow(_pass(shared, shard_words), schema)
+        step, last = _pass(shared, shard_words), k == blocks - 1
+        if last and then is not None:
+            step, schema = _followed(step, then), then_schema
+        out = out.select("row", "text", "hits", "items").mapInArrow(step, schema)
     return out
 
 
+def _followed(first, second):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from second(first(batches))
+
+    return run
+
+
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     found = found_in(docs, items, [id_col], **options)
@@ -215,14 +229,15 @@ def without_words(text: str, hits: list[dict]) -> str:
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with the words inside benchmark windows cut out; every row stays."""
-    found = found_in(docs, items, docs.columns, text_col=text_col, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            pairs = zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
             texts = [without_words(t, h) if h else t for t, h in pairs]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["row", "cut"])
 
-    schema = found.select("row").schema.add("cut", "string")
-    out = found.select("row", "text", "hits").mapInArrow(run, schema)
+    others = [c for c in docs.columns if c != text_col]
+    kind = StructType([docs.schema[c] for c in others])
+    schema = StructType().add("row", kind, False).add("cut", "string")
+    out = found_in(docs, items, others, text_col=text_col, then=run, then_schema=schema, **options)
     return out.select(*[F.col("cut").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -87,7 +87,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    found = toxicity.scored(docs, toxicity.fit(docs, labels))
+    found = toxicity.scored(docs, toxicity.fit(docs, labels), keep=["doc_id"])
     doc_id = F.col("row.doc_id")
     return found.select(doc_id, toxicity.held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
