@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tierbook.session import job_dir
+from tierbook.session import job_dir, work_dir
 from tierbook.streaming import jobs as J
 
 SCHEMA = "k string, v long, arrival long"
@@ -15,7 +15,7 @@ def put(spark, folder, number, rows):
 
 
 def test_upserts_go_on_from_the_checkpoint_and_compact(spark, tmp_path):
-    folder, work = str(tmp_path / "arrivals"), job_dir(spark, f"upserts-{tmp_path.name}")
+    folder, work = str(tmp_path / "arrivals"), str(tmp_path / "job")
     parts = [[("a", 1, 1), ("b", 1, 2)], [("a", 2, 5)], [("a", 3, 4), ("c", 1, 6)]]
     for number, rows in enumerate(parts):
         put(spark, folder, number, rows)
@@ -44,7 +44,12 @@ def test_incoming_counters_do_not_depend_on_the_triggers(spark, tmp_path):
         spark.createDataFrame([row], kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
     found = []
     for files in (None, 1, 2):
-        work = job_dir(spark, f"incoming-{tmp_path.name}-{files}")
+        work = str(tmp_path / f"job-{files}")
         J.incoming_counters(J.watch_files(spark, str(tmp_path / "in"), spark.createDataFrame([], kind).schema, files), work)
         found.append(sorted(tuple(r) for r in J.current_counters(J.read_deltas(spark, work)).collect()))
     assert found[0] == found[1] == found[2] == [(1, 7, 3, 2, 9, "PROCESSING"), (2, 8, 1, 1, 1, "FINISHED")]
+
+
+def test_job_folders_are_stable_and_work_folders_fresh(spark):
+    assert job_dir(spark, "a") == job_dir(spark, "a") != job_dir(spark, "b")
+    assert work_dir(spark, "a") != work_dir(spark, "a")
