@@ -55,3 +55,12 @@ def test_tree_matching_counts_the_largest_alignment():
     assert size == 5 and {x.label for x, _ in pairs} == {"#page", "div", "p", "ul", "li"}
     assert all(x.label == y.label for x, y in pairs)
     assert [n.tag for n in parsed("<ul><li>a<li>b</ul>").children[0].children] == ["li", "li"]
+
+
+def test_an_article_in_sections_is_taken_whole():
+    part = lambda k: f"<div class=part><h2>Part {k}</h2><p>{'text ' * 30}{k}</p></div>"
+    links = "<div class=x>" + "<a href=/>some link</a> " * 30 + "</div>"
+    html = f"<body><div>{links}</div><div class=page><div class=story>{part(1)}{part(2)}{part(3)}</div></div><div class=y>short end</div></body>"
+    root, shape = wrappers.shape_of(html)
+    text = wrappers.main_text(root, shape, None, set())
+    assert text == "\n\n".join(f"Part {k}\n\n{('text ' * 30)}{k}" for k in (1, 2, 3))

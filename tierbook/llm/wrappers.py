@@ -36,16 +36,18 @@ LEAST_PAGES = 4
 CONSTANT = 0.8
 #: A page tells something about the seed's template if at most this share of its text is the seed's.
 COPY = 0.5
+#: Without a marked article the region with most text is widened to a parent that holds this many times as much.
+GAIN = 1.25
 #: Wrappers are broadcast up to so many bytes; beyond, pages are shuffled by host.
 BROADCAST_BYTES = 16_000_000
 
 #: What marks parts of a page that are not its article.
 OUTSIDE_TAGS = frozenset("nav aside footer form dialog button select menu".split())
 OUTSIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent "
+    "ad ads alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent "
     "contentinfo cookie cookies discussion disqus footer gdpr login menu modal nav navbar navigation newsletter notice paywall popup "
-    "promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription toolbar widget".split()
+    "promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
+    "subscription toolbar trending widget".split()
 )
 HEADER_WORDS = frozenset("header masthead site-header topbar".split())
 MAIN_WORDS = frozenset({"main", "articlebody"})
@@ -161,6 +163,8 @@ def main_regions(root: Node) -> list[Node]:
     """Outermost articles or main elements that hold text, or else the subtree with the most text outside links."""
     regions: list[Node] = []
     mass: dict[int, int] = {}
+    whole: dict[int, int] = {}
+    above: dict[int, Node] = {}
     nodes: list[Node] = []
 
     def visit(node: Node, in_link: bool) -> tuple[int, int]:
@@ -172,9 +176,11 @@ def main_regions(root: Node) -> list[Node]:
                 total += n
                 direct += n
             elif not marked_outside(child, False):
+                above[id(child)] = node
                 below, own = visit(child, in_link or child.tag == "a")
                 total += below
                 direct += own if child.tag not in BLOCK or child.tag == "p" or child.tag[0] == "h" and child.tag[1:].isdigit() else 0
+        whole[id(node)] = total
         if node.tag in BLOCK and node.tag not in ("p", "html"):
             mass[id(node)] = direct
             nodes.append(node)
@@ -205,7 +211,14 @@ def main_regions(root: Node) -> list[Node]:
         return regions
     visit(root, False)
     best = max(nodes, key=lambda n: mass[id(n)], default=None)
-    return [root if best is None or not mass[id(best)] else best]
+    if best is None or not mass[id(best)]:
+        return [root]
+    # an article in several sections: upwards as long as that gains much text
+    node = best
+    while (node := above.get(id(node))) is not None:
+        if whole[id(node)] >= GAIN * whole[id(best)]:
+            best = node
+    return [best]
 
 
 def blocks_of(region: Node) -> list[str]:
