@@ -59,3 +59,27 @@ def test_records_across_blocks(spark):
             spark.conf.set(k, v)
     files = [p.read_bytes() for p in Path(path).glob("part-*")]
     assert all(f.startswith(b"WARC/1.0\r\n") and f.endswith(b"\r\n\r\n") for f in files if f)
+
+
+def test_scans_that_split_the_files_differently(spark, monkeypatch):
+    pages = spark.createDataFrame([(*r, "d", 1) for r in ROWS], SCHEMA).coalesce(1)
+    path = work_dir(spark, "warc-test")
+    warc.write_archives(pages, path)
+    whole = order(tuple(str(x) for x in r[1:]) for r in warc.read_archives(spark, path).collect())
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in names}
+
+    def narrowed(df, label):
+        out = stored(df, label)
+        for k, v in zip(names, ("150", "1"), strict=True):
+            spark.conf.set(k, v)
+        return out
+
+    stored = warc.stored
+    monkeypatch.setattr(warc, "stored", narrowed)
+    try:
+        found = warc.read_archives(spark, path).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert order(tuple(str(x) for x in r[1:]) for r in found) == whole

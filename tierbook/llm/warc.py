@@ -6,7 +6,8 @@ others become revisit records that name it.
 
 Reading splits the files at the magic line, which may as well stand inside a payload.  Each piece is a candidate: its offset
 and header give the offset of its successor.  Pointer jumping from the start of a file keeps the candidates that can be
-reached, which are the records; a record whose payload holds the magic is put together from its pieces in a second scan.
+reached, which are the records; a record whose payload holds the magic is put together from its pieces in a second scan, which
+finds them by their SHA-256, as the two scans may split the files at other places.
 All candidates of one file meet in one task: their number is bounded by ``records_per_file`` of the writer (payloads are not
 among them).
 
@@ -135,9 +136,9 @@ def http_length(block: bytes) -> int | None:
 
 CANDIDATE = (
     "file string, block long, number long, size long, head long, content long, type string, id string, refers string, "
-    "digest string, payload_bytes long, payload_digest string"
+    "digest string, payload_bytes long, payload_digest string, mark string"
 )
-RECORD = "file string, type string, id string, refers string, digest string, payload_bytes long, payload_digest string, head long, content long, pieces array<struct<block:long,number:long>>"
+RECORD = "file string, type string, id string, refers string, digest string, payload_bytes long, payload_digest string, head long, content long, start long, pieces array<string>"
 
 
 def _measure(kind: str | None, block: bytes) -> tuple:
@@ -156,7 +157,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, content, kind, name, refers, digest = facts(piece)
         whole = content >= 0 and head + content + 4 == len(piece)
         measured = _measure(kind, piece[head : head + content]) if whole else (None, None)
-        rows.append((file, block, number, len(piece), head, content, kind, name, refers, digest, *measured))
+        rows.append((file, block, number, len(piece), head, content, kind, name, refers, digest, *measured, hashlib.sha256(piece).hexdigest()))
         if len(rows) == 5000:
             yield packed()
             rows.clear()
@@ -187,26 +188,24 @@ def _records(group: pa.Table) -> pa.Table:
     successor = np.where((content >= 0) & (start >= 0), begin + group["head"].to_numpy() + content + 4, -1)
     kept = reachable(start, successor)
     kept = kept[successor[kept] >= 0]
-    blocks, numbers = group["block"].to_pylist(), group["number"].to_pylist()
+    marks = group["mark"]
     ends = np.searchsorted(start, successor[kept])
     lists = [
-        [] if group["payload_bytes"][int(i)].is_valid else [{"block": blocks[k], "number": numbers[k]} for k in range(i, e)]
+        [] if group["payload_bytes"][int(i)].is_valid else marks.slice(int(i), int(e - i)).to_pylist()
         for i, e in zip(kept, ends, strict=True)
     ]
     out = group.take(pa.array(kept)).select(["file", "type", "id", "refers", "digest", "payload_bytes", "payload_digest", "head", "content"])
-    kind = pa.list_(pa.struct([("block", pa.int64()), ("number", pa.int64())]))
-    return out.append_column("pieces", pa.array(lists, kind))
-
-
-def _raw_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in numbered(batches):
-        yield pa.record_batch([pa.array([v]) for v in row], ["file", "block", "number", "value"])
+    return out.append_column("start", pa.array(start[kept], pa.int64())).append_column("pieces", pa.array(lists, pa.list_(pa.string())))
 
 
 def _joined(group: pa.Table) -> pa.Table:
     group = group.sort_by("at")
     head, content = group["head"][0].as_py(), group["content"][0].as_py()
+    if group.num_rows != group["parts"][0].as_py() or group["value"].null_count:
+        raise ValueError(f"record {group['id'][0].as_py()} of {group['file'][0].as_py()}: pieces are missing")
     block = MAGIC.encode().join(group["value"].to_pylist())[head : head + content]
+    if len(block) != content:
+        raise ValueError(f"record {group['id'][0].as_py()} of {group['file'][0].as_py()}: {len(block)} bytes of {content}")
     size, digest = _measure(group["type"][0].as_py(), block)
     first = group.slice(0, 1).select(["file", "type", "id", "refers", "digest"])
     return first.append_column("payload_bytes", pa.array([size], pa.int64())).append_column("payload_digest", pa.array([digest], pa.string()))
@@ -220,12 +219,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     split = records.where("size(pieces) > 0")
     out = records.where("size(pieces) = 0").select(*columns)
     if not split.isEmpty():
-        wanted = split.select("file", "type", "id", "refers", "digest", "head", "content", F.col("pieces")[0].alias("first"), F.posexplode("pieces").alias("at", "p"))
-        wanted = wanted.select("*", F.col("p.block").alias("block"), F.col("p.number").alias("number")).drop("p")
-        raw = _pieces(spark, path).mapInArrow(_raw_pieces, "file string, block long, number long, value binary")
-        found = wanted.join(raw, ["file", "block", "number"])
+        wanted = split.select(
+            "file", "type", "id", "refers", "digest", "head", "content", "start", F.size("pieces").alias("parts"), F.posexplode("pieces").alias("at", "mark")
+        )
+        raw = _pieces(spark, path).select(F.sha2("value", 256).alias("mark"), "value").join(wanted.select("mark").distinct(), "mark", "left_semi")
+        found = wanted.join(raw.dropDuplicates(["mark"]), "mark", "left")
         kinds = "file string, type string, id string, refers string, digest string, payload_bytes long, payload_digest string"
-        out = out.unionByName(found.groupBy("file", "first").applyInArrow(_joined, kinds))
+        out = out.unionByName(found.groupBy("file", "start").applyInArrow(_joined, kinds))
     return out
 
 
