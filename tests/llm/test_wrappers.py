@@ -64,3 +64,19 @@ def test_an_article_in_sections_is_taken_whole():
     root, shape = wrappers.shape_of(html)
     text = wrappers.main_text(root, shape, None, set())
     assert text == "\n\n".join(f"Part {k}\n\n{('text ' * 30)}{k}" for k in (1, 2, 3))
+
+
+def plain(html):
+    root, shape = wrappers.shape_of(html)
+    return wrappers.main_text(root, shape, None, set())
+
+
+def test_marks_are_whole_names_and_never_hold_the_article():
+    for name in ("content-sidebar-wrap", "has-sidebar", "with-comments", "no-ads", "widget", "sidebar-wrap"):
+        assert plain(f"<body><div class='{name}'><article><p>Story</p></article></div></body>") == "Story"
+        assert plain(f"<body><div class='{name}'><p>{'story ' * 50}</p></div><div class=ad>Buy</div></body>") == ("story " * 50).strip()
+    body = "<h2 id=discussion>Discussion</h2><section id=related><p>Work</p></section><p id=text-search>Search</p><p class=share-price>9</p>"
+    assert plain(f"<article>{body}<div class='share-buttons'>Tweet</div><div id=comments>First</div></article>") == "Discussion\n\nWork\n\nSearch\n\n9"
+    assert plain("<form id=aspnetform><main><p>Story</p></main></form>") == "Story"
+    teasers = "<div class=related>" + "<article>Teaser</article>" * 3 + "</div>"
+    assert plain(f"<body><div><p>The story</p></div>{teasers}</body>") == "The story"

@@ -29,10 +29,10 @@ NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 class Node:
     """An element: its children are nodes and pieces of undecoded text."""
 
-    __slots__ = ("tag", "names", "children", "slot")
+    __slots__ = ("tag", "names", "children", "slot", "kept")
 
     def __init__(self, tag: str, names: dict[str, str]):
-        self.tag, self.names, self.children, self.slot = tag, names, [], None
+        self.tag, self.names, self.children, self.slot, self.kept = tag, names, [], None, False
 
     @property
     def label(self) -> str:

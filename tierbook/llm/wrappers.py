@@ -8,8 +8,9 @@ there; pages whose text is mostly that of the seed (copies) say nothing and are
 all else are slots.
 
 The text of a page is that of its slots within the main region: an article, main element or the like if there is one, else
-the subtree that holds the most text outside links, headings and text together.  Elements whose tag, class, id or role says
-menu, header, footer, sidebar, notice, advert, form or comment are left out, and so are blocks that are template.
+the subtree that holds the most text outside links, headings and text together.  Elements whose tag, or a whole class, id or role,
+says menu, header, footer, sidebar, notice, advert, form or comment are left out unless they hold the article or most of the
+text, and so are blocks that are template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two line feeds.  Null
 html is empty and gives an empty text, as does a page without text.  Pages without a readable host, or without page_id, are
@@ -51,19 +52,77 @@ OUTSIDE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header masthead site-header topbar".split())
 MAIN_WORDS = frozenset({"main", "articlebody"})
+#: What may stand beside such a word in one class, id or role.
+AFFIXES = frozenset(
+    "area bar block bottom box btn button buttons container form global group icons inner item left link links list main mobile outer page panel "
+    "policy post posts primary right secondary section site slot thread title top unit wrap wrapper".split()
+)
+#: Ids that the headings of an article give to its sections as well.
+SLUGS = frozenset("discussion navigation notice promotion related respond search share sharing subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Marks are doubted for the sake of text only from so many characters.
+LEAST_KEPT = 200
 WORDS = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
 def marked_outside(node: Node, in_article: bool) -> bool:
-    if node.tag in OUTSIDE_TAGS or node.tag in RAW or node.tag == "head":
+    if node.tag in OUTSIDE_TAGS and not (node.tag == "form" and node.kept) or node.tag in RAW or node.tag == "head":
         return True
     if node.tag == "header" and not in_article:
         return True
     if not node.names or node.tag in ("body", "html", "article", "main") and "comment" not in node.names.get("class", ""):
         return False
-    said = set(WORDS.findall(" ".join(node.names.get(k, "") for k in ("class", "id", "role"))))
-    return bool(said & OUTSIDE_WORDS) or not in_article and bool(said & HEADER_WORDS)
+    if node.kept:
+        return False
+    said = node.names.get("class", "").split() + node.names.get("role", "").split()
+    name = node.names.get("id", "")
+    if name and node.tag not in HEADINGS and not (name in SLUGS and node.tag in ("section", "div", "a", "span", "p")):
+        said.append(name)
+    return any(says(token, OUTSIDE_WORDS) or not in_article and says(token, HEADER_WORDS) for token in said)
+
+
+def says(token: str, words: frozenset[str]) -> bool:
+    """The whole token is one of the words, or made of them and of affixes."""
+    if token in words:
+        return True
+    parts = WORDS.findall(token)
+    return any(p in words for p in parts) and all(p in words or p in AFFIXES or p.isdigit() for p in parts)
+
+
+def keep_articles(root: Node) -> None:
+    """Marks hold for no element around a main element, the article, or (without either) most of the text outside links."""
+    order: list[tuple[Node, int, bool]] = []
+    todo = [(root, -1, False)]
+    while todo:
+        node, up, in_link = todo.pop()
+        at = len(order)
+        order.append((node, up, in_link))
+        todo += [(c, at, in_link or c.tag == "a") for c in node.children if not isinstance(c, str) and c.tag not in RAW and c.tag != "head"]
+    mass = [0] * len(order)
+    for k in range(len(order) - 1, -1, -1):
+        node, up, in_link = order[k]
+        if not in_link:
+            mass[k] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if up >= 0:
+            mass[up] += mass[k]
+    # parents come before their children
+    lost = [False] * len(order)
+    for k, (node, up, _) in enumerate(order):
+        lost[k] = up >= 0 and lost[up] or node.tag in OUTSIDE_TAGS and node.tag != "form"
+    found = [k for k, (n, _, _) in enumerate(order) if n.tag == "main" and mass[k] and not lost[k]]
+    if not found:
+        articles = [k for k, (n, _, _) in enumerate(order) if n.tag == "article" and mass[k] and not lost[k] and not marked_outside(n, False)]
+        top = max(articles, key=lambda k: mass[k], default=-1)
+        # of several, that with most of their text: teasers are of a size
+        if top >= 0 and 2 * mass[top] > sum(mass[k] for k in articles if order[k][1] < 0 or order[order[k][1]][0].tag != "article"):
+            found = [top]
+        elif not articles:
+            found = [k for k in range(len(order)) if mass[k] >= LEAST_KEPT and 2 * mass[k] > mass[0] and not lost[k]]
+    for k in found:
+        while k >= 0 and not order[k][0].kept:
+            order[k][0].kept = True
+            k = order[k][1]
 
 
 # ---- compared trees -------------------------------------------------------------------------------------------------
@@ -252,6 +311,7 @@ def blocks_of(region: Node) -> list[str]:
 
 
 def main_text(root: Node, shape: Shape, seed: Shape | None, template: set[tuple[int, int]]) -> str:
+    keep_articles(root)
     if seed is not None and template:
         for mine, theirs in matched(shape, seed)[1]:
             constant = {text for k, text in enumerate(theirs.texts) if (theirs.number, k) in template}
