@@ -80,3 +80,9 @@ def test_marks_are_whole_names_and_never_hold_the_article():
     assert plain("<form id=aspnetform><main><p>Story</p></main></form>") == "Story"
     teasers = "<div class=related>" + "<article>Teaser</article>" * 3 + "</div>"
     assert plain(f"<body><div><p>The story</p></div>{teasers}</body>") == "The story"
+
+
+def test_template_that_outweighs_the_article(spark):
+    frame = "<body><div class=x>" + "".join(f"<p class=c{k}>{'house rule ' * 20}{k}</p>" for k in range(5)) + "</div><div class=y><p>Story {k} is short.</p></div></body>"
+    rows = [(k, "http://short.example/", frame.format(k=k)) for k in range(9)]
+    assert {k: t for k, _, t in run(spark, rows + rows[:1] * 30)} == {k: f"Story {k} is short." for k in range(9)}

@@ -4,11 +4,11 @@ For every host one page is the seed (that with the least hash).  The tree of eve
 the seed by simple tree matching: nodes with equal labels match, their children are aligned in order for the largest number
 of matches.  Siblings with equal labels are one node of the compared trees, as repeated records are.  Over all pages of the
 host, tasks count for each block of the seed how many pages matched its node and how many of them had a block of the same text
-there; pages whose text is mostly that of the seed (copies) say nothing and are not counted.  Constant blocks are template,
+there; pages whose text, blocks of most pages set aside, is mostly that of the seed (copies) say nothing and are not counted.  Constant blocks are template,
 all else are slots.
 
 The text of a page is that of its slots within the main region: an article, main element or the like if there is one, else
-the subtree that holds the most text outside links, headings and text together.  Elements whose tag, or a whole class, id or role,
+the subtree that holds the most text outside links and template, headings and text together.  Elements whose tag, or a whole class, id or role,
 says menu, header, footer, sidebar, notice, advert, form or comment are left out unless they hold the article or most of the
 text, and so are blocks that are template.
 
@@ -21,12 +21,11 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierbook.llm.common import stored
@@ -35,7 +34,8 @@ from tierbook.llm.pages import BLOCK, RAW, Node, parsed
 #: Pages that must differ from the seed before a host has a template, and the share that must agree on a constant text.
 LEAST_PAGES = 4
 CONSTANT = 0.8
-#: A page tells something about the seed's template if at most this share of its text is the seed's.
+#: Blocks that more than this share of the pages have too are set aside; a page tells something about the seed's template if at
+#: most this share of the rest of its text is the seed's.
 COPY = 0.5
 #: Without a marked article the region with most text is widened to a parent that holds this many times as much.
 GAIN = 1.25
@@ -199,20 +199,21 @@ def matched(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     return 1 + best[m][n], found
 
 
-def observed(page: Shape, seed: Shape) -> list[tuple[int, int]] | None:
-    """(number of the seed's node, which of its blocks the page has too; -1 for the node itself); None if the page is a copy."""
-    out, mass, shared = [], 0, 0
+def observed(page: Shape, seed: Shape) -> tuple[list[int], list[tuple[int, int, int]], int] | None:
+    """Numbers of the seed's nodes that the page has, which of their blocks it has too and their size, and the size of all its
+    text; None if nothing is its own."""
+    nodes, blocks, shared = [], [], 0
+    mass = sum(len(text) for s in numbered(page) for text in set(s.texts))
     for mine, theirs in matched(page, seed)[1]:
         texts = set(mine.texts) - {""}
         if not texts:
             continue
-        out.append((theirs.number, -1))
-        mass += sum(map(len, texts))
+        nodes.append(theirs.number)
         for k, text in enumerate(theirs.texts):
             if text in texts and text not in theirs.texts[:k]:
-                out.append((theirs.number, k))
+                blocks.append((theirs.number, k, len(text)))
                 shared += len(text)
-    return out if mass and shared <= COPY * mass else None
+    return (nodes, blocks, mass) if shared < mass else None
 
 
 # ---- text of a page -------------------------------------------------------------------------------------------------
@@ -226,17 +227,17 @@ def main_regions(root: Node) -> list[Node]:
     above: dict[int, Node] = {}
     nodes: list[Node] = []
 
-    def visit(node: Node, in_link: bool) -> tuple[int, int]:
+    def visit(node: Node, in_link: bool, constant: bool) -> tuple[int, int]:
         """Characters of text, and of the paragraphs right below."""
         total = direct = 0
         for child in node.children:
             if isinstance(child, str):
-                n = 0 if in_link else len(child.strip())
+                n = 0 if in_link or constant else len(child.strip())
                 total += n
                 direct += n
             elif not marked_outside(child, False):
                 above[id(child)] = node
-                below, own = visit(child, in_link or child.tag == "a")
+                below, own = visit(child, in_link or child.tag == "a", bool(child.slot) if child.tag in BLOCK else constant)
                 total += below
                 direct += own if child.tag not in BLOCK or child.tag == "p" or child.tag[0] == "h" and child.tag[1:].isdigit() else 0
         whole[id(node)] = total
@@ -268,7 +269,7 @@ def main_regions(root: Node) -> list[Node]:
                         todo.append(child)
     if regions:
         return regions
-    visit(root, False)
+    visit(root, False, False)
     best = max(nodes, key=lambda n: mass[id(n)], default=None)
     if best is None or not mass[id(best)]:
         return [root]
@@ -336,17 +337,42 @@ class Seeds(dict):
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per host and node of the seed, added up within the task."""
-    seeds, counts = Seeds(), Counter()
+    """What every page with text of its own has of the seed."""
+    seeds = Seeds()
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("block", pa.int32()), ("size", pa.int32())]))
     for batch in batches:
+        rows = []
         for host, html, seed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            for node, block in observed(shape_of(html)[1], seeds[seed]) or ():
-                counts[host, node, block] += 1
-    if counts:
-        host, node, block = zip(*counts, strict=True)
-        yield pa.record_batch(
-            [pa.array(host), pa.array(node, pa.int32()), pa.array(block, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["host", "node", "block", "n"]
-        )
+            found = observed(shape_of(html)[1], seeds[seed])
+            if found is not None:
+                nodes, blocks, mass = found
+                rows.append((host, nodes, [{"node": n, "block": k, "size": size} for n, k, size in blocks], mass))
+        if rows:
+            host, nodes, blocks, mass = zip(*rows, strict=True)
+            columns = [pa.array(host), pa.array(nodes, pa.list_(pa.int32())), pa.array(blocks, kind), pa.array(mass, pa.int64())]
+            yield pa.record_batch(columns, ["host", "nodes", "blocks", "mass"])
+
+
+def _shares(seen: DataFrame) -> DataFrame:
+    """host, node, block, in how many pages the block is the seed's (n) and how many have its node (pages)."""
+    nodes = seen.select("host", F.explode("nodes").alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages"))
+    blocks = seen.select("host", F.explode("blocks").alias("b")).groupBy("host", "b.node", "b.block").agg(F.count("*").alias("n"))
+    return blocks.join(nodes, ["host", "node"])
+
+
+def _templates(seen: DataFrame) -> DataFrame:
+    """The constant blocks of every host, from pages that are no copies of the seed once what most pages have is set aside."""
+    common = _shares(seen).where(F.col("n") > COPY * F.col("pages"))
+    common = stored(common.groupBy("host").agg(F.collect_list(F.struct("node", "block")).alias("common")), "common")
+    seen = seen.join(_sized(common, "16 * size(common)"), "host", "left").withColumn("common", F.expr("coalesce(common, array())"))
+
+    def size_of(which: str) -> Column:
+        return F.expr(f"aggregate(filter(blocks, b -> {which} array_contains(common, struct(b.node, b.block))), 0L, (s, b) -> s + b.size)")
+
+    rest = F.col("mass") - size_of("")
+    seen = seen.where((rest > 0) & (size_of("not") <= COPY * rest))
+    template = _shares(seen).where((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("pages")))
+    return template.groupBy("host").agg(F.collect_list(F.struct("node", "block")).alias("template"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,12 +399,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     picked = known.join(_sized(first, "length(host) + 8"), ["host", "mark"]).select("host", "html")
     # copies of the seed have its hash; one row a host is left
     seeds = stored(picked.groupBy("host").agg(F.first("html").alias("seed")), "seeds")
-    counts = known.join(_sized(seeds, "octet_length(seed)"), "host").select("host", "html", "seed").mapInArrow(_observe, "host string, node int, block int, n long")
-    counts = stored(counts.groupBy("host", "node", "block").agg(F.sum("n").alias("n")), "counts")
-    matches = counts.where("block < 0").select("host", "node", F.col("n").alias("pages"))
-    template = counts.where("block >= 0").join(matches, ["host", "node"])
-    template = template.where((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("pages")))
-    template = template.groupBy("host").agg(F.collect_list(F.struct("node", "block")).alias("template"))
-    wrappers = stored(seeds.join(template, "host"), "wrappers")
+    read = known.join(_sized(seeds, "octet_length(seed)"), "host").select("host", "html", "seed")
+    seen = stored(read.mapInArrow(_observe, "host string, nodes array<int>, blocks array<struct<node:int,block:int,size:int>>, mass long"), "seen")
+    wrappers = stored(seeds.join(_templates(seen), "host"), "wrappers")
     joined = rows.join(_sized(wrappers, "octet_length(seed)"), "host", "left").select("page_id", "url", "html", "seed", "template")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
