@@ -86,3 +86,11 @@ def test_template_that_outweighs_the_article(spark):
     frame = "<body><div class=x>" + "".join(f"<p class=c{k}>{'house rule ' * 20}{k}</p>" for k in range(5)) + "</div><div class=y><p>Story {k} is short.</p></div></body>"
     rows = [(k, "http://short.example/", frame.format(k=k)) for k in range(9)]
     assert {k: t for k, _, t in run(spark, rows + rows[:1] * 30)} == {k: f"Story {k} is short." for k in range(9)}
+
+
+def test_sections_of_uneven_size_and_a_separate_title():
+    links = "<div class=x>" + "<a href=/>some link</a> " * 30 + "</div>"
+    story = f"<div class=body><p>{'long ' * 800}</p></div><div class=end><p>{'close ' * 150}</p></div>"
+    want = ["A title", "long " * 799 + "long", "close " * 149 + "close"]
+    assert plain(f"<body><div>{links}</div><div class=page><div class=title>A title</div>{story}</div></body>") == "\n\n".join(want)
+    assert plain(f"<body><h1><a href=/>A title</a></h1>{links}<div class=page>{story}</div></body>") == "\n\n".join(want)

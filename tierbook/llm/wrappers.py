@@ -37,8 +37,6 @@ CONSTANT = 0.8
 #: Blocks that more than this share of the pages have too are set aside; a page tells something about the seed's template if at
 #: most this share of the rest of its text is the seed's.
 COPY = 0.5
-#: Without a marked article the region with most text is widened to a parent that holds this many times as much.
-GAIN = 1.25
 #: Wrappers are broadcast up to so many bytes; beyond, pages are shuffled by host.
 BROADCAST_BYTES = 16_000_000
 
@@ -224,23 +222,30 @@ def main_regions(root: Node) -> list[Node]:
     regions: list[Node] = []
     mass: dict[int, int] = {}
     whole: dict[int, int] = {}
+    links: dict[int, int] = {}
+    heads: dict[int, int] = {}
     above: dict[int, Node] = {}
     nodes: list[Node] = []
 
     def visit(node: Node, in_link: bool, constant: bool) -> tuple[int, int]:
         """Characters of text, and of the paragraphs right below."""
-        total = direct = 0
+        total = direct = linked = head = 0
         for child in node.children:
             if isinstance(child, str):
-                n = 0 if in_link or constant else len(child.strip())
+                size = 0 if constant else len(child.strip())
+                n = 0 if in_link else size
+                linked += size - n
+                head += size if node.tag in HEADINGS else 0
                 total += n
                 direct += n
             elif not marked_outside(child, False):
                 above[id(child)] = node
                 below, own = visit(child, in_link or child.tag == "a", bool(child.slot) if child.tag in BLOCK else constant)
                 total += below
+                linked += links[id(child)]
+                head += links[id(child)] + below if node.tag in HEADINGS else heads[id(child)]
                 direct += own if child.tag not in BLOCK or child.tag == "p" or child.tag[0] == "h" and child.tag[1:].isdigit() else 0
-        whole[id(node)] = total
+        whole[id(node)], links[id(node)], heads[id(node)] = total, linked, head
         if node.tag in BLOCK and node.tag not in ("p", "html"):
             mass[id(node)] = direct
             nodes.append(node)
@@ -273,12 +278,18 @@ def main_regions(root: Node) -> list[Node]:
     best = max(nodes, key=lambda n: mass[id(n)], default=None)
     if best is None or not mass[id(best)]:
         return [root]
-    # an article in several sections: upwards as long as that gains much text
+    # an article in several sections: upwards as long as that gains more text than links
     node = best
     while (node := above.get(id(node))) is not None:
-        if whole[id(node)] >= GAIN * whole[id(best)]:
+        if whole[id(node)] - whole[id(best)] > links[id(node)] - links[id(best)]:
             best = node
-    return [best]
+    # beside lists of links, only what has a heading
+    node, regions = best, [best]
+    while (parent := above.get(id(node))) is not None:
+        beside = [c for c in parent.children if c is node or id(c) in heads and heads[id(c)] and max(whole[id(c)], heads[id(c)]) >= links[id(c)]]
+        k = next(i for i, c in enumerate(beside) if c is node)
+        node, regions = parent, beside[:k] + regions + beside[k + 1 :]
+    return regions
 
 
 def blocks_of(region: Node) -> list[str]:
