@@ -94,3 +94,11 @@ def test_sections_of_uneven_size_and_a_separate_title():
     want = ["A title", "long " * 799 + "long", "close " * 149 + "close"]
     assert plain(f"<body><div>{links}</div><div class=page><div class=title>A title</div>{story}</div></body>") == "\n\n".join(want)
     assert plain(f"<body><h1><a href=/>A title</a></h1>{links}<div class=page>{story}</div></body>") == "\n\n".join(want)
+
+
+def test_end_tags_and_marks_at_any_depth():
+    deep = lambda n, inner="": "<div>" * n + inner + "</div>" * n
+    assert plain(f"<body><div><article>{deep(160)}<p>rest</p></article></div></body>") == "rest"
+    assert plain(f"<body><article><p>text</p>{deep(5000, '<div class=ad>Buy</div><p>low</p>')}<p>rest</p></article></body>") == "text\n\nlow\n\nrest"
+    page = wrappers.shape_of(deep(3000, "<p>low</p>"))[1]
+    assert wrappers.matched(page, page)[0] == 3002

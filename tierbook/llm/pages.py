@@ -18,7 +18,6 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
-DEEPEST = 150
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -77,7 +76,7 @@ def parsed(html: str) -> Node:
                 at = end.end()
             elif tag in ("script", "style"):
                 at = size
-        elif tag not in VOID and len(stack) < DEEPEST:
+        elif tag not in VOID:
             stack.append(node)
     if at < size:
         stack[-1].children.append(html[at:])

@@ -133,13 +133,27 @@ class Shape:
 
     def __init__(self, label: str, nodes: list[Node]):
         self.label, self.nodes, self.number = label, nodes, -1
-        groups: dict[str, list[Node]] = {}
-        for node in nodes:
-            for child in node.children:
-                if not isinstance(child, str) and child.tag not in RAW and child.tag != "head":
-                    groups.setdefault(child.label, []).append(child)
         self.texts = [line_text(n) for n in nodes] if nodes[0].tag in BLOCK else []
-        self.children = [Shape(k, v) for k, v in groups.items()]
+        self.children: list[Shape] = []
+
+
+def unrolled(walk):
+    """A recursive walk at any depth: what the generator yields are the arguments of its calls, what it is sent their results."""
+
+    def run(*args):
+        stack, result = [walk(*args)], None
+        while stack:
+            try:
+                call = stack[-1].send(result)
+            except StopIteration as end:
+                stack.pop()
+                result = end.value
+            else:
+                stack.append(walk(*call))
+                result = None
+        return result
+
+    return run
 
 
 def line_text(node: Node) -> str:
@@ -156,7 +170,18 @@ def line_text(node: Node) -> str:
 
 def shape_of(html: str) -> tuple[Node, Shape]:
     root = parsed(html)
-    return root, Shape("#page", [root])
+    top = Shape("#page", [root])
+    todo = [top]
+    while todo:
+        shape = todo.pop()
+        groups: dict[str, list[Node]] = {}
+        for node in shape.nodes:
+            for child in node.children:
+                if not isinstance(child, str) and child.tag not in RAW and child.tag != "head":
+                    groups.setdefault(child.label, []).append(child)
+        shape.children = [Shape(k, v) for k, v in groups.items()]
+        todo += shape.children
+    return root, top
 
 
 def numbered(shape: Shape) -> list[Shape]:
@@ -172,29 +197,41 @@ def numbered(shape: Shape) -> list[Shape]:
 
 def matched(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     """Simple tree matching of two nodes with one label: the number of matches and the matches."""
+    size, nested = _matched(a, b)
+    out, todo = [], [nested]
+    while todo:
+        pair, below = todo.pop()
+        out.append(pair)
+        todo += below
+    return size, out
+
+
+@unrolled
+def _matched(a: Shape, b: Shape):
+    """The number of matches, and the pair with the nested ones below it."""
     m, n = len(a.children), len(b.children)
     if not m or not n:
-        return 1, [(a, b)]
+        return 1, ((a, b), [])
     best = [[0] * (n + 1) for _ in range(m + 1)]
-    pairs: dict[tuple[int, int], tuple[int, list]] = {}
+    pairs: dict[tuple[int, int], tuple[int, tuple]] = {}
     for i, x in enumerate(a.children, 1):
         row, above = best[i], best[i - 1]
         for j, y in enumerate(b.children, 1):
             most = max(above[j], row[j - 1])
             if x.label == y.label:
-                pairs[i, j] = matched(x, y)
+                pairs[i, j] = yield x, y
                 most = max(most, above[j - 1] + pairs[i, j][0])
             row[j] = most
-    found, i, j = [(a, b)], m, n
+    found, i, j = [], m, n
     while i and j:
         if (i, j) in pairs and best[i][j] == best[i - 1][j - 1] + pairs[i, j][0]:
-            found += pairs[i, j][1]
+            found.append(pairs[i, j][1])
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[m][n], found
+    return 1 + best[m][n], ((a, b), found)
 
 
 def observed(page: Shape, seed: Shape) -> tuple[list[int], list[tuple[int, int, int]], int] | None:
@@ -227,7 +264,8 @@ def main_regions(root: Node) -> list[Node]:
     above: dict[int, Node] = {}
     nodes: list[Node] = []
 
-    def visit(node: Node, in_link: bool, constant: bool) -> tuple[int, int]:
+    @unrolled
+    def visit(node: Node, in_link: bool, constant: bool):
         """Characters of text, and of the paragraphs right below."""
         total = direct = linked = head = 0
         for child in node.children:
@@ -240,7 +278,7 @@ def main_regions(root: Node) -> list[Node]:
                 direct += n
             elif not marked_outside(child, False):
                 above[id(child)] = node
-                below, own = visit(child, in_link or child.tag == "a", bool(child.slot) if child.tag in BLOCK else constant)
+                below, own = yield child, in_link or child.tag == "a", bool(child.slot) if child.tag in BLOCK else constant
                 total += below
                 linked += links[id(child)]
                 head += links[id(child)] + below if node.tag in HEADINGS else heads[id(child)]
@@ -251,7 +289,8 @@ def main_regions(root: Node) -> list[Node]:
             nodes.append(node)
         return total, direct
 
-    def articles(node: Node) -> None:
+    @unrolled
+    def articles(node: Node):
         for child in node.children:
             if isinstance(child, str) or marked_outside(child, False):
                 continue
@@ -259,7 +298,7 @@ def main_regions(root: Node) -> list[Node]:
             if child.tag == "article" or said & MAIN_WORDS:
                 regions.append(child)
             else:
-                articles(child)
+                yield (child,)
 
     articles(root)
     if not regions:
@@ -302,7 +341,8 @@ def blocks_of(region: Node) -> list[str]:
             out.append(text)
         held.clear()
 
-    def walk(node: Node, constant: bool) -> None:
+    @unrolled
+    def walk(node: Node, constant: bool):
         for child in node.children:
             if isinstance(child, str):
                 if not constant:
@@ -313,7 +353,7 @@ def blocks_of(region: Node) -> list[str]:
                 block = child.tag in BLOCK
                 if block:
                     close()
-                walk(child, bool(child.slot) if block else constant)
+                yield child, bool(child.slot) if block else constant
                 if block:
                     close()
 
