@@ -20,6 +20,8 @@ COLUMNS = {
     "op8_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op9_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
     "op10_importance_resampling": {"doc_id": "bigint"},
+    "op12_spelling_variants": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+    "op13_ngram_resampling": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
 }
 
 
@@ -35,7 +37,7 @@ def test_columns_and_rows(spark, name):
     assert rows
 
 
-@pytest.mark.parametrize("name", ["op4_exact_topk", "op8_warc"])
+@pytest.mark.parametrize("name", ["op4_exact_topk", "op8_warc", "op12_spelling_variants", "op13_ngram_resampling"])
 def test_agrees_with_sql(spark, name):
     ok, text = check.compare(spark, check.connect(SF), name, SF, entry.queries()[name], entry.oracle_sql()[name])
     assert ok and "types differ" not in text, text
