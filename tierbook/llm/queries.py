@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierbook.llm import decontaminate, gains, licenses, packing, repeats, resample, simhash, spellings, topk, toxicity, warc, wrappers
+from tierbook.llm import decontaminate, gains, licenses, neighbours, packing, repeats, resample, simhash, spellings, topk, toxicity, warc, wrappers
 from tierbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@register("op11_lexical_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.packed(table(spark, sf_dir, "documents"))
+
+
 #: Lists of all bytes' CRC-32 steps, as the table ``tables``.
 CRC_TABLES_SQL = """tables as (
     select list(t order by x) as tab
