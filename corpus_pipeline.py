@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierbook.llm import decontaminate, nearcopies, packing, repeats, toxicity
+from tierbook.llm import decontaminate, packing, repeats, simhash, toxicity
 from tierbook.llm.common import prepare, stored, table
 
 
@@ -29,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of texts whose five-word shingles are similar to 0.8 or more, that with the smallest id."""
+    """One document of every group of texts whose SimHash fingerprints (three-word shingles) link at three bits or fewer, that with the smallest id."""
     prepare(spark)
-    return nearcopies.deduplicated(docs)
+    return simhash.deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
