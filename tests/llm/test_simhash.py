@@ -90,3 +90,28 @@ def test_documents(spark):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(expected.values()))
     assert [r["text"] for r in kept if r["doc_id"] is None] == ["nothing like it"]
     assert simhash.groups(docs.limit(0)).collect() == [] and simhash.deduplicated(docs.limit(0)).collect() == []
+
+
+def test_rows_without_id_link_others_and_texts_under_one_id_stay_apart(spark, monkeypatch):
+    prints = {"zero": 0, "seven": 7, "all": 63, "far": 1 << 40 | 0xFFFF << 20, "alone": 0xFFFF}
+    rows = [(1, "zero"), (None, "seven"), (2, "all"), (9, "far"), (9, "alone"), (None, "far")]
+    docs = spark.createDataFrame([(i, t, "a", "b", 1, 2) for i, t in rows], "doc_id long, text string, _id string, mark string, id int, row int")
+    given = spark.createDataFrame([(i, t, prints[t]) for i, t in rows], "doc_id long, mark string, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: given.withColumn("mark", simhash.text_mark("mark")))
+    found = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.groups(docs).collect()}
+    assert found == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (9, prints["far"]): 9, (None, prints["far"]): 9, (9, prints["alone"]): 9}
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["_id"], r["row"]) for r in kept.collect()) == [(1, "zero", "a", 2), (9, "alone", "a", 2), (9, "far", "a", 2)]
+
+
+def test_components_of_long_paths_and_stars(spark):
+    from tierbook.llm.common import components
+
+    rng = random.Random(3)
+    path, star = list(range(0, 400)), [(1000, 1001 + k) for k in range(300)]
+    rng.shuffle(path)
+    edges = list(zip(path, path[1:], strict=False)) + star + [(5000, 5001), (5001, 5000), (7, 7)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == dict.fromkeys(range(400), 0) | dict.fromkeys(range(1000, 1301), 1000) | {5000: 5000, 5001: 5000}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -11,9 +11,10 @@ two bits of it, and each pair within three bits has such a centre, so a star aro
 number of rows proportional to the members.
 
 Words are runs outside ASCII white space after A-Z are lower-cased; shingles have three words, repeats included; fewer words
-make one shingle, none gives fingerprint zero, which links like any other.  Null text is empty.  Rows without doc_id belong
-to the class of their fingerprint but never name a group; a class made of such rows alone has a null component_id.
-Repeated rows are returned as often as they occur; classes that the same doc_id names count as one.  Other columns are ignored; an empty table gives no rows.
+make one shingle, none gives fingerprint zero, which links like any other.  Null text is empty.  The nodes of the graph are the fingerprints;
+ids are their values.  So rows without doc_id link like all others but never name a group (one that no id belongs to has a null
+component_id), and texts under the same doc_id are told apart.  Repeated rows are returned as often as they occur.  Other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,18 +57,19 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a hash of the text and the fingerprint as a signed 64-bit number."""
+    """doc_id, a digest of the text and the fingerprint as a signed 64-bit number."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()], np.uint64)
         return pa.record_batch([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "mark", "fp"])
 
     read = docs.select(F.col(id_col).cast("long"), F.col(text_col), text_mark(text_col))
-    return by_batch(read, "doc_id long, mark long, fp long", rows)
+    return by_batch(read, "doc_id long, mark string, fp long", rows)
 
 
 def text_mark(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    """128 bits of the text."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
 
 def block_masks() -> list[int]:
@@ -122,26 +124,25 @@ def links(classes: DataFrame, crowd: int = 256) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256) -> DataFrame:
-    """doc_id, mark, fp, fingerprint (hexadecimal) and component_id, the smallest doc_id reachable over links."""
+    """doc_id, mark, fp, fingerprint (hexadecimal), the group (its smallest fp) and component_id, the smallest doc_id reachable over links."""
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    found = components(links(classes.where("node is not null"), crowd))
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    found = components(links(classes.select("fp", F.col("fp").alias("node")), crowd)).withColumnRenamed("node", "fp")
+    classes = stored(classes.join(found, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("group")), "grouped")
+    named = classes.join(classes.groupBy("group").agg(F.min("low").alias("component_id")), "group").select("fp", "group", "component_id")
     return prints.join(named, "fp").select(
-        "doc_id", "mark", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "mark", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "group", "component_id"
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256) -> DataFrame:
-    """One row of each group, all columns: that with the smallest id (and text hash, where an id is repeated).
-
-    Rows without an id go if their fingerprint has a group with ids; else one row for each fingerprint stays.
-    """
+    """One row of each group, all columns: that with the smallest id (and text digest, where an id is repeated); one without an id only
+    where no row of the group has one."""
     found = groups(docs, id_col, text_col, crowd)
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("mark"))
-    nameless = found.where("component_id is null").groupBy("fp").agg(F.min("mark").alias("mark"))
-    kept = first.union(nameless.select(F.lit(None).cast("long"), "mark"))
-    absent = F.lit(-(1 << 63)).cast("long")
-    kept = stored(kept.select(F.coalesce("doc_id", absent).alias("_id"), F.col("mark").alias("_mark")).distinct(), "kept")
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), absent), "_mark": text_mark(text_col)})
-    return rows.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = found.where("doc_id <=> component_id").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("k"))
+    absent = F.lit(-(1 << 63)).cast("long")  # no id is lost to it: the text has to be equal as well
+    kept = stored(best.select(F.coalesce("k.doc_id", absent).alias("id"), F.col("k.mark").alias("mark")).distinct(), "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.coalesce(F.col(id_col).cast("long"), absent).alias("id"), text_mark(text_col).alias("mark"))
+    once = rows.join(kept, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
