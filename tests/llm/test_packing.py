@@ -110,3 +110,30 @@ def test_same_ids_as_the_other_library(spark):
     texts += ["  a b ퟿ 🙂🙂 don't 12345 ___", " " * 300, "a" * 5000, "\r\n\t x"]
     for t in texts:
         assert enc.encode_ordinary(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_very_long_runs_of_one_kind(spark):
+    kinds = [" ", "\n", "\t", "\u00a0", "a", "9", ".", "日"]
+    rows = [(k, f"begin{c * 2_000_000}end") for k, c in enumerate(kinds)] + [(50, "x" + " " * (packing.BLANKS - 1) + "y" + " " * packing.BLANKS)]
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.default_vocabulary().removesuffix(".tiktoken") + ".json")
+    for doc, text in rows:
+        assert sum(r["length"] for r in found if r["doc_id"] == doc) == len(model.encode(text, add_special_tokens=False).ids) + 1
+
+
+def test_groups_of_repeated_rows_stay_bounded(spark):
+    pieces = spark.range(4000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "7L as length", "5L as ids_crc32")
+    sizes = []
+    found = packing.pack(pieces, 64, part_rows=200).collect()
+    assert len(found) == 4000
+    by = {}
+    for r in found:
+        by.setdefault(r["sequence_id"], []).append(r["offset"])
+    assert all(sorted(o) == [7 * k for k in range(len(o))] and len(o) <= 9 for o in by.values())
+    groups = {}
+    for s, o in by.items():
+        groups[s >> 22] = groups.get(s >> 22, 0) + len(o)
+        sizes.append(len(o))
+    assert max(groups.values()) < 400 and len(groups) >= 20

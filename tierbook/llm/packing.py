@@ -3,7 +3,7 @@
 Every partition packs its own pieces by best fit, longest first, and dual feasible functions give a lower bound of the
 sequences its pieces need.  A partition whose count equals its bound is certified.  The others release the pieces of their
 emptiest sequences; groups of such partitions exchange what they released and pack it again, keeping the better result,
-until one group is left or none has a gap.  No group ever holds more than ``part_rows`` pieces.
+until one group is left or none has a gap.  Pieces are dealt by a stored row number, so groups are even however often a row repeats.
 
 Null text is empty: one piece that holds the end mark alone.  A null doc_id is carried along.  Repeated rows are packed as
 often as they occur.  Columns other than the id and the text are ignored.  An empty table gives no rows.
@@ -12,6 +12,7 @@ often as they occur.  Columns other than the id and the text are ignored.  An em
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from functools import cache
 
@@ -25,6 +26,8 @@ from tierbook.llm.common import by_batch, stored
 CAPACITY = 1024
 END = 2
 FAN_IN = 8
+#: Longest run of white space that the rank file encodes.
+BLANKS = 10_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", grp long, sequence_id long, offset long, bound long, used long, open boolean"
 
@@ -42,6 +45,23 @@ def encoder(ranks_file: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def slow_encoder(ranks_file: str):
+    """The tokenizers file next to the rank file."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(ranks_file.removesuffix(".tiktoken") + ".json")
+    model.encode_special_tokens = True
+    return model
+
+
+def ids_of(text: str, ranks_file: str) -> list[int]:
+    """The ids of a text.  The pattern engine of the ranks gives up on very long runs of white space; the tokenizers file does not."""
+    if len(text) >= BLANKS and max(map(len, re.findall(r"\s+", text)), default=0) >= BLANKS:
+        return slow_encoder(ranks_file).encode(text, add_special_tokens=False).ids
+    return encoder(ranks_file).encode_ordinary(text)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -58,11 +78,10 @@ def tokenised(docs: DataFrame, capacity: int, end: int, vocabulary: str | None =
     """One row per piece; the ids themselves stay in the task, their checksum is kept."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(vocabulary or default_vocabulary())
+        ranks = vocabulary or default_vocabulary()
         out = [[], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = enc.encode_ordinary(text or "")
-            ids.append(end)
+            ids = [*ids_of(text or "", ranks), end]
             raw = np.array(ids, "<u4")
             for k, (start, length) in enumerate(cut(len(ids), capacity)):
                 for column, value in zip(out, (doc, k, start, length, zlib.crc32(raw[start : start + length])), strict=True):
@@ -160,9 +179,10 @@ def _pack_group(capacity: int, part_rows: int, level: int, last: bool):
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = 40_000) -> DataFrame:
     """Pieces with sequence_id, offset and whether the sequence's partition met its lower bound (certified)."""
-    pieces = stored(pieces, "pieces")
+    # the number is fixed by the written table, so a task that runs again deals as before
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, math.ceil(pieces.count() / part_rows))
-    rows = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    rows = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
     rows = rows.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     done, level = [], 0
     while True:
