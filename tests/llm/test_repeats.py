@@ -53,12 +53,12 @@ def fixture() -> list[str | None]:
     return rows
 
 
-@pytest.mark.parametrize(("crowd", "entries", "shard_bytes"), [(4000, 1_000_000, 3_000_000), (2, 0, 5000)])
-def test_documents_against_counting(spark, crowd, entries, shard_bytes):
+@pytest.mark.parametrize(("crowd", "entries", "shard_bytes", "memory"), [(4000, 1_000_000, 3_000_000, 1 << 28), (2, 0, 5000, 1), (1, 1_000_000, 5000, 500), (5, 0, 1, 1 << 20)])
+def test_documents_against_counting(spark, crowd, entries, shard_bytes, memory):
     texts = fixture()
     rows = [(k, t, "r", "k") for k, t in enumerate(texts)] + [(None, texts[12], "r", "k"), (13, texts[13], "r", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, kept string").repartition(3)
-    found = repeats.with_removals(docs, crowd=crowd, broadcast_entries=entries, shard_bytes=shard_bytes)
+    found = repeats.with_removals(docs, crowd=crowd, broadcast_entries=entries, shard_bytes=shard_bytes, memory=memory)
     got = sorted((-1 if r["row"]["doc_id"] is None else r["row"]["doc_id"], *r[1:5]) for r in found.collect())
     expected = plain([(t or "").encode() for _, t, *_ in rows], 200)
     assert got == sorted((-1 if r[0] is None else r[0], *e) for r, e in zip(rows, expected, strict=True))
@@ -80,3 +80,34 @@ def test_long_texts_are_cut_into_slices_without_loss():
     starts = np.concatenate([np.arange(s, s + k) for s, k in zip(low, n, strict=True)])
     assert sorted(starts) == list(range(0, 101)) + list(range(350, len(data) - 199))
     assert (n <= 200 - repeats.GRAM + 1).all() and len(key) == len(low)
+
+
+def test_a_passage_in_many_surroundings(spark):
+    """Crowded owners at the registered settings: the runs of equal bytes around the passage differ from document to document."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(330)
+    texts = [letters(rng.randint(0, 300)) + rng.choice(["", "\n\n", "ab"]) + passage + rng.choice(["", ".", "\n\n"]) + letters(rng.randint(0, 300)) for _ in range(1500)]
+    texts += [passage[: 200 + k] + letters(50) for k in range(0, 130, 3)] + [letters(30) + passage[k : k + 201] for k in range(0, 130, 7)]
+    texts += [texts[5]] * 40
+    docs = spark.createDataFrame([(None if k % 11 == 0 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r[1:5]) for r in repeats.with_removals(docs).collect()))
+    assert got == sorted(plain([t.encode() for t in texts], 200))
+
+
+def test_production_memory_spills_and_recurses(monkeypatch):
+    from tierbook.llm import suffixes
+
+    spills, levels = [], []
+    spill, spelled = suffixes.Buckets._spill, suffixes.spelled
+    monkeypatch.setattr(suffixes.Buckets, "_spill", lambda self: (spills.append(1), spill(self))[1])
+    monkeypatch.setattr(suffixes, "spelled", lambda names: (levels.append(1), spelled(names))[1])
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    half = np.frombuffer(" ".join(rng.choices(words, k=260_000)).encode(), np.uint8)[: repeats.SHARD_BYTES // 2]
+    text = np.concatenate([half, half[:-1], np.array([65], np.uint8)])
+    mask = suffixes.repeated_starts(text, 200, repeats.MEMORY)
+    n = len(half)
+    starts = np.flatnonzero(~mask)
+    assert mask[: n - 200].all() and mask[n : 2 * n - 200].all() and set(starts) >= {n - 200, 2 * n - 200}
+    assert spills and levels

@@ -5,8 +5,12 @@ equal owners, wherever they are.  Neighbouring strings with the same owner form
 dropped; equal segments of an owner are counted and kept once; an owner with one distinct segment needs no comparison.  The
 segments of all other owners are dealt to shards by owner, and the suffix order with common prefixes of each shard
 (suffixes.py) tells which strings start more than once.  Strings with different owners are never equal, so no shard needs
-another.  An owner with more than ``crowd`` distinct segments is dealt string by string to groups of equal hashes (128 bits)
-instead, so no shard grows with the copies of one passage.
+another.
+
+An owner with more than ``crowd`` distinct segments (a passage that many documents share, each with its own surroundings) would
+make one shard grow with the table.  Its segments are cut into narrower ones, of at most 16, then 4, then 1 neighbouring strings that
+stand alike around the owner, each owned by the bytes that all of them share (185, 197, 200 bytes).  What lies inside the
+passage becomes equal and is kept once, what reaches out of it gets an owner of its own, and the rest goes to the shards as before.
 
 Strings are judged on the input, inside one document; overlaps and repeats within the document count.  Null text is empty.
 A document is known by its id and the hash of its text: rows that repeat both get the same spans (and repeat each other), a
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
 from tierbook.llm.common import stored
 from tierbook.llm.suffixes import repeated_starts
@@ -34,8 +38,12 @@ GRAM = 64
 SLICE = 1 << 20
 LOW = np.uint64(SLICE - 1)
 #: About 100 bytes of memory are needed for each byte of a shard.
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 3_000_000
+#: Bytes of queues and names that a shard keeps in memory.  A full shard needs 30 MB for its queues, so it spills (some four times) and recurses (twice).
+MEMORY = 8 << 20
 CROWD = 1000
+#: Neighbouring strings of the segments of a crowded owner, level by level.
+WIDTHS = (16, 4, 1)
 #: A side of a join is broadcast while it holds at most this many entries (about 30 bytes each); beyond, both are shuffled.
 BROADCAST_ENTRIES = 1_000_000
 #: Fixed odd multipliers of the gram hash (digits of the golden ratio and of the square root of two).
@@ -188,7 +196,7 @@ def ranges_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _shard(length: int):
+def _shard(length: int, memory: int):
     """Ranges of repeated strings in the segments of a shard."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -201,7 +209,7 @@ def _shard(length: int):
         # what equals across the end of a segment is no string of it, nor is what starts with the mark between two
         whole = np.zeros(len(text), bool)
         whole[place] = np.arange(len(data)) <= np.repeat(bounds[1:] - length, np.diff(bounds))
-        mask = repeated_starts(text, length) & whole
+        mask = repeated_starts(text, length, memory) & whole
         begin, stop = ranges_of(mask)
         base = bounds[:-1] + np.arange(len(bounds) - 1)
         row = np.searchsorted(base, begin, "right") - 1
@@ -211,24 +219,67 @@ def _shard(length: int):
     return run
 
 
-def _strings(length: int):
-    """Every string of a segment, by hash."""
+PIECE = RANGE.replace("begin long, stop long", "begin long") + ", p_key long, p_print long, p_n long, bytes binary, at long"
+
+
+def _narrowed(length: int, width: int):
+    """The segments cut into runs of strings whose owner stands in the same ``width`` places of them; ``p_`` names the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [field.split()[0] for field in PIECE.split(", ")]
         for batch in batches:
-            for k in range(batch.num_rows):
-                key, mark, n, raw = (batch.column(c)[k].as_py() for c in range(4))
-                halves = np.frombuffer(b"".join(xxh3_128_digest(raw[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.record_batch(
-                    [*(pa.array(np.full(n, v)) for v in (key, mark, n)), pa.array(np.arange(n)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-                    ["key", "print", "n", "begin", "h1", "h2"],
-                )
+            out: list[list] = [[] for _ in names]
+            for key, print_, n, raw, at in zip(*(batch.column(c).to_pylist() for c in (*CLASS, "bytes", "at")), strict=True):
+                if at is None:  # the first gram with the owner's hash
+                    at = int(np.flatnonzero(gram_hashes(np.frombuffer(raw, np.uint8)).view(np.int64) == key)[0])
+                # a string begins up to ``at`` bytes before the owner
+                for near in range((at - n + 1) // width * width, at + 1, width):
+                    begin, end = max(0, at - near - width + 1), min(n, at - near + 1)
+                    text = raw[begin : end + length - 1]
+                    core = raw[at - near : at - near - width + 1 + length]
+                    owner = xxh3_64_intdigest(core, (key + near) % (1 << 64))
+                    hashes = np.array([owner, xxh3_64_intdigest(text)], np.uint64).view(np.int64).tolist()
+                    for column, value in zip(out, (*hashes, end - begin, begin, key, print_, n, text, at - begin), strict=True):
+                        column.append(value)
+            kinds = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
-                    crowd: int = CROWD, shard_bytes: int = SHARD_BYTES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def _in_shards(segments_: DataFrame, length: int, shard_bytes: int, memory: int) -> DataFrame:
+    """Ranges of the repeated strings, by the suffix order of shards that hold whole owners."""
+    total = segments_.agg(F.sum(F.col("n") + length)).first()[0] or 0
+    shards = max(1, -(-int(total) // shard_bytes))
+    dealt = segments_.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), *CLASS, "bytes")
+    return dealt.groupBy("shard").applyInArrow(_shard(length, memory), RANGE)
+
+
+def _compared(segments_: DataFrame, length: int, crowd: int, shard_bytes: int, memory: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Ranges of the repeated strings of distinct segments (CLASS, distinct: those of their owner, bytes, at)."""
+    ranges = stored(_in_shards(segments_.where(F.col("distinct") <= crowd), length, shard_bytes, memory), "ranges")
+    crowded = segments_.where(F.col("distinct") > crowd)
+    if not widths or crowded.isEmpty():
+        return ranges
+    pieces = stored(crowded.mapInArrow(_narrowed(length, widths[0]), PIECE), "pieces")
+    classes = pieces.groupBy(*CLASS).agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.first("at").alias("at"))
+    classes = stored(classes, "classes")
+    several = classes.groupBy("key").count().withColumnRenamed("count", "distinct").where("distinct > 1")
+    finer = _compared(stored(classes.join(several, "key"), "compared"), length, crowd, shard_bytes, memory, widths[1:])
+    found = _settled(classes, finer)
+    back = pieces.withColumnRenamed("begin", "from").join(found, CLASS)
+    place = [(F.col("from") + F.col(c)).alias(c) for c in ("begin", "stop")]
+    return ranges.union(back.select(*[F.col(f"p_{c}").alias(c) for c in CLASS], *place))
+
+
+def _settled(classes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """All strings of a class with copies are repeated; of the others those found."""
+    whole = classes.where("copies > 1").select(*CLASS, F.lit(0).cast("long").alias("begin"), F.col("n").alias("stop"))
+    return whole.union(ranges.join(classes.where("copies = 1").select(*CLASS), CLASS, "left_semi"))
+
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD,
+                    shard_bytes: int = SHARD_BYTES, broadcast_entries: int = BROADCAST_ENTRIES, memory: int = MEMORY) -> DataFrame:
     """doc, mark and ranges, the strings that also start elsewhere as (begin, stop) of their starts, in order and apart."""
     known = _known(docs, id_col, text_col)
     owners = known.select("text").mapInArrow(_owners(length), "key long").groupBy("key").count().where("count > 1")
@@ -238,33 +289,16 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     classes = stored(classes, "classes")
     several = classes.groupBy("key").count().where("count > 1").withColumnRenamed("count", "distinct")
     compared = stored(classes.join(several, "key"), "compared")
-    total = compared.where(F.col("distinct") <= crowd).agg(F.sum(F.col("n") + length)).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_bytes))
-
-    place = F.shiftleft("low", 16).bitwiseOR(F.col("n"))
-
-    def texts(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("doc", "mark").agg(F.collect_set(F.struct("key", "print", place.alias("place"))).alias("wanted"))
-        found = known.join(_sized(stored(wanted, "wanted"), "wanted", broadcast_entries), ["doc", "mark"]).select("text", "wanted")
-        out = found.mapInArrow(_cut_out(length), "key long, print long, n long, bytes binary")
-        return out
-
-    once = texts(compared.where(F.col("distinct") <= crowd)).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    wanted = compared.groupBy("doc", "mark").agg(F.collect_set(F.struct("key", "print", F.shiftleft("low", 16).bitwiseOR(F.col("n")).alias("place"))).alias("wanted"))
+    texts = known.join(_sized(stored(wanted, "wanted"), "wanted", broadcast_entries), ["doc", "mark"]).select("text", "wanted")
+    texts = texts.mapInArrow(_cut_out(length), "key long, print long, n long, bytes binary")
     # rows that repeat a document hand out its segments again; a class counts once
-    once = once.groupBy("shard", *CLASS).agg(F.first("bytes").alias("bytes"))
-    ranges = stored(once.groupBy("shard").applyInArrow(_shard(length), RANGE), "ranges")
-    crowded = compared.where(F.col("distinct") > crowd)
-    if not crowded.isEmpty():
-        each = texts(crowded).groupBy(*CLASS).agg(F.first("bytes").alias("bytes"))
-        each = stored(each.mapInArrow(_strings(length), "key long, print long, n long, begin long, h1 long, h2 long"), "strings")
-        again = each.groupBy("key", "h1", "h2").count().where("count > 1").drop("count")
-        ranges = ranges.union(each.join(again, ["key", "h1", "h2"]).select(*CLASS, "begin", (F.col("begin") + 1).alias("stop")))
-    # all strings of a class with copies are repeated; else those the shards found
-    found = classes.where("copies > 1").select(*CLASS, F.lit(0).cast("long").alias("begin"), F.col("n").alias("stop"))
-    single = classes.where("copies = 1").select(*CLASS)
-    found = stored(found.union(ranges.join(single, CLASS, "left_semi")), "found")
+    texts = texts.groupBy(*CLASS).agg(F.first("bytes").alias("bytes")).join(several, "key")
+    texts = stored(texts.withColumn("at", F.lit(None).cast("long")), "texts")
+    found = stored(_settled(classes, _compared(texts, length, crowd, shard_bytes, memory)), "found")
     spans = segs.join(found, CLASS).select("doc", "mark", (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("stop")).alias("stop"))
-    spans = spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("begin", "stop"))).alias("ranges"))
+    # a set, as rows that repeat a document bring its spans again
+    spans = spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_set(F.struct("begin", "stop"))).alias("ranges"))
     last = F.struct(F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("stop"))
     kind = "struct<done:array<struct<begin:bigint,stop:bigint>>,open:struct<begin:bigint,stop:bigint>>"
     joined = F.aggregate(
@@ -290,13 +324,13 @@ def removed_runs(begin: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.n
 
 
 def with_removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD,
-                  shard_bytes: int = SHARD_BYTES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+                  shard_bytes: int = SHARD_BYTES, broadcast_entries: int = BROADCAST_ENTRIES, memory: int = MEMORY) -> DataFrame:
     """All columns of docs but the text in ``row``, and n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining text).
 
     Cutting bytes can part a character; what is left of it becomes the replacement character in ``kept``, while the digest
     is that of the remaining bytes.
     """
-    ranges = stored(repeated_ranges(docs, length, id_col, text_col, crowd, shard_bytes, broadcast_entries), "removals")
+    ranges = stored(repeated_ranges(docs, length, id_col, text_col, crowd, shard_bytes, broadcast_entries, memory), "removals")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),

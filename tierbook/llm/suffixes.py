@@ -2,7 +2,7 @@
 
 The suffixes that start a rising run after a falling one (S*) are named by sorting the tuples of symbols up to the next of
 them; the string of names is ordered by doubling where it fits the memory given, else by the same procedure one level down,
-its names spelled in bytes so that buckets stay few.  The order of the S* suffixes, with their common prefixes, then induces
+its names spelled in bytes so that buckets stay few (and by doubling all the same where that spelling is no shorter than the text).  The order of the S* suffixes, with their common prefixes, then induces
 that of all others: bucket after bucket is taken from a priority queue, and every suffix found puts the one before it into
 the queue of its first symbol, together with the common prefix it has with the last one put there (one more than the least
 common prefix between their sources).  The key of a queue is the first symbol and the order of arrival, so a bucket is a
@@ -214,6 +214,8 @@ def star_order(text: np.ndarray, up: np.ndarray, stars: np.ndarray, folder: str,
     if len(stars) * 64 <= memory:
         return stars[doubled(names)]
     below, width = spelled(names)
+    if len(below) >= len(text):  # a level down would be no smaller
+        return stars[doubled(names)]
     order = np.concatenate([p for p, _ in buckets_down(below, 1, folder, memory)][::-1])
     return stars[order[order % width == 0] // width]
 
