@@ -47,7 +47,7 @@ def test_standalone_elements_are_not_shuffled(spark):
 @pytest.mark.parametrize(
     ("name", "scans", "exchanges"),
     [("tag_blacklist", 1, 3), ("tag_whitelist", 1, 3), ("tag_filter_combined", 1, 3), ("extract_levels", 2, 4), ("image_information", 1, 4),
-     ("flat_series", 0, 3), ("incoming_progress", 0, 15), ("next_outgoing", 0, 6), ("anon_key_match", 14, 43)],
+     ("flat_series", 0, 3), ("incoming_progress", 0, 15), ("next_outgoing", 0, 6), ("anon_key_match", 1, 12), ("anon_key_match_reverse", 1, 12)],
 )
 def test_tables_are_read_and_shuffled_no_more_than_needed(spark, name, scans, exchanges):
     text = plan(spark, name)

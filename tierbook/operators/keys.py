@@ -33,19 +33,37 @@ def query_keys(keys: DataFrame, predicates: tuple[Predicate, ...], order_by: str
     return page(keys.filter(all_of([p.on(F.col(p.prop)) for p in predicates])), order_by, ascending, start, count)
 
 
+def path_hash(columns: list[Column]) -> list[Column]:
+    """128 bits for the patient, study, series and image path of the identity values (two, then one more each), chained from the parent's.
+
+    Null where a value of the path is null, as null equals nothing.
+    """
+    high, low, out = F.lit(0).cast("long"), F.lit(1).cast("long"), []
+    for depth, values in ((2, columns[:2]), *((d, columns[d - 1 : d]) for d in range(3, len(columns) + 1))):
+        high, low = F.xxhash64(high, F.lit("high"), *values), F.xxhash64(low, F.lit("low"), *values)
+        whole = all_of([c.isNotNull() for c in columns[:depth]])
+        out.append(F.when(whole, F.struct(high.alias("high"), low.alias("low"))))
+    return out
+
+
+def _agree(left: str, right: str, columns: list[str]) -> Column:
+    return all_of([F.col(f"{left}{c}") == F.col(f"{right}{c}") for c in columns])
+
+
 def newest_keys(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Newest key (``key``: created, id) per combination of all five identity values, under their plain names."""
-    named = keys.select(*[F.col(c).alias(r) for c, r in zip(columns, REAL, strict=True)], F.struct("created", "id").alias("key"))
-    return named.groupBy(*REAL).agg(F.max("key").alias("key"))
+    """``path`` (the deepest that is whole) and the newest ``key`` of it: created, id and the five identity values under their plain names."""
+    values = [F.col(c).alias(r) for c, r in zip(columns, REAL, strict=True)]
+    paths = path_hash([F.col(c) for c in columns])
+    named = keys.select(F.coalesce(*reversed(paths)).alias("path"), F.struct("created", "id", *values).alias("key")).where("path is not null")
+    return named.groupBy("path").agg(F.max("key").alias("key"))
 
 
-def _prefixes(frame: DataFrame, *keep: str) -> DataFrame:
-    """A row for series, study and patient of each row: ``depth`` and the identity values down to it, empty below."""
-    rows = [
-        F.struct(F.lit(depth).alias("depth"), *[(F.col(c) if i < depth else F.lit("")).alias(f"at_{c}") for i, c in enumerate(REAL[:4])])
-        for level, depth in DEPTH.items() if level != "IMAGE"
-    ]
-    return frame.select(*keep, F.explode(F.array(*rows)).alias("at")).select(*keep, "at.*")
+def key_index(newest: DataFrame) -> DataFrame:
+    """The newest key below every series, study and patient path: ``path``, ``depth``, ``key``."""
+    paths = path_hash([F.col(f"key.{c}") for c in REAL[:4]])
+    rows = [F.struct(F.lit(d).alias("depth"), p.alias("path")) for d, p in zip((2, 3, 4), paths, strict=True)]
+    spread = newest.select("key", F.explode(F.array(*rows)).alias("at")).select("key", "at.*").where("path is not null")
+    return spread.groupBy("path", "depth").agg(F.max("key").alias("key"))
 
 
 def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) -> DataFrame:
@@ -54,22 +72,29 @@ def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) ->
     ``requests`` has one row per image with the five identity values under their plain names.  Adds ``match_level``
     (rank 1..4) and ``key_id``; without a hit the level is PATIENT and the key null.
 
-    Series, study and patient are settled on the distinct series of the requests, of which there are far fewer than images
-    and no hot ones; the images then meet their own key and the answer of their series.
+    Paths meet by their hashes, and a hit counts only if the values agree.  Series, study and patient are one join, on the distinct
+    series of the requests, of which there are far fewer than images and no hot ones; it returns the deepest hit of each.  The
+    images then meet their own key and the answer of their series.  Where the keys are few, Spark filters the requests by a Bloom filter of them.
     """
     newest = newest_keys(keys, ANON if anonymous else REAL)
-    series, at = REAL[:4], [f"at_{c}" for c in REAL[:4]]
-    levels = _prefixes(newest, "key").groupBy("depth", *at).agg(F.max("key").alias("key"))
-    asked = _prefixes(requests.select(*series).distinct(), *series)
-    answers = asked.join(levels, ["depth", *at]).groupBy(*series).agg(F.max(F.struct("depth", "key.id")).alias("above"))
-    frame = requests.join(newest, REAL, "left").join(answers, series, "left")
+    series = REAL[:4]
+    paths = path_hash([F.col(c) for c in series])
+    asked = requests.select(paths[2].alias("of_series"), F.struct(*series).alias("asked")).groupBy("of_series").agg(F.first("asked").alias("asked"))
+    spread = F.explode(F.array(*path_hash([F.col(f"asked.{c}") for c in series]))).alias("path")
+    hits = asked.where("of_series is not null").select("of_series", "asked", spread).join(key_index(newest), "path")
+    true = all_of([(F.col("depth") <= k) | (F.col(f"asked.{c}") == F.col(f"key.{c}")) for k, c in enumerate(series)])
+    answers = hits.where(true).groupBy("of_series").agg(F.max(F.struct("depth", "key.id", "asked")).alias("above"))
+    own, up = path_hash([F.col(c) for c in REAL])[3], F.struct("above.depth", "above.id")
+    frame = requests.withColumns({"path": own, "of_series": paths[2]})
+    frame = frame.join(newest, "path", "left").withColumn("key", F.when(_agree("", "key.", REAL), F.col("key.id")))
+    frame = frame.join(answers, "of_series", "left").withColumn("above", F.when(_agree("", "above.asked.", series), up))
     level = F.when(F.col("key").isNotNull(), F.lit(S.LEVEL_RANK["IMAGE"]))
     for name, depth in DEPTH.items():
         level = level.when(F.col("above.depth") == depth, F.lit(S.LEVEL_RANK[name]))
     return frame.select(
         *requests.columns,
         level.otherwise(F.lit(S.LEVEL_RANK["PATIENT"])).cast("bigint").alias("match_level"),
-        F.coalesce("key.id", "above.id").alias("key_id"),
+        F.coalesce("key", "above.id").alias("key_id"),
     )
 
 
@@ -92,12 +117,8 @@ def key_maps(keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
 
 
 def with_key_values(matched: DataFrame, keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    used = matched.select("key_id").filter(F.col("key_id").isNotNull()).distinct()
-    maps = key_maps(
-        keys.join(used.withColumnRenamed("key_id", "id"), "id", "left_semi"),
-        values.join(used, "key_id", "left_semi"), column,
-    )
-    return matched.join(maps, "key_id", "left")
+    """The map of each row's key; maps combine before their shuffle, so keys that nobody asked for cost one row each."""
+    return matched.join(key_maps(keys, values, column), "key_id", "left")
 
 
 def value_level(path: Column) -> Column:

@@ -104,7 +104,7 @@ def shown(elements: DataFrame) -> DataFrame:
 
 def identities(fx: Fixtures) -> DataFrame:
     """The catalogue already holds the identity of every image, so no pivot of attribute rows is needed."""
-    return fx.flat_images().select("image_id", *K.REAL)
+    return fx.stored_flat_images().select("image_id", *K.REAL)
 
 
 def image_ids(fx: Fixtures) -> DataFrame:
@@ -112,8 +112,9 @@ def image_ids(fx: Fixtures) -> DataFrame:
 
 
 def key_context(fx: Fixtures) -> DataFrame:
-    keys = fx.anon_key_table()
-    return K.with_key_values(K.match_keys(identities(fx), keys), keys, fx.anon_key_values(), "anon_value")
+    flat = fx.stored_flat_images()
+    keys = fx.anon_key_table(flat)
+    return K.with_key_values(K.match_keys(identities(fx), keys), keys, fx.anon_key_values(flat), "anon_value")
 
 
 def custom_values(fx: Fixtures) -> DataFrame:
@@ -200,7 +201,7 @@ def anon_key_match(fx: Fixtures):
 
 def anonymous_identities(fx: Fixtures) -> DataFrame:
     """What an anonymised arrival of every image would carry, had it been keyed in the second generation."""
-    flat = fx.flat_images()
+    flat = fx.stored_flat_images()
     return flat.select(
         "image_id", "manufacturer",
         F.concat(F.lit("AN2."), "patientID").alias("patientName"),
@@ -226,7 +227,7 @@ _ANON_MATCHED = ", ".join(
 @query("anon_key_match_reverse", f"WITH {_ANON_MATCHED} SELECT image_id, match_level, key_id FROM matched")
 def anon_key_match_reverse(fx: Fixtures):
     requests = anonymous_identities(fx).drop("manufacturer")
-    return K.match_keys(requests, fx.anon_key_table(), anonymous=True).select("image_id", "match_level", "key_id")
+    return K.match_keys(requests, fx.anon_key_table(fx.stored_flat_images()), anonymous=True).select("image_id", "match_level", "key_id")
 
 
 _NEW_PAIRS = (
@@ -298,10 +299,11 @@ def reidentify(fx: Fixtures):
             ("(0008,0060)", "CS", "'CT'"),
         ],
     )
-    keys = fx.anon_key_table()
+    flat = fx.stored_flat_images()
+    keys, values = fx.anon_key_table(flat), fx.anon_key_values(flat)
     ids = image_ids(fx)
     matched = K.match_keys(arrivals.drop("manufacturer"), keys, anonymous=True)
-    return shown(D.reidentify(elements, K.with_key_values(matched, keys, fx.anon_key_values(), "value"), ids))
+    return shown(D.reidentify(elements, K.with_key_values(matched, keys, values, "value"), ids))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tierbook import schema as S
 from tierbook.operators.query import Catalogue
 from tierbook.plans import fixture_values as V
+from tierbook.session import materialise
 from tierbook.sources.attributes import unpivot
 from tierbook.sources.dims import constant_table
 
@@ -27,6 +28,7 @@ class Fixtures:
         self.spark = spark
         self.dir = sf_dir
         self._schemas = {}
+        self._flat: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         """A table of the data folder; its footer is read for the schema only once per plan."""
@@ -168,6 +170,12 @@ class Fixtures:
             .join(self.patients().withColumnRenamed("id", "patient_id"), "patient_id")
         )
 
+    def stored_flat_images(self) -> DataFrame:
+        """The same for plans that read it several times: written once to the shared folder."""
+        if self._flat is None:
+            self._flat = materialise(self.flat_images(), "flat_images")
+        return self._flat
+
     def elements(self, images: DataFrame | None = None, paths: list[str] | None = None, keep: tuple[str, ...] = (),
                  of_series: DataFrame | None = None) -> DataFrame:
         """Element rows; ``of_series`` adds columns by series_id before the images are spread into elements."""
@@ -210,11 +218,11 @@ class Fixtures:
 
     # -- keys --------------------------------------------------------------------------------------------------
 
-    def anon_keys(self) -> DataFrame:
-        """Two generations of keys for all images of patients 0 to 9, and for some images of the other patients, whose
+    def anon_keys(self, flat: DataFrame | None = None) -> DataFrame:
+        """Two generations of keys for all images of a hash share of the patients, and for some images of the other patients, whose
         remaining images match a series, a study or a patient only."""
         some = F.col("imageType").startswith("A") & (F.col("studyDescription") == "FURNITURE") & (F.col("modality") == "F")
-        keyed = self.flat_images().filter((F.col("patient_id") < 10) | some)
+        keyed = (self.flat_images() if flat is None else flat).filter((F.substring(F.md5("patientID"), 1, 1) >= "a") | some)
         gen = F.col("created").cast("string")
         return keyed.withColumn("created", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))).select(
             (F.col("image_id") * 10 + F.col("created")).alias("id"),
@@ -228,12 +236,12 @@ class Fixtures:
             "studyDescription", "protocolName", "studyID",
         )
 
-    def anon_key_table(self) -> DataFrame:
-        return self.anon_keys().drop("studyDescription", "protocolName", "studyID")
+    def anon_key_table(self, flat: DataFrame | None = None) -> DataFrame:
+        return self.anon_keys(flat).drop("studyDescription", "protocolName", "studyID")
 
-    def anon_key_values(self) -> DataFrame:
+    def anon_key_values(self, flat: DataFrame | None = None) -> DataFrame:
         """Second-generation keys also hold values for two study attributes and one series attribute."""
-        keys = self.anon_keys().filter(F.col("created") == 2)
+        keys = self.anon_keys(flat).filter(F.col("created") == 2)
         pair = [("StudyDescription", "studyDescription"), ("StudyID", "studyID"), ("ProtocolName", "protocolName")]
         rows = F.array(
             *[
@@ -268,7 +276,7 @@ class Fixtures:
     def image_added(self, frame: DataFrame | None = None) -> DataFrame:
         return self.events(frame).select(
             "event_id",
-            (F.col("event_id") % 500).alias("image_id"),
+            F.expr("event_id % 500 + event_id div 10000 * 500").alias("image_id"),
             "ts",
             F.unix_millis("ts").alias("ts_ms"),
             source_kind(F.col("user_id")).alias("sourcetype"),

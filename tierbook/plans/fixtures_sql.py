@@ -87,7 +87,7 @@ FX: dict[str, str] = {
     "studyInstanceUID, 'AS' || g || '.' || studyID AS anonStudyInstanceUID, seriesInstanceUID, "
     "'AE' || g || '.' || seriesInstanceUID AS anonSeriesInstanceUID, sopInstanceUID, "
     "'AO' || g || '.' || sopInstanceUID AS anonSOPInstanceUID, studyDescription, protocolName, studyID "
-    "FROM (SELECT *, unnest([1::BIGINT, 2::BIGINT]) AS g FROM fx_flat_images WHERE patient_id < 10 OR "
+    "FROM (SELECT *, unnest([1::BIGINT, 2::BIGINT]) AS g FROM fx_flat_images WHERE substr(md5(patientID), 1, 1) >= 'a' OR "
     "(imageType LIKE 'A%' AND studyDescription = 'FURNITURE' AND modality = 'F'))",
     "fx_anon_key_values": "SELECT key_id, v.tag_path AS tag_path, v.val AS value, 'anon ' || v.val AS anon_value FROM "
     "(SELECT id AS key_id, unnest([{'tag_path': '(0008,1030)', 'val': studyDescription}, "
@@ -96,7 +96,7 @@ FX: dict[str, str] = {
     "fx_log": "SELECT event_id AS id, epoch_us(ts) // 1000 AS created, CASE event_type WHEN 'error' THEN 'ERROR' "
     "WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' ELSE 'DEFAULT' END AS entry_type, "
     "'user_' || user_id AS subject, props AS message FROM events",
-    "fx_image_added": "SELECT event_id, event_id % 500 AS image_id, epoch_us(ts) // 1000 AS ts_ms, "
+    "fx_image_added": "SELECT event_id, event_id % 500 + event_id // 10000 * 500 AS image_id, epoch_us(ts) // 1000 AS ts_ms, "
     f"{KIND.format('user_id')} AS sourcetype, user_id % 7 AS sourceid FROM events",
     "fx_outgoing_images": "SELECT conv_id * 1000 + turn AS id, conv_id AS transaction_id, "
     "conv_id * 10 + turn % 7 + 1 AS image_id, turn + 1 AS sequence, role = 'user' AS sent, role FROM conversations",
