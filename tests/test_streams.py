@@ -37,19 +37,6 @@ def test_upserts_go_on_from_the_checkpoint_and_compact(spark, tmp_path):
     assert {r["k"]: r["v"] for r in current.collect()} == {"a": 2, "b": 9, "c": 1}
 
 
-def test_incoming_counters_do_not_depend_on_the_triggers(spark, tmp_path):
-    kind = "box_id long, transaction_id long, sequence long, added boolean, total long, ts_ms long"
-    rows = [(1, 7, 2, True, 5, 10), (1, 7, 1, False, 9, 900), (1, 7, 3, True, 4, 500), (2, 8, 1, True, 1, 1), (2, 8, 2, True, 1, 2)]
-    for k, row in enumerate(rows):
-        spark.createDataFrame([row], kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-    found = []
-    for files in (None, 1, 2):
-        work = str(tmp_path / f"job-{files}")
-        J.incoming_counters(J.watch_files(spark, str(tmp_path / "in"), spark.createDataFrame([], kind).schema, files), work)
-        found.append(sorted(tuple(r) for r in J.current_counters(J.read_deltas(spark, work)).collect()))
-    assert found[0] == found[1] == found[2] == [(1, 7, 3, 2, 9, "PROCESSING"), (2, 8, 1, 1, 1, "FINISHED")]
-
-
 def test_job_folders_are_stable_and_work_folders_fresh(spark):
     assert job_dir(spark, "a") == job_dir(spark, "a") != job_dir(spark, "b")
     assert work_dir(spark, "a") != work_dir(spark, "a")

@@ -319,9 +319,10 @@ class Fixtures:
             )
         )
 
-    def incoming_events(self) -> DataFrame:
+    def incoming_events(self, whole: DataFrame | None = None) -> DataFrame:
+        """``whole`` is the table to count turns in, where the rows come as a stream."""
         talk = self.table("conversations")
-        totals = talk.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+        totals = (talk if whole is None else whole).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
         return talk.join(totals, "conv_id").select(
             (F.col("conv_id") % 5).alias("box_id"),
             F.col("conv_id").alias("transaction_id"),

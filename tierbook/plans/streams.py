@@ -12,11 +12,14 @@ from tierbook.plans.attributes import _involved_elements
 from tierbook.plans.fixtures import Fixtures, source_kind
 from tierbook.plans.maintenance import _WIDE, level_rows, wide_arrivals
 from tierbook.plans.registry import query
-from tierbook.plans.transfers import _BATCH, IDLE
+from tierbook.plans.transfers import _BATCH, _INCOMING, IDLE
 from tierbook.session import work_dir
+from tierbook.streaming import counters as C
 from tierbook.streaming import jobs as J
 
 DELAY_MS = 600_000
+#: The turns of a conversation are given times within ten seconds.
+STREAM_TIMEOUT_MS = 4_000
 
 
 class StreamedFixtures(Fixtures):
@@ -125,20 +128,17 @@ def stream_dedup(fx: Fixtures):
 
 @query(
     "stream_incoming",
-    "WITH n AS (SELECT conv_id % 5 AS box_id, conv_id AS transaction_id, count(*) AS received, count(*) FILTER (WHERE role = 'user') AS "
-    "added, count(*) + conv_id % 2 AS total FROM conversations GROUP BY conv_id) SELECT *, CASE WHEN received >= total THEN 'FINISHED' "
-    "ELSE 'PROCESSING' END AS status FROM n",
+    f"WITH inc AS ({_INCOMING}), moved AS (SELECT box_id, transaction_id, max(ts_ms) AS updated_ms, max(max(ts_ms)) OVER () AS now_ms FROM "
+    "fx_incoming_events GROUP BY 1, 2) SELECT i.box_id, i.transaction_id, received, added, total, sequences, members, CASE WHEN status = "
+    f"'PROCESSING' AND now_ms - updated_ms > {STREAM_TIMEOUT_MS} THEN 'WAITING' ELSE status END AS status, updated_ms FROM inc i JOIN moved m ON "
+    "m.box_id = i.box_id AND m.transaction_id = i.transaction_id",
 )
 def stream_incoming(fx: Fixtures):
-    """Stateful counters of incoming transactions."""
+    """Keyed counters of incoming transactions with changing totals; those that stand still go back to waiting by a timer."""
     work = work_dir(fx.spark, "incoming")
-    totals = fx.table("conversations").groupBy("conv_id").agg((F.count(F.lit(1)) + F.first("conv_id") % 2).alias("total"))
-    stream = StreamedFixtures(fx, "conversations").table("conversations").join(totals, "conv_id").select(
-        (F.col("conv_id") % 5).alias("box_id"), F.col("conv_id").alias("transaction_id"), (F.col("turn") + 1).alias("sequence"),
-        (F.col("role") == "user").alias("added"), "total",
-        ((F.col("turn") * 7 + F.col("conv_id")) % 10 * 1000 + F.col("turn")).alias("ts_ms"))
-    J.incoming_counters(stream, work)
-    return J.current_counters(J.read_deltas(fx.spark, work))
+    events = StreamedFixtures(fx, "conversations").incoming_events(fx.table("conversations"))
+    C.run(events, work, STREAM_TIMEOUT_MS)
+    return C.current(J.read_deltas(fx.spark, work))
 
 
 @query("stream_log", "SELECT id, created, entry_type, subject, message, strftime(make_timestamp(created * 1000), '%Y-%m-%d') AS day FROM fx_log")

@@ -206,7 +206,7 @@ _BATCH = (
     "session_start, max(last_ts) AS updated, sum(arrivals)::BIGINT AS arrivals, count(*) AS images FROM members GROUP BY ALL)"
 )
 _SENT = ("sent AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'box' ELSE 'scu' END AS destinationtype, user_id % 5 AS destinationid, "
-         "event_id % 500 AS image_id FROM events WHERE event_type = 'purchase')")
+         "event_id % 500 + event_id // 10000 * 500 AS image_id FROM events WHERE event_type = 'purchase')")
 _HIT = (
     f"{_SENT}, hit AS (SELECT * FROM (SELECT x.destinationtype, x.destinationid, x.image_id, b.rule_id, b.session_start, row_number() OVER "
     "(PARTITION BY x.destinationtype, x.destinationid, x.image_id ORDER BY b.session_start, b.rule_id) AS rn FROM sent x JOIN "
@@ -231,7 +231,7 @@ def members(fx: Fixtures):
 def sent_reports(fx: Fixtures):
     return fx.table("events").filter(F.col("event_type") == "purchase").select(
         F.when(F.col("event_id") % 2 == 0, "box").otherwise("scu").alias("destinationtype"),
-        (F.col("user_id") % 5).alias("destinationid"), (F.col("event_id") % 500).alias("image_id"))
+        (F.col("user_id") % 5).alias("destinationid"), F.expr("event_id % 500 + event_id div 10000 * 500").alias("image_id"))
 
 
 def state(fx: Fixtures, batch: DataFrame | None = None):

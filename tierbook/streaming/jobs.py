@@ -139,20 +139,3 @@ def forwarding_sessions(stream: DataFrame, rules: DataFrame, idle: str, delay: s
         F.count(F.lit(1)).alias("arrivals"), F.max("ts").alias("updated")
     ).select("rule_id", F.col("session_window.start").alias("started"), "updated", "arrivals")
 
-
-def incoming_counters(stream: DataFrame, work: str) -> None:
-    """Running counters per incoming transaction; only changed transactions are written per batch."""
-    counted = stream.groupBy("box_id", "transaction_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("added").alias("new_rows"), F.max_by("total", F.struct("ts_ms", "sequence")).alias("total"))
-    run_batches(counted, work, delta_writer(work, lambda batch: batch), mode="update")
-
-
-def current_counters(deltas: DataFrame) -> DataFrame:
-    """Counters capped at the latest total of the transaction."""
-    state = F.struct("rows", "new_rows", "total")
-    newest = deltas.groupBy("box_id", "transaction_id").agg(F.max_by(state, "batch").alias("s"))
-    received = F.least("s.rows", "s.total")
-    return newest.select(
-        "box_id", "transaction_id", received.alias("received"), F.least("s.new_rows", "s.total").alias("added"),
-        F.col("s.total").alias("total"),
-        F.when(received >= F.col("s.total"), "FINISHED").otherwise("PROCESSING").alias("status"))
