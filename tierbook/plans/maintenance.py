@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierbook import schema as S
 from tierbook.operators import imports as I
 from tierbook.operators import maintain as M
+from tierbook.operators.refcounts import Hierarchy
 from tierbook.plans.fixtures import Fixtures
 from tierbook.plans.registry import query
+from tierbook.session import materialise, work_dir
+from tierbook.sources.versioned import Versioned
 
 CUTOFF = "1999-01-01"
+LATER = "2000-06-01"
+#: For the given tables; a bucket should hold some hundred MB.
+BUCKETS = 16
 
 _WIDE = (
     "SELECT a.series_ref AS series_id, p.patientName, p.patientID, p.patientBirthDate, p.patientSex, st.studyInstanceUID, "
@@ -79,6 +88,22 @@ def ingest_upsert(fx: Fixtures):
     return level_rows(M.upsert_hierarchy(old, batch, F.col("arrival")))
 
 
+@query("ingest_versioned", _upsert_sql(status=False))
+def ingest_versioned(fx: Fixtures):
+    """The same arrivals merged into versioned tables: what came before the cutoff, then one batch for each half of the later time."""
+    wide = materialise(wide_arrivals(fx).withColumn("patientName", F.substring("patientName", 1, S.NAME_LIMIT)), "wide")
+    day = F.col("ship_date")
+    batches = [wide.filter(day < CUTOFF), wide.filter((day >= CUTOFF) & (day < LATER)), wide.filter(day >= LATER)]
+    root, tables = work_dir(fx.spark, "versions"), {}
+    for name in S.LEVELS:
+        rows = [M.latest(batch, M.key_path(name), M.own_props(name), F.col("arrival")) for batch in batches]
+        table = Versioned(fx.spark, f"{root}/{name}", M.key_path(name), BUCKETS).create(rows[0])
+        for more in rows[1:]:
+            table.merge(more)
+        tables[name] = table.read()
+    return level_rows(tables, status=False)
+
+
 _KEYS5 = ", ".join(M.key_path("image"))
 _LAST = "l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, imageType DESC"
 
@@ -135,8 +160,7 @@ def doomed_images(fx: Fixtures) -> DataFrame:
     ).select("id")
 
 
-@query(
-    "cascade_delete",
+_CASCADE = (
     f"WITH gone AS {_DOOMED}, live_series AS (SELECT * FROM fx_series WHERE id IN (SELECT series_ref FROM fx_images)), "
     "gone_series AS (SELECT id FROM live_series WHERE id NOT IN (SELECT series_ref FROM fx_images WHERE id NOT IN "
     "(SELECT id FROM gone))), touched AS (SELECT DISTINCT study_ref AS id FROM live_series WHERE id IN (SELECT id FROM "
@@ -145,16 +169,24 @@ def doomed_images(fx: Fixtures) -> DataFrame:
     "(SELECT id FROM gone_studies)), gone_patients AS (SELECT id FROM touched_p WHERE id NOT IN (SELECT patient_ref FROM "
     "fx_studies WHERE id NOT IN (SELECT id FROM gone_studies))) "
     "SELECT 'image' AS level, id FROM gone UNION ALL SELECT 'series', id FROM gone_series UNION ALL "
-    "SELECT 'study', id FROM gone_studies UNION ALL SELECT 'patient', id FROM gone_patients UNION ALL "
-    "SELECT 'type link', series_id * 10 + type_id FROM fx_series_type_links WHERE series_id NOT IN (SELECT id FROM gone_series)",
+    "SELECT 'study', id FROM gone_studies UNION ALL SELECT 'patient', id FROM gone_patients"
 )
-def cascade_delete(fx: Fixtures):
-    """Deleted ids per level, and the type links that survive."""
-    from dataclasses import replace
 
+
+def live_catalogue(fx: Fixtures):
+    """The catalogue with the series that have images."""
     cat = fx.catalogue()
     used = fx.table("lineitem").select(F.col("l_orderkey").alias("id")).distinct()
-    cat = replace(cat, series=cat.series.join(used, "id", "left_semi"))
+    return replace(cat, series=cat.series.join(used, "id", "left_semi"))
+
+
+@query(
+    "cascade_delete",
+    f"{_CASCADE} UNION ALL SELECT 'type link', series_id * 10 + type_id FROM fx_series_type_links WHERE series_id NOT IN (SELECT id FROM gone_series)",
+)
+def cascade_delete(fx: Fixtures):
+    """Deleted ids per level, and the type links that survive."""
+    cat = live_catalogue(fx)
     result = M.cascade_delete(cat, doomed_images(fx))
     out = None
     for name, frame in result.deleted.items():
@@ -165,6 +197,14 @@ def cascade_delete(fx: Fixtures):
                                         (F.col("series_id") * 10 + F.col("type_id")).alias("id")))
 
 
+@query("delete_by_counts", _CASCADE)
+def delete_by_counts(fx: Fixtures):
+    """The same deletion on tables by id with maintained counts of children."""
+    tree = Hierarchy(fx.spark, work_dir(fx.spark, "hierarchy"), BUCKETS).create(live_catalogue(fx))
+    deleted = tree.delete(doomed_images(fx))
+    return reduce(DataFrame.unionByName, [frame.select(F.lit(name).alias("level"), "id") for name, frame in deleted.items()])
+
+
 _TAG_REQUESTS = ("(SELECT event_id * 2 AS series_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'N' ELSE "
                  "event_type END AS name FROM events)")
 
