@@ -39,8 +39,8 @@ SLICE = 1 << 20
 LOW = np.uint64(SLICE - 1)
 #: About 100 bytes of memory are needed for each byte of a shard.
 SHARD_BYTES = 1_500_000
-#: Bytes of queues and names that a shard keeps in memory.  A full shard needs 15 MB for its queues, so it spills (some two times) and recurses (twice).
-MEMORY = 5 << 20
+#: Bytes of queues and names that a shard keeps in memory.  A full shard needs 15 MB for its queues, so it spills (once or twice) and recurses (twice).
+MEMORY = 7 << 20
 CROWD = 1000
 #: Neighbouring strings of the segments of a crowded owner, level by level.
 WIDTHS = (16, 4, 1)
