@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierbook.operators import forwarding as W
 from tierbook.operators import maintain as M
 from tierbook.operators import rules as R
 from tierbook.plans import fixture_values as V
@@ -12,9 +13,10 @@ from tierbook.plans.attributes import _involved_elements
 from tierbook.plans.fixtures import Fixtures, source_kind
 from tierbook.plans.maintenance import _WIDE, level_rows, wide_arrivals
 from tierbook.plans.registry import query
-from tierbook.plans.transfers import _BATCH, _INCOMING, IDLE
-from tierbook.session import work_dir
+from tierbook.plans.transfers import _BATCH, _INCOMING, _SENT, IDLE, sent_reports
+from tierbook.session import materialise, work_dir
 from tierbook.streaming import counters as C
+from tierbook.streaming import forwarding as L
 from tierbook.streaming import jobs as J
 
 DELAY_MS = 600_000
@@ -118,6 +120,35 @@ def stream_forwarding(fx: Fixtures):
     return out.select("rule_id", F.unix_millis("started").alias("started"), F.unix_millis("updated").alias("updated"), "arrivals")
 
 
+_ENDED = (
+    f"{_BATCH}, ended AS (SELECT * FROM tx WHERE updated + {IDLE} <= (SELECT max(epoch_us(ts) // 1000) FROM events) - {DELAY_MS}), inside AS (SELECT b.* "
+    f"FROM members b JOIN ended e ON e.rule_id = b.rule_id AND e.session_start = b.session_start), {_SENT}, hit AS (SELECT * FROM (SELECT b.rule_id, "
+    "b.session_start, row_number() OVER (PARTITION BY x.destinationtype, x.destinationid, x.image_id ORDER BY b.session_start, b.rule_id) AS rn FROM sent x "
+    "JOIN fx_forwarding_rules r ON r.destinationtype = x.destinationtype AND r.destinationid = x.destinationid JOIN inside b ON b.rule_id = r.rule_id AND "
+    "b.image_id = x.image_id) WHERE rn = 1), state AS (SELECT e.*, (e.rule_id, e.session_start) IN (SELECT (rule_id, session_start) FROM hit) AS delivered "
+    "FROM ended e), k AS (SELECT s.*, r.sourcetype, r.sourceid, r.keep_images FROM state s JOIN fx_forwarding_rules r ON r.rule_id = s.rule_id)"
+)
+
+
+@query(
+    "stream_forwarding_life",
+    f"WITH {_ENDED} SELECT rule_id, session_start, images, arrivals, delivered, CASE WHEN NOT delivered THEN 'enroute' WHEN keep_images THEN 'remove' WHEN NOT "
+    "EXISTS (SELECT 1 FROM k o WHERE o.sourcetype = k.sourcetype AND o.sourceid = k.sourceid AND NOT o.delivered) THEN 'delete' ELSE 'waits' END AS state FROM k",
+)
+def stream_forwarding_life(fx: Fixtures):
+    """Members, deliveries and ends of the closed transactions, from the two forwarding streams."""
+    work, rules = work_dir(fx.spark, "life"), fx.forwarding_rules()
+    streamed = StreamedFixtures(fx, "events")
+    reports = sent_reports(streamed, "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    L.run(streamed.image_added().drop("ts_ms"), reports, rules, work, f"{IDLE} milliseconds", f"{DELAY_MS} milliseconds")
+    members = L.current_members(J.read_deltas(fx.spark, f"{work}/members"))
+    done = L.delivered(J.read_deltas(fx.spark, f"{work}/hits"))
+    flagged = materialise(W.flags(W.transactions(members), done, V.NOW_MS, IDLE), "flags")
+    ends = W.finalise(flagged, rules)
+    state = F.coalesce("action", F.when(F.col("delivered"), "waits").otherwise("enroute"))
+    return flagged.join(ends, W.KEY, "left").select(*W.KEY, "images", "arrivals", "delivered", state.alias("state"))
+
+
 @query("stream_dedup", "SELECT DISTINCT image_id FROM fx_image_added")
 def stream_dedup(fx: Fixtures):
     """Every image is handled once while it is queued; the whole table is one trigger here."""

@@ -228,10 +228,10 @@ def members(fx: Fixtures):
     return materialise(W.batches(matched(fx), IDLE), "members")
 
 
-def sent_reports(fx: Fixtures):
+def sent_reports(fx: Fixtures, *keep: str):
     return fx.table("events").filter(F.col("event_type") == "purchase").select(
         F.when(F.col("event_id") % 2 == 0, "box").otherwise("scu").alias("destinationtype"),
-        (F.col("user_id") % 5).alias("destinationid"), F.expr("event_id % 500 + event_id div 10000 * 500").alias("image_id"))
+        (F.col("user_id") % 5).alias("destinationid"), F.expr("event_id % 500 + event_id div 10000 * 500").alias("image_id"), *keep)
 
 
 def state(fx: Fixtures, batch: DataFrame | None = None):
