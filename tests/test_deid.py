@@ -195,3 +195,26 @@ def test_rules(spark):
     series = spark.createDataFrame([(1,), (2,), (3,)], "series_id bigint")
     got = {(r.series_id, r.type_id) for r in R.classify(series, R.rule_values(data, attributes), rules, attributes).collect()}
     assert got == {(1, 1), (3, 1), (1, 2), (2, 2), (1, 3), (2, 3), (3, 3)}
+
+
+def test_unlisted_attributes_are_reported_refused_or_removed(spark):
+    from dataclasses import replace
+
+    import pytest
+
+    from tierbook.operators import deid as D
+    from tierbook.operators.profile import Profile
+
+    rows = [(1, "(0008,0060)", 0x00080060, [0x00080060]), (1, "(0010,0010)", 0x00100010, [0x00100010]), (1, "(4444,0002)", 0x44440002, [0x44440002]),
+            (2, "(4444,0004)[1].(0008,0060)", 0x00080060, [0x44440004, 0x00080060]), (3, "(0008,0060)", 0x00080060, [0x00080060]), (3, "(0009,0001)", 0x00090001, [0x00090001])]
+    elements = spark.createDataFrame(rows, "image_id long, tag_path string, tag long, path_tags array<long>")
+    basic = Profile(("BASIC_PROFILE",))
+    strict = replace(basic, unlisted="remove")
+    assert {tuple(r) for r in D.unlisted_attributes(elements, basic).collect()} == {("(4444,0002)", 1), ("(4444,0004)[1].(0008,0060)", 1)}
+    assert {r[0] for r in D.refused_images(elements, basic).collect()} == {1, 2}
+    kept = lambda profile: {r["tag_path"] for r in D.remove_elements(elements, profile).collect()}
+    assert kept(basic) - kept(strict) == {"(4444,0002)", "(4444,0004)[1].(0008,0060)"}
+    assert "(0008,0060)" in kept(strict) and "(0008,0060)" not in kept(replace(strict, safe=frozenset()))
+    assert replace(strict, options=("RETAIN_UIDS",)).completed().unlisted == "remove"
+    with pytest.raises(ValueError, match="unlisted"):
+        Profile(("BASIC_PROFILE",), unlisted="guess")

@@ -47,6 +47,20 @@ def remove_elements(elements: DataFrame, profile: Profile) -> DataFrame:
     return elements.filter(~removed_by(profile))
 
 
+def unlisted_attributes(elements: DataFrame, profile: Profile) -> DataFrame:
+    """(tag_path, n): attributes that no option speaks about and that are not known to be safe, or lie in a sequence of that kind."""
+    return elements.filter(_unlisted(profile)).groupBy("tag_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def refused_images(elements: DataFrame, profile: Profile) -> DataFrame:
+    """Images to hold back because they carry such attributes."""
+    return elements.filter(_unlisted(profile)).select("image_id").distinct()
+
+
+def _unlisted(profile: Profile) -> Column:
+    return F.expr(f"exists(path_tags, t -> {profile.unlisted_sql('t')})")
+
+
 def marked_anonymous(elements: DataFrame) -> DataFrame:
     """Ids of images that already carry the anonymity marker."""
     marker = (F.col("tag_path") == REMOVED) & is_anonymous(F.get("values", F.lit(0)))

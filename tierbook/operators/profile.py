@@ -7,12 +7,13 @@ attribute becomes a literal set test plus a short mask chain: no join, no broadc
 from __future__ import annotations
 
 import csv
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierbook.schema import TAG
 from tierbook.sources.dims import constant_table
 
 FULL_MASK = 0xFFFFFFFF
@@ -367,17 +368,28 @@ def profile_rows(operations: tuple[tuple[str, str, str], ...] = BUILT_IN) -> lis
 
 @dataclass(frozen=True)
 class Profile:
+    """Options over a table of operations.
+
+    ``unlisted`` is what happens to an attribute that no chosen option speaks about and that is not in ``safe``: keep (right only
+    where ``operations`` is the complete table of an edition), zero or remove.  ``safe`` are tags known to identify nobody; the
+    attributes of the data model by default.
+    """
+
     options: tuple[str, ...]
     operations: tuple[tuple[str, str, str], ...] = BUILT_IN
+    unlisted: str = "keep"
+    safe: frozenset[int] = frozenset(TAG.values())
 
     def __post_init__(self):
+        if self.unlisted not in ("keep", "zero", "remove"):
+            raise ValueError(f"unlisted attributes cannot be treated by {self.unlisted}")
         unknown = [o for o in self.options if o not in RANK]
         unsupported = [o for o in self.options if o in RANK and o not in SUPPORTED]
         if unknown or unsupported:
             raise ValueError(f"no such option {unknown}, not supported {unsupported}")
 
     def completed(self) -> Profile:
-        return self if "BASIC_PROFILE" in self.options else Profile(("BASIC_PROFILE", *self.options), self.operations)
+        return self if "BASIC_PROFILE" in self.options else replace(self, options=("BASIC_PROFILE", *self.options))
 
     @property
     def method(self) -> str:
@@ -415,12 +427,18 @@ class Profile:
                   for _, _, masked, mask, code in self.rows if mask != FULL_MASK]
         return f"CASE {' '.join(whens)} END" if whens else "CAST(NULL AS STRING)"
 
+    def unlisted_sql(self, tag: str = "tag") -> str:
+        """Whether no option speaks about a tag and it is not known to be safe."""
+        safe = ", ".join(f"{n}L" for n in sorted(self.safe))
+        return f"({self.case_sql(tag, lambda code: 'listed')} IS NULL" + (f" AND {tag} NOT IN ({safe}))" if safe else ")")
+
     def op_column(self, tag: str = "tag") -> Column:
         return F.expr(self.case_sql(tag))
 
     def effect_sql(self, tag: str = "tag") -> str:
         """remove / zero / uid / keep"""
-        return f"coalesce({self.case_sql(tag, lambda code: EFFECT[code])}, 'keep')"
+        rest = "'keep'" if self.unlisted == "keep" else f"if({self.unlisted_sql(tag)}, '{self.unlisted}', 'keep')"
+        return f"coalesce({self.case_sql(tag, lambda code: EFFECT[code])}, {rest})"
 
     def removed_sql(self, effect: str | None = None) -> str:
         """An operation on the attribute or on any sequence around it removes the row; ``effect`` is a ready column."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -163,6 +164,24 @@ def deid_remove(fx: Fixtures):
     return shown(D.remove_elements(fx.elements(), RESEARCH))
 
 
+STRICT = replace(RESEARCH, unlisted="remove", safe=frozenset(n for n in S.TAG.values() if n >> 16 not in (0x0018, 0x0028)))
+_SAFE = ", ".join(map(str, sorted(STRICT.safe)))
+_STRANGE = ("(SELECT f.* FROM flow f JOIN fx_elements e ON e.image_id = f.image_id AND e.tag_path = f.tag_path LEFT JOIN ops o ON o.tag = e.tag LEFT JOIN "
+            f"ops t ON t.tag = e.top_tag WHERE (o.op IS NULL AND e.tag NOT IN ({_SAFE})) OR (t.op IS NULL AND e.top_tag NOT IN ({_SAFE})))")
+
+
+@query("deid_unlisted", f"WITH {_flow(RESEARCH)} SELECT tag_path, count(*) AS n FROM {_STRANGE} GROUP BY 1")
+def deid_unlisted(fx: Fixtures):
+    """What a profile says nothing about, where acquisition and pixel attributes are not taken as safe."""
+    return D.unlisted_attributes(fx.elements(), STRICT)
+
+
+@query("deid_strict", f"WITH {_flow(RESEARCH)} SELECT image_id, tag_path, val AS value FROM flow WHERE NOT gone AND (image_id, tag_path) NOT IN "
+       f"(SELECT (image_id, tag_path) FROM {_STRANGE})")
+def deid_strict(fx: Fixtures):
+    return shown(D.remove_elements(fx.elements(), STRICT))
+
+
 @query(
     "deid_attributes",
     f"WITH {_flow(RESEARCH)} SELECT image_id, tag_path, new AS value FROM flow WHERE NOT gone AND tag_path NOT IN {_MARK} UNION ALL "
