@@ -360,6 +360,12 @@ def page_patients(fx: Fixtures):
     return Q.run_query(fx.catalogue(), "patient", Q.Query(4, 7, "patientSex", False))
 
 
+@query("page_deep", "SELECT id, sopInstanceUID, imageType FROM fx_images ORDER BY imageType DESC, id LIMIT 30 OFFSET 3000")
+def page_deep(fx: Fixtures):
+    """A page far down a column with few values."""
+    return Q.page_by_rank(fx.images(), "imageType", False, 3000, 30, few=1000).select("id", "sopInstanceUID", "imageType")
+
+
 @query("flat_series_ordered", f"SELECT {FLAT} FROM fx_flat_series ORDER BY studyID DESC, id LIMIT 50 OFFSET 25")
 def flat_series_ordered(fx: Fixtures):
     return Q.list_flat_series(fx.catalogue(), order_by="studyID", ascending=False, start=25, count=50)
