@@ -182,9 +182,10 @@ def _custom_rows(custom: DataFrame) -> DataFrame:
 def _per_image(elements: DataFrame, context: DataFrame | None, custom: DataFrame | None,
                strategy: Strategy | None, image_ids: DataFrame | None) -> DataFrame:
     """One row per image with a column per value attribute; images without any of them are there too."""
-    path, content = F.col("tag_path"), F.struct("vr", "values")
-    known = elements.filter(path.isin(*VALUE_PATHS)).groupBy("image_id").agg(
-        *[F.max(F.when(path == p, content)).alias(f"v{i}") for i, p in enumerate(VALUE_PATHS)])
+    path = F.col("tag_path")
+    # a list of the few rows, parted afterwards: a maximum of texts would be sorted on both sides of the shuffle
+    rows = elements.filter(path.isin(*VALUE_PATHS)).groupBy("image_id").agg(F.collect_list(F.struct("tag_path", F.struct("vr", "values").alias("content"))).alias("held"))
+    known = rows.select("image_id", *[_content(p).alias(f"v{i}") for i, p in enumerate(VALUE_PATHS)])
     images = elements.select("image_id").distinct() if image_ids is None else image_ids
     images = images.join(known, "image_id", "left")
     if context is not None:
@@ -203,6 +204,11 @@ def _per_image(elements: DataFrame, context: DataFrame | None, custom: DataFrame
     })
 
 
+def _content(path: str) -> Column:
+    found = F.filter("held", lambda e: e["tag_path"] == path)
+    return F.array_max(F.transform(found, lambda e: e["content"]))
+
+
 def _present(i: int) -> Column:
     return F.col(f"v{i}").isNotNull()
 

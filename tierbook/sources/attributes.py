@@ -61,15 +61,6 @@ def pick_number(keyword: str) -> Column:
     return F.max(F.when(F.col("tag_path") == S.TAG_TEXT[keyword], F.get("values", F.lit(0)).try_cast("bigint")))
 
 
-def pick_joined(keyword: str) -> Column:
-    return F.max(F.when(F.col("tag_path") == S.TAG_TEXT[keyword], join_values(F.col("values"))))
-
-
-def every_image(elements: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` with a row for each image that has elements of any kind."""
-    return elements.select("image_id").distinct().join(found, "image_id", "left")
-
-
 def root_only(elements: DataFrame, keywords: list[str]) -> DataFrame:
     """Narrow to a few root attributes before anything is shuffled."""
     return elements.filter(F.col("tag_path").isin(*[S.TAG_TEXT[k] for k in keywords]))
@@ -89,23 +80,39 @@ def image_information(elements: DataFrame) -> DataFrame:
     )
 
 
+def gathered(elements: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``held`` of each image: the root attributes wanted, as an array of (place in ``values``, value).  One pass, one shuffle, and a row for
+    every image; texts in a list aggregate without the sort that a maximum of texts costs, and what is not wanted is not sent."""
+    paths = [S.TAG_TEXT[k] for k in values]
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in zip(paths, range(len(paths)), strict=True) for x in pair]), F.col("tag_path"))
+    shared: dict[int, list[str]] = {}  # each expression once, or the row is split again for every attribute
+    for keyword, v in values.items():
+        shared.setdefault(id(v), []).append(keyword)
+    value = F
+    for keywords in shared.values():
+        value = value.when(F.col("tag_path").isin(*[S.TAG_TEXT[k] for k in keywords]), values[keywords[0]])
+    held = F.when(F.col("tag_path").isin(*paths), F.struct(place.alias("place"), value.alias("value")))
+    return elements.select("image_id", held.alias("held")).groupBy("image_id").agg(F.collect_list("held").alias("held"))
+
+
+def held_at(place: int) -> Column:
+    """The value at a place of ``held``, the largest where an attribute is repeated."""
+    found = F.filter("held", lambda e: e["place"] == place)
+    return F.array_max(F.transform(found, lambda e: e["value"]))
+
+
 def extract_levels(elements: DataFrame) -> DataFrame:
     """Promoted properties of the four levels, one row per image, absent = empty string."""
-    keywords = {p: S.PROPERTY_KEYWORD[p] for lv in S.LEVELS.values() for p in lv.props}
-    aggs = [
-        (pick_joined(k) if p == "imageType" else pick(k)).alias(p) for p, k in keywords.items()
-    ]
-    found = root_only(elements, list(keywords.values())).groupBy("image_id").agg(*aggs)
-    return every_image(elements, found).select("image_id", *[F.coalesce(p, F.lit("")).alias(p) for p in keywords])
+    names = [p for lv in S.LEVELS.values() for p in lv.props]
+    first, whole = F.get("values", F.lit(0)), join_values(F.col("values"))
+    held = gathered(elements, {S.PROPERTY_KEYWORD[p]: whole if p == "imageType" else first for p in names})
+    return held.select("image_id", *[F.coalesce(held_at(i), F.lit("")).alias(p) for i, p in enumerate(names)])
 
 
 def context_rows(elements: DataFrame) -> DataFrame:
-    found = root_only(elements, ["SOPClassUID", "TransferSyntaxUID"]).groupBy("image_id").agg(
-        pick("SOPClassUID").alias("sop_class"), pick("TransferSyntaxUID").alias("transfer_syntax")
-    )
-    return every_image(elements, found).select(
-        "image_id", F.coalesce("sop_class", F.lit("")).alias("sop_class"), F.coalesce("transfer_syntax", F.lit("")).alias("transfer_syntax")
-    )
+    first = F.get("values", F.lit(0))
+    held = gathered(elements, {"SOPClassUID": first, "TransferSyntaxUID": first})
+    return held.select("image_id", F.coalesce(held_at(0), F.lit("")).alias("sop_class"), F.coalesce(held_at(1), F.lit("")).alias("transfer_syntax"))
 
 
 def validate_contexts(rows: DataFrame, contexts: DataFrame) -> DataFrame:
