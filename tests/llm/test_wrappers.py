@@ -102,3 +102,69 @@ def test_end_tags_and_marks_at_any_depth():
     assert plain(f"<body><article><p>text</p>{deep(5000, '<div class=ad>Buy</div><p>low</p>')}<p>rest</p></article></body>") == "text\n\nlow\n\nrest"
     page = wrappers.shape_of(deep(3000, "<p>low</p>"))[1]
     assert wrappers.matched(page, page)[0] == 3002
+
+
+def test_reading_is_linear_and_loses_no_text():
+    import time
+
+    from tierbook.llm.pages import parsed
+
+    def text(node):
+        return "".join(c if isinstance(c, str) else text(c) for c in node.children)
+
+    shapes = ["<a " * 350_000, "<a \"'>" * 150_000, "<title>" * 150_000, "<svg>" * 200_000, "<!" * 500_000, "<" * 1_000_000, "<a href='" * 120_000 + ">", "<!--" * 250_000,
+              "<p><b" * 200_000 + ">"]
+    for html in shapes:
+        began = time.process_time()
+        parsed(html)
+        assert time.process_time() - began < 6, html[:20]
+    assert text(parsed("a < b <a href='x>y'>c</a> <!-- d > --> e <? f > g <1 h <b")) == "a < b c  e  g <1 h <b"
+    assert text(parsed("<p>Let <math><mi>x</mi> = <mn>2</mn></math> hold<script>no</script>.")) == "Let x = 2 hold."
+
+
+def test_alignment_is_the_heaviest_of_all():
+    import random
+
+    from tierbook.llm.pages import Node
+    from tierbook.llm.wrappers import Shape, matched
+
+    def bare(label):
+        return Shape(label, [Node("b", {})])
+
+    def tree(rng, depth):
+        node = bare("x")
+        labels = rng.sample("abcdefgh", rng.randrange(0, 6)) if depth else []
+        for label in labels:
+            child = tree(rng, depth - 1)
+            child.label = label
+            node.children.append(child)
+        return node
+
+    def plain(a, b):
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children, 1):
+            for j, y in enumerate(b.children, 1):
+                both = best[i - 1][j - 1] + (plain(x, y) if x.label == y.label else -1)
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], both)
+        return 1 + best[-1][-1]
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = tree(rng, 3), tree(rng, 3)
+        size, pairs = matched(a, b)
+        assert size == plain(a, b) == len(pairs) and pairs[0] == (a, b)
+        assert all(x.label == y.label for x, y in pairs)
+    wide = [bare("x") for _ in range(2)]
+    for node in wide:
+        node.children = [bare(f"n{k}") for k in rng.sample(range(20_000), 20_000)]
+    assert matched(*wide)[0] > 200
+
+
+def test_cards_beside_the_article_are_left_out():
+    from tierbook.llm.pages import parsed
+    from tierbook.llm.wrappers import main_regions
+
+    page = parsed("<main><article><h1>T</h1><p>" + "long text " * 40 + "</p></article><section class='more-stories'><article class='card'><h3>Other</h3><p>short</p></article></section></main>")
+    assert len(main_regions(page)) == 1
+    halves = parsed("<article><p>" + "one half " * 30 + "</p></article><article><p>" + "other half " * 30 + "</p></article>")
+    assert len(main_regions(halves)) == 2

@@ -7,7 +7,7 @@ import re
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, or never text of the page.
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml noframes xmp".split())
 #: Elements that end an open paragraph and start a block of text.
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -19,9 +19,10 @@ ENDS = {
     "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S)
+#: Tags whose quotes run to the end of the page, after which quotes are no longer trusted.
+UNCLOSED = 16
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -42,18 +43,30 @@ class Node:
 def parsed(html: str) -> Node:
     """The tree under an outermost node; unclosed elements end with their parents, text is never lost."""
     root = Node("#page", {})
-    stack, at, size = [root], 0, len(html)
-    while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
+    stack, at, begun, size, last = [root], 0, 0, len(html), html.rfind(">")
+    unclosed, missing = 0, set()
+    while (lt := html.find("<", at)) >= 0:
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            end, tag = (size if end < 0 else end + 3), ""
+        elif lt > last:
             break
-        if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
-        at = m.end()
-        close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        elif html[lt + 1] in "!?":
+            end, tag = html.find(">", lt) + 1, ""
+        elif (m := TAG.match(html, lt)) is not None:
+            close, tag = m[1], m[2].lower()
+            quoted = QUOTED.match(html, m.end()) if unclosed < UNCLOSED else None
+            unclosed += quoted is None
+            end = quoted.end() if quoted else html.find(">", m.end()) + 1
+            rest = html[m.end() : end - 1]
+        else:
+            at = lt + 1
+            continue
+        if lt > begun:
+            stack[-1].children.append(html[begun:lt])
+        at = begun = end
         if not tag:
             continue
-        tag = tag.lower()
         if close:
             _end(stack, tag)
             continue
@@ -71,15 +84,17 @@ def parsed(html: str) -> Node:
         node = Node(tag, names)
         stack[-1].children.append(node)
         if tag in RAW and not rest.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if end:
-                at = end.end()
-            elif tag in ("script", "style"):
-                at = size
+            found = None if tag in missing else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            if found:
+                at = begun = found.end()
+            else:
+                missing.add(tag)  # nor will it be found further on
+                if tag in ("script", "style"):
+                    at = begun = size
         elif tag not in VOID:
             stack.append(node)
-    if at < size:
-        stack[-1].children.append(html[at:])
+    if begun < size:
+        stack[-1].children.append(html[begun:])
     return root
 
 

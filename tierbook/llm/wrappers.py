@@ -212,26 +212,33 @@ def _matched(a: Shape, b: Shape):
     m, n = len(a.children), len(b.children)
     if not m or not n:
         return 1, ((a, b), [])
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    pairs: dict[tuple[int, int], tuple[int, tuple]] = {}
-    for i, x in enumerate(a.children, 1):
-        row, above = best[i], best[i - 1]
-        for j, y in enumerate(b.children, 1):
-            most = max(above[j], row[j - 1])
-            if x.label == y.label:
-                pairs[i, j] = yield x, y
-                most = max(most, above[j - 1] + pairs[i, j][0])
-            row[j] = most
-    found, i, j = [], m, n
-    while i and j:
-        if (i, j) in pairs and best[i][j] == best[i - 1][j - 1] + pairs[i, j][0]:
-            found.append(pairs[i, j][1])
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[m][n], ((a, b), found)
+    # labels are unique among the children of a node, so an alignment is a rising run of places in b: the heaviest one, by a
+    # tree of maxima over places (weight, and its last match with the one before it)
+    place = {y.label: j for j, y in enumerate(b.children, 1)}
+    best: list[tuple[int, tuple | None]] = [(0, None)] * (n + 1)
+    for x in a.children:
+        j = place.get(x.label)
+        if j is None:
+            continue
+        size, nested = yield x, b.children[j - 1]
+        k, before = j - 1, (0, None)
+        while k:
+            before = max(before, best[k], key=lambda e: e[0])
+            k &= k - 1
+        entry, k = (before[0] + size, (nested, before[1])), j
+        while k <= n:
+            if entry[0] > best[k][0]:
+                best[k] = entry
+            k += k & -k
+    k, whole = n, (0, None)
+    while k:
+        whole = max(whole, best[k], key=lambda e: e[0])
+        k &= k - 1
+    found, chain = [], whole[1]
+    while chain is not None:
+        found.append(chain[0])
+        chain = chain[1]
+    return 1 + whole[0], ((a, b), found)
 
 
 def observed(page: Shape, seed: Shape) -> tuple[list[int], list[tuple[int, int, int]], int] | None:
@@ -255,7 +262,8 @@ def observed(page: Shape, seed: Shape) -> tuple[list[int], list[tuple[int, int,
 
 
 def main_regions(root: Node) -> list[Node]:
-    """Outermost articles or main elements that hold text, or else the subtree with the most text outside links."""
+    """Outermost articles or main elements, without those of less than half the text of the largest, or else the subtree with the most text
+    outside links."""
     regions: list[Node] = []
     mass: dict[int, int] = {}
     whole: dict[int, int] = {}
@@ -311,9 +319,11 @@ def main_regions(root: Node) -> list[Node]:
                         regions.append(child)
                     else:
                         todo.append(child)
-    if regions:
-        return regions
     visit(root, False, False)
+    if regions:
+        # beside the article itself, what is marked as one but far smaller is a card that leads elsewhere
+        sizes = [whole.get(id(r), 0) for r in regions]
+        return [r for r, size in zip(regions, sizes, strict=True) if 2 * size >= max(sizes)]
     best = max(nodes, key=lambda n: mass[id(n)], default=None)
     if best is None or not mass[id(best)]:
         return [root]
