@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tierbook import schema as S
 from tierbook.operators import query as Q
+from tierbook.operators.grams import GramIndex
 from tierbook.plans import fixture_values as V
 from tierbook.plans.fixtures import Fixtures
 from tierbook.plans.registry import query
+from tierbook.session import materialise, work_dir
 
 P = "id, patientName, patientID, patientBirthDate, patientSex"
 ST = "id, patient_ref, studyInstanceUID, studyDescription, studyDate, studyID, accessionNumber, patientAge"
@@ -159,6 +161,14 @@ def filter_flat_series_text(fx: Fixtures):
     return Q.list_flat_series(fx.catalogue(), text="Nation_1")
 
 
+@query("search_flat_series", f"SELECT {FLAT} FROM fx_flat_series WHERE {_FLAT_TEXT.format('nation_1')}")
+def search_flat_series(fx: Fixtures):
+    """The same filter through a gram index of the flat series."""
+    flat = materialise(Q.list_flat_series(fx.catalogue()), "flat_series")
+    index = GramIndex(fx.spark, work_dir(fx.spark, "grams"), Q.FLAT_TEXT_COLUMNS, buckets=16).build(flat)
+    return index.search(flat, "Nation_1")
+
+
 @query("images_for_series", f"SELECT {IM} FROM fx_images WHERE series_ref = 7 AND (lower(sopInstanceUID) LIKE '%f%' "
        "OR lower(imageType) LIKE '%f%' OR lower(instanceNumber) LIKE '%f%') ORDER BY instanceNumber DESC, id LIMIT 20")
 def images_for_series(fx: Fixtures):
