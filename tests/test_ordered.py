@@ -108,3 +108,13 @@ def test_incoming_status_and_outgoing_progress(spark):
     sent = spark.createDataFrame([(1,), (1,), (1,), (2,)], "transaction_id bigint")
     got = {r.transaction_id: (r.sent_count, r.status) for r in T.outgoing_progress(totals, sent).collect()}
     assert got == {1: (2, "FINISHED"), 2: (1, "PROCESSING"), 3: (0, "WAITING")}
+
+
+def test_width_follows_the_fullest_bucket(spark):
+    burst = spark.range(5000).selectExpr("'hot' as k", "86400000 + id * 3 as ts").union(spark.range(50).selectExpr("'cold'", "id * 40000000"))
+    width = O.fitting_width(burst, ["k"], "ts", 86_400_000, rows=200)
+    fullest = burst.groupBy("k", O.split_by(F.col("ts"), width)).count().agg(F.max("count")).first()[0]
+    assert fullest <= 200 and width >= 100
+    assert O.fitting_width(burst, ["k"], "ts", 86_400_000) == 86_400_000 == O.fitting_width(burst.limit(0), ["k"], "ts", 86_400_000)
+    same = [{tuple(r) for r in O.sessions(burst, ["k"], "ts", 1000, w).collect()} for w in (width, 86_400_000)]
+    assert same[0] == same[1]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierbook.operators.ordered import sessions
+from tierbook.operators.ordered import fitting_width, sessions
 
 IDLE_MS = 30_000
 KEY = ["rule_id", "session_start"]
@@ -18,8 +18,13 @@ def match_rules(arrivals: DataFrame, rules: DataFrame) -> DataFrame:
     return arrivals.join(rules, ["sourcetype", "sourceid"])
 
 
-def batches(matched: DataFrame, idle_ms: int = IDLE_MS, width_ms: int = 86_400_000) -> DataFrame:
-    """Members of the transactions: (rule, start, image) once per image, with first and last arrival."""
+def batches(matched: DataFrame, idle_ms: int = IDLE_MS, width_ms: int | None = None) -> DataFrame:
+    """Members of the transactions: (rule, start, image) once per image, with first and last arrival.
+
+    Windows run inside buckets of ``width_ms``, by default a day, or less where a burst of one rule fills a day too much for one task.
+    """
+    if width_ms is None:
+        width_ms = fitting_width(matched, ["rule_id"], "ts_ms", 86_400_000)
     placed = sessions(matched.select("rule_id", "image_id", "ts_ms"), ["rule_id"], "ts_ms", idle_ms, width_ms, closed=True)
     return placed.groupBy(*KEY, "image_id").agg(F.count(F.lit(1)).alias("arrivals"), F.max("ts_ms").alias("last_ts"))
 

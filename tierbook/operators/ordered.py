@@ -75,6 +75,22 @@ def running_max(frame: DataFrame, keys: list[str], order: str, value: Column, bu
     )
 
 
+def fitting_width(frame: DataFrame, keys: list[str], ts: str, widest: int, rows: int = 65_536) -> int:
+    """A bucket width under which the fullest bucket of the fullest key holds about ``rows`` timestamps, at most ``widest``.
+
+    Narrowed as long as the fullest bucket is too full and narrower ones still part it; counts combine before their shuffle, and any
+    width gives the same sessions.
+    """
+    times = frame.select(*keys, ts).distinct()
+    width = widest
+    while width > 1:
+        full = times.groupBy(*keys, split_by(F.col(ts), width).alias(BUCKET)).count().agg(F.max("count")).first()[0] or 0
+        if full <= rows:
+            break
+        width = max(1, width // (2 * -(-full // rows)))
+    return width
+
+
 def sessions(frame: DataFrame, keys: list[str], ts: str, gap: int, width: int, closed: bool = False) -> DataFrame:
     """Add ``session_start``: a new session begins when the gap to the previous row reaches ``gap``.
 
