@@ -78,3 +78,19 @@ def test_faulty_templates_are_refused():
         with pytest.raises(ValueError, match="region|mandatory"):
             licenses.compiled(bad)
     assert licenses.compiled("<<var;words=2>> b").found_in([b"x", b"b"])
+
+
+def test_whole_licenses_need_their_disclaimers():
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+    "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+    sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+    conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+    warranty = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+    MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+    OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+    DEALINGS IN THE SOFTWARE."""
+    found = lambda text: licenses.scan(text, licenses.PHRASES, licenses.default_automata())[5]
+    assert found(f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{mit}\n\n{warranty}") == "mit"
+    assert found(mit) == "" and found(mit + warranty.replace("NONINFRINGEMENT", "OTHER THINGS")) == ""
+    assert found("// This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+                 "You can obtain one at https://mozilla.org/MPL/2.0/.") == "mpl-2.0-header"

@@ -27,28 +27,68 @@ from tierbook.llm.common import WORD, by_batch, lowered
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: License wording with markup, by label.
+#: License wording with markup, by label; whole licenses to the end of their disclaimers, and notices that refer to one.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license <<beginOptional>>version<<endOptional>> 2.0 <<beginOptional>>the license<<endOptional>>",
+    "apache-2.0-header": """licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license
+        you may obtain a copy of the license at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> www.apache.org/licenses/LICENSE-2.0
+        <<beginOptional>>.html<<endOptional>> unless required by applicable law or agreed to in writing software distributed under the license is
+        distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific
+        language governing permissions and limitations under the license""",
     "bsd-2-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the
         following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above
         copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions
         in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
-        documentation and/or other materials provided with the distribution""",
+        documentation and/or other materials provided with the distribution this software is provided by <<var;words=15>> as is and any express
+        or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are
+        disclaimed in no event shall <<var;words=15>> be liable for any direct indirect incidental special exemplary or consequential damages
+        including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however
+        caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way
+        out of the use of this software even if advised of the possibility of such damage""",
+    "bsd-3-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the
+        following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above
+        copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions
+        in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution <<beginOptional>>3<<endOptional>> neither the name of
+        <<var;words=15>> nor the names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission this software is provided by <<var;words=15>> as is and any express
+        or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are
+        disclaimed in no event shall <<var;words=15>> be liable for any direct indirect incidental special exemplary or consequential damages
+        including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however
+        caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way
+        out of the use of this software even if advised of the possibility of such damage""",
     "cc-by-4.0": """<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> creative commons attribution
         4.0 <<beginOptional>>international<<endOptional>> license""",
     "cc-by-nc-4.0": "licensed under <<beginOptional>>a<<endOptional>> cc by nc 4.0 <<beginOptional>>license<<endOptional>>",
     "gpl-3.0": """licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license <<beginOptional>>as published by
         the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3""",
+    "gpl-header": """<<var;words=6>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as
+        published by the free software foundation either version <<beginOptional>>2<<endOptional>> <<beginOptional>>3<<endOptional>> of the license
+        or <<beginOptional>>at your option<<endOptional>> any later version <<var;words=6>> is distributed in the hope that it will be useful but
+        without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public
+        license for more details""",
     "isc": """permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without
-        fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies""",
+        fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as
+        is and <<var;words=10>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in
+        no event shall <<var;words=10>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss
+        of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+        performance of this software""",
+    "lgpl-header": """<<var;words=6>> is free software you can redistribute it and or modify it under the terms of the gnu <<beginOptional>>lesser
+        <<endOptional>> <<beginOptional>>library<<endOptional>> general public license as published by the free software foundation either version
+        <<beginOptional>>2.1<<endOptional>> <<beginOptional>>3<<endOptional>> of the license or <<beginOptional>>at your option<<endOptional>> any later
+        version""",
     "mit": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
         files the software to deal in the software without restriction including without limitation the rights to use copy
         modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the
         software is furnished to do so subject to the following conditions <<beginOptional>><<var;words=60>><<endOptional>> the above
         copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in
-        all copies or substantial portions of the software""",
+        all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied
+        including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+        <<var;words=12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of
+        or in connection with the software or the use or other dealings in the software""",
     "mit-notice": "<<beginOptional>>released<<endOptional>> under the mit license",
+    "mpl-2.0-header": """this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with
+        this file you can obtain one at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> <<beginOptional>>www<<endOptional>> mozilla.org/MPL/2.0""",
     "reserved-notice": "copyright <<beginOptional>>c<<endOptional>> <<var;words=12>> all rights reserved",
 }
 
