@@ -319,6 +319,8 @@ def main_regions(root: Node) -> list[Node]:
                         regions.append(child)
                     else:
                         todo.append(child)
+    if len(regions) == 1:
+        return regions
     visit(root, False, False)
     if regions:
         # beside the article itself, what is marked as one but far smaller is a card that leads elsewhere
