@@ -40,3 +40,37 @@ def test_upserts_go_on_from_the_checkpoint_and_compact(spark, tmp_path):
 def test_job_folders_are_stable_and_work_folders_fresh(spark):
     assert job_dir(spark, "a") == job_dir(spark, "a") != job_dir(spark, "b")
     assert work_dir(spark, "a") != work_dir(spark, "a")
+
+
+def test_a_changed_file_arrives_again_once(spark, tmp_path):
+    import shutil
+
+    folder, work = tmp_path / "watched", str(tmp_path / "job")
+
+    def put(name, rows):
+        staged = tmp_path / f"staged-{name}-{len(rows)}"
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(staged))
+        (folder / "deep").mkdir(parents=True, exist_ok=True)
+        shutil.copyfile(next(staged.glob("*.parquet")), folder / "deep" / f"{name}.parquet")
+
+    def run(limit=None, handle=None):
+        return J.take_changes(spark, str(folder), spark.createDataFrame([], SCHEMA).schema, work, handle or J.delta_writer(work, lambda batch: batch), limit)
+
+    def found():
+        return sorted((r["k"], r["v"], r["batch"]) for r in J.read_deltas(spark, work).collect())
+
+    put("a", [("a", 1, 1)])
+    put("b", [("b", 1, 1)])
+    assert run(limit=1) == 2 and run() == 0
+    put("a", [("a", 2, 2), ("a", 3, 2)])
+
+    def lost(batch, number):
+        raise RuntimeError("lost")
+
+    try:
+        run(handle=lost)
+    except RuntimeError:
+        pass
+    assert len(found()) == 2
+    assert run() == 1 and run() == 0
+    assert [(k, v) for k, v, _ in found()] == [("a", 1), ("a", 2), ("a", 3), ("b", 1)] and {b for _, v, b in found() if v > 1} == {2}

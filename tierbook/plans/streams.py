@@ -45,6 +45,15 @@ def stream_file_ingest(fx: Fixtures):
     return fx.spark.read.parquet(J.run_to_files(stream, work_dir(fx.spark, "files")))
 
 
+@query("watch_changed_files", "SELECT event_id, user_id, event_type FROM events")
+def watch_changed_files(fx: Fixtures):
+    """A watched folder taken twice: files that did not change meanwhile arrive once."""
+    work, schema = work_dir(fx.spark, "watch"), fx.table("events").schema
+    for _ in range(2):
+        J.take_changes(fx.spark, f"{fx.dir}/events.parque[t]", schema, work, J.delta_writer(work, lambda batch: batch))
+    return J.read_deltas(fx.spark, work).select("event_id", "user_id", "event_type")
+
+
 @query(
     "stream_ingest",
     f"WITH wide AS ({_WIDE}) SELECT level, natural_key, attributes FROM (SELECT 'image' AS level, concat_ws('|', patientName, patientID, "

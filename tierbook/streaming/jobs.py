@@ -21,13 +21,43 @@ Batch = Callable[[DataFrame, int], None]
 
 
 def watch_files(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
-    """Files below a path: those present first, then new ones.  A changed file must arrive under a new name."""
+    """Files below a path: those present first, then new ones.  A changed file must arrive under a new name; ``take_changes`` takes it under any."""
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     return reader.parquet(path)
 
 
+def take_changes(spark: SparkSession, path: str, schema, work: str, handle: Batch, max_files: int | None = None) -> int:
+    """Hands every file below a path to ``handle`` once for each state it is found in: a file that is written anew under its old name
+    arrives again, which a file stream would never notice.
+
+    What was taken is kept as (path, time, size) in one folder per batch id, written after the batch; a run that fails takes the same files
+    again under the same id.  Listing reads no contents.  The rows carry ``file_path`` and ``file_time``.  Returns the number of batches.
+    """
+    state = "path string, modificationTime timestamp, length long"
+    seen = spark.read.schema(state).option("recursiveFileLookup", "true")
+    done = 0
+    while True:
+        here = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        here = here.select("path", "modificationTime", "length")
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{work}/taken")
+        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        taken = [f.getPath().getName() for f in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+        numbers = [int(n) for n in taken if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{work}/taken/{n}/_SUCCESS"))]
+        if numbers:
+            here = here.join(seen.parquet(*[f"{work}/taken/{n}" for n in numbers]), ["path", "modificationTime", "length"], "left_anti")
+        batch = here.orderBy("modificationTime", "path")
+        batch = (batch.limit(max_files) if max_files else batch).collect()  # names of files, as any listing
+        if not batch:
+            return done
+        number = max(numbers, default=-1) + 1
+        rows = spark.read.schema(schema).parquet(*[r["path"] for r in batch])
+        handle(rows.select("*", "_metadata.file_path", F.col("_metadata.file_modification_time").alias("file_time")), number)
+        spark.createDataFrame(batch, state).coalesce(1).write.mode("overwrite").parquet(f"{work}/taken/{number}")
+        done += 1
+
+
 def run_to_files(stream: DataFrame, work: str, partition_by: list[str] | None = None) -> str:
     """Append sink, run over everything available."""
     writer = stream.writeStream.format("parquet").outputMode("append")
