@@ -129,16 +129,18 @@ def value_level(path: Column) -> Column:
     return chain
 
 
-def harmonise(pairs: DataFrame, context: DataFrame) -> DataFrame:
+def harmonise(pairs: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """Pairs to insert: at or above the matched level an existing anonymous value is reused.
 
     ``pairs`` is (image_id, tag_path, value, anon_value), ``context`` one row per image with match_level and the map of
-    the matched key.  ``stored`` is false for identity pairs, which live in the key row itself.  New values come from a
+    the matched key; pairs may carry both along instead, which saves their shuffle.  ``stored`` is false for identity pairs, which live in the key row itself.  New values come from a
     keyed hash, so images of one batch agree with each other in any order.
     """
     reused = F.when(value_level(F.col("tag_path")) <= F.col("match_level"),
                     F.try_element_at(F.col("pairs"), F.col("tag_path")))
-    return pairs.join(context.select("image_id", "match_level", "pairs"), "image_id").select(
+    if context is not None:
+        pairs = pairs.join(context.select("image_id", "match_level", "pairs"), "image_id")
+    return pairs.select(
         "image_id", "match_level", "tag_path", "value", F.coalesce(reused, "anon_value").alias("anon_value"),
         (~F.col("tag_path").isin(*IDENTITY_PATHS)).alias("stored"),
     )

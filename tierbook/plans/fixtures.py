@@ -6,14 +6,14 @@ filters reach the scans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierbook import schema as S
 from tierbook.operators.query import Catalogue
 from tierbook.plans import fixture_values as V
 from tierbook.session import materialise
-from tierbook.sources.attributes import unpivot
+from tierbook.sources.attributes import Records, unpivot
 from tierbook.sources.dims import constant_table
 
 SOURCE_KIND = ("user", "box", "scp", "directory", "import")
@@ -28,7 +28,7 @@ class Fixtures:
         self.spark = spark
         self.dir = sf_dir
         self._schemas = {}
-        self._flat: DataFrame | None = None
+        self._listed: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         """A table of the data folder; its footer is read for the schema only once per plan."""
@@ -170,11 +170,30 @@ class Fixtures:
             .join(self.patients().withColumnRenamed("id", "patient_id"), "patient_id")
         )
 
-    def stored_flat_images(self) -> DataFrame:
+    def listed_flat_images(self) -> DataFrame:
+        """Every image with all promoted properties; ``copy`` numbers the rows of an image, null where no series, study and patient is above it.
+        Copies are numbered among the series, in the order their join needs, so images are not shuffled for it."""
+        series = self.series().withColumnRenamed("id", "series_id").withColumnRenamed("study_ref", "study_id")
+        series = series.join(self.studies().withColumnRenamed("id", "study_id").withColumnRenamed("patient_ref", "patient_id"), "study_id")
+        series = series.join(self.patients().withColumnRenamed("id", "patient_id"), "patient_id")
+        copy = F.row_number().over(Window.partitionBy("series_id").orderBy(*[c for c in series.columns if c != "series_id"]))
+        images = self.images().withColumnRenamed("id", "image_id").withColumnRenamed("series_ref", "series_id")
+        return images.join(series.withColumn("copy", copy), "series_id", "left")
+
+    def stored_listed_images(self) -> DataFrame:
         """The same for plans that read it several times: written once to the shared folder."""
-        if self._flat is None:
-            self._flat = materialise(self.flat_images(), "flat_images")
-        return self._flat
+        if self._listed is None:
+            self._listed = materialise(self.listed_flat_images(), "flat_images")
+        return self._listed
+
+    def stored_flat_images(self) -> DataFrame:
+        """``flat_images`` out of the stored ones."""
+        return self.stored_listed_images().filter("copy IS NOT NULL").drop("copy")
+
+    def records(self, images: DataFrame | None = None) -> Records:
+        """Images with their elements; ``images`` are listed flat images, with more columns if need be."""
+        copy = F.col("copy")
+        return Records(self.listed_flat_images() if images is None else images, tuple(V.ELEMENTS), F.coalesce(copy, F.lit(1)) == 1, copy.isNotNull())
 
     def elements(self, images: DataFrame | None = None, paths: list[str] | None = None, keep: tuple[str, ...] = (),
                  of_series: DataFrame | None = None) -> DataFrame:
