@@ -6,9 +6,13 @@ source plus a predicate per element row: no fan-out and, as the definitions are
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierbook.sources.attributes import Records
+
 SOURCE = ["sourcetype", "sourceid"]
 
 
@@ -70,8 +74,23 @@ def kept_by_whitelist(path: Column, white: Column) -> Column:
     return F.coalesce(F.size(white) == 0, F.lit(True)) | F.coalesce(hit, F.lit(True))
 
 
-def apply_filters(elements: DataFrame, spec: DataFrame, blacklist: bool = True, whitelist: bool = True) -> DataFrame:
-    """``elements`` carry the source columns; blacklists run before whitelists."""
+def apply_filters(elements: DataFrame | Records, spec: DataFrame, blacklist: bool = True, whitelist: bool = True) -> DataFrame:
+    """``elements`` carry the source columns; blacklists run before whitelists.  The paths of records are known: patterns are held against
+    them once per source, an image meets the verdicts of its source, and only what is kept is spread."""
+    if isinstance(elements, Records):
+        paths = F.array(*[F.lit(p) for p, _, _ in elements.elements])
+
+        def verdict(path: Column) -> Column:
+            kept = F.lit(True)
+            if blacklist:
+                kept = kept & ~dropped_by_blacklist(path, F.col("black"))
+            return kept & kept_by_whitelist(path, F.col("white")) if whitelist else kept
+
+        verdicts = patterns_by_source(spec).select(*SOURCE, F.transform(paths, verdict).alias("kept"))
+        images = elements.images.join(verdicts, SOURCE, "left")
+        # a source without patterns keeps everything
+        kept = F.coalesce("kept", F.array_repeat(F.lit(True), len(elements.elements)))
+        return replace(elements, images=images.withColumn("kept", kept)).rows(tuple(SOURCE), kept="kept")
     frame = elements.join(patterns_by_source(spec), SOURCE, "left")
     path = F.col("tag_path")
     if blacklist:

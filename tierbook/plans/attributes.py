@@ -31,7 +31,7 @@ _DIM = "dim AS (" + values(
     "ON p.tag = e.top_tag",
 )
 def attribute_rows(fx: Fixtures):
-    rows = A.attribute_rows(fx.elements(), F.col("tag") == S.TAG["PixelData"])
+    rows = A.attribute_rows(fx.flat_records(), F.col("tag") == S.TAG["PixelData"])
     return rows.select("image_id", "tag_path", F.array_join("name_path", "/").alias("name_path"), "vr", "length",
                        X.join_values(F.col("values")).alias("value"),
                        F.size("values").cast("bigint").alias("multiplicity"))
@@ -55,7 +55,7 @@ _PROPS = [p for lv in S.LEVELS.values() for p in lv.props]
     f") FILTER (WHERE tag_path = '{S.TAG_TEXT[S.PROPERTY_KEYWORD[p]]}'), '') AS {p}" for p in _PROPS)
     + " FROM fx_elements GROUP BY image_id")
 def extract_levels(fx: Fixtures):
-    return A.extract_levels(fx.elements())
+    return A.extract_levels(fx.flat_records())
 
 
 @query(
@@ -332,7 +332,7 @@ def _filter_sql(black: bool, white: bool) -> str:
 
 def _filtered(fx: Fixtures, blacklist: bool, whitelist: bool):
     source = fx.series_sources().select(F.col("id").alias("series_id"), "sourcetype", "sourceid")
-    elements = fx.elements(keep=("sourcetype", "sourceid"), of_series=source)
+    elements = fx.flat_records(source)
     spec = T.specs(fx.tag_filters(), fx.tag_filter_paths(), fx.source_tag_filters())
     return T.apply_filters(elements, spec, blacklist, whitelist).select("image_id", "tag_path", "sourcetype", "sourceid")
 

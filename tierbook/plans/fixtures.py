@@ -98,18 +98,24 @@ class Fixtures:
             "l_quantity",
         )
 
-    def images(self) -> DataFrame:
-        """Last arrival per image.  The aggregate combines on the map side, so a hot series costs nothing extra; texts are
-        built after it, which keeps the shuffled rows short."""
+    def last_arrivals(self) -> DataFrame:
+        """Last arrival per image, with keys and flags only.  The aggregate combines on the map side, so a hot series costs nothing extra."""
         order = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus"]
         last = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*order)).alias("a"))
-        return last.select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-            F.col("l_orderkey").alias("series_ref"),
-            F.concat_ws(".", F.lit("SO"), "l_orderkey", "l_linenumber").alias("sopInstanceUID"),
-            F.concat("a.l_returnflag", F.lit("\\"), "a.l_linestatus").alias("imageType"),
-            F.col("l_linenumber").cast("string").alias("instanceNumber"),
-        )
+        return last.select("l_orderkey", "l_linenumber", "a.l_returnflag", "a.l_linestatus")
+
+    def image_columns(self) -> dict[str, Column]:
+        """Of an image, out of its last arrival; texts are built after shuffles, which keeps the shuffled rows short."""
+        return {
+            "id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
+            "series_ref": F.col("l_orderkey"),
+            "sopInstanceUID": F.concat_ws(".", F.lit("SO"), "l_orderkey", "l_linenumber"),
+            "imageType": F.concat("l_returnflag", F.lit("\\"), "l_linestatus"),
+            "instanceNumber": F.col("l_linenumber").cast("string"),
+        }
+
+    def images(self) -> DataFrame:
+        return self.last_arrivals().select(*[c.alias(n) for n, c in self.image_columns().items()])
 
     def series_sources(self) -> DataFrame:
         key = F.col("o_orderkey")
@@ -158,27 +164,37 @@ class Fixtures:
 
     # -- attributes --------------------------------------------------------------------------------------------
 
-    def flat_images(self, images: DataFrame | None = None) -> DataFrame:
-        """One wide row per image with all promoted properties."""
-        images = self.images() if images is None else images
-        return (
-            images.withColumnRenamed("id", "image_id").withColumnRenamed("series_ref", "series_id")
-            .join(self.series().withColumnRenamed("id", "series_id").withColumnRenamed("study_ref", "study_id"),
-                  "series_id")
-            .join(self.studies().withColumnRenamed("id", "study_id").withColumnRenamed("patient_ref", "patient_id"),
-                  "study_id")
-            .join(self.patients().withColumnRenamed("id", "patient_id"), "patient_id")
-        )
+    def flat_series(self, of_series: DataFrame | None = None) -> DataFrame:
+        """Series with the properties of their study and patient; ``of_series`` adds columns by series_id."""
+        series = self.series().withColumnRenamed("id", "series_id").withColumnRenamed("study_ref", "study_id")
+        if of_series is not None:
+            series = series.join(of_series, "series_id")
+        series = series.join(self.studies().withColumnRenamed("id", "study_id").withColumnRenamed("patient_ref", "patient_id"), "study_id")
+        return series.join(self.patients().withColumnRenamed("id", "patient_id"), "patient_id")
+
+    def under_series(self, series: DataFrame, how: str = "inner") -> DataFrame:
+        """Every image beside the columns of its series; its texts are built after the join, so what is shuffled are keys and flags."""
+        joined = self.last_arrivals().join(series, F.col("l_orderkey") == F.col("series_id"), how)
+        names = {"id": "image_id", "series_ref": "series_id"}
+        columns = [c.alias(names.get(n, n)) for n, c in self.image_columns().items()]
+        return joined.select(columns[1], columns[0], *columns[2:], *[c for c in series.columns if c != "series_id"])
+
+    def flat_images(self, images: DataFrame | None = None, of_series: DataFrame | None = None) -> DataFrame:
+        """One wide row per image with all promoted properties.  Levels are joined from the top, so images meet one join, on their series."""
+        series = self.flat_series(of_series)
+        if images is None:
+            flat = self.under_series(series)
+        else:
+            flat = images.withColumnRenamed("id", "image_id").withColumnRenamed("series_ref", "series_id").join(series, "series_id")
+        keys = ["patient_id", "study_id", "series_id"]
+        return flat.select(*keys, *[c for c in flat.columns if c not in keys])
 
     def listed_flat_images(self) -> DataFrame:
         """Every image with all promoted properties; ``copy`` numbers the rows of an image, null where no series, study and patient is above it.
         Copies are numbered among the series, in the order their join needs, so images are not shuffled for it."""
-        series = self.series().withColumnRenamed("id", "series_id").withColumnRenamed("study_ref", "study_id")
-        series = series.join(self.studies().withColumnRenamed("id", "study_id").withColumnRenamed("patient_ref", "patient_id"), "study_id")
-        series = series.join(self.patients().withColumnRenamed("id", "patient_id"), "patient_id")
+        series = self.flat_series()
         copy = F.row_number().over(Window.partitionBy("series_id").orderBy(*[c for c in series.columns if c != "series_id"]))
-        images = self.images().withColumnRenamed("id", "image_id").withColumnRenamed("series_ref", "series_id")
-        return images.join(series.withColumn("copy", copy), "series_id", "left")
+        return self.under_series(series.withColumn("copy", copy), "left")
 
     def stored_listed_images(self) -> DataFrame:
         """The same for plans that read it several times: written once to the shared folder."""
@@ -199,8 +215,11 @@ class Fixtures:
                  of_series: DataFrame | None = None) -> DataFrame:
         """Element rows; ``of_series`` adds columns by series_id before the images are spread into elements."""
         wanted = [e for e in V.ELEMENTS if paths is None or e[0] in paths]
-        flat = self.flat_images(images)
-        return unpivot(flat if of_series is None else flat.join(of_series, "series_id"), wanted, keep)
+        return unpivot(self.flat_images(images, of_series), wanted, keep)
+
+    def flat_records(self, of_series: DataFrame | None = None) -> Records:
+        """The same elements as records: one for every row of the flat images."""
+        return Records(self.flat_images(of_series=of_series), tuple(V.ELEMENTS), F.lit(True), F.lit(True))
 
     # -- rules and filters -------------------------------------------------------------------------------------
 
