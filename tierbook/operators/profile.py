@@ -414,6 +414,21 @@ class Profile:
             return self._exact[tag]
         return next((r[4] for r in self.rows if r[3] != FULL_MASK and tag & r[3] == r[2]), None)
 
+    def effect_of(self, tag: int) -> str:
+        """remove / zero / uid / keep of a known attribute."""
+        op = self.op_of(tag)
+        if op is not None:
+            return EFFECT[op]
+        return "keep" if tag in self.safe else self.unlisted
+
+    def removes(self, path_tags: list[int]) -> bool:
+        """Whether an operation on a known attribute, or on any sequence around it, removes it."""
+        return any(self.effect_of(t) == "remove" for t in path_tags)
+
+    def names(self, path_tags: list[int]) -> bool:
+        """Whether an option speaks about a known attribute and all sequences around it, or they are known to be safe."""
+        return all(self.op_of(t) is not None or t in self.safe for t in path_tags)
+
     def case_sql(self, tag: str, value_of=lambda code: code) -> str:
         """``value_of(code)`` of the winning operation as SQL text over a tag column or lambda variable, null without one.
 
