@@ -44,6 +44,8 @@ WIDTH = 256
 K1, B = 1.2, 0.75
 #: Ids are below this; two more places hold the number of documents and of ids.
 TERMS = 1 << 16
+#: Pieces whose terms are counted at once.
+ROWS = 256
 
 PIECES = ("row long, doc_id long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, ids binary, terms binary, counts binary")
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -131,6 +133,36 @@ def terms_of(ids: np.ndarray, whole: bytes | None) -> tuple[np.ndarray, np.ndarr
     return both[: len(both) // 2], both[len(both) // 2 :]
 
 
+def weightiest(batch: pa.RecordBatch, weights: Weights, asked: np.ndarray) -> np.ndarray:
+    """The weightiest term of each piece among those asked for (of equal ones the first), TERMS if none weighs.  Terms of all pieces are
+    counted at once, as numbers of piece and term."""
+    out = np.full(batch.num_rows, TERMS, np.int64)
+    parts, places, times = [], [], []
+    for k, (ids, whole) in enumerate(zip(batch.column("ids"), batch.column("terms"), strict=True)):
+        if whole.is_valid:
+            terms, n = terms_of(np.zeros(0, np.uint16), whole.as_py())
+            places.append(terms[asked[terms]] + np.uint32(k * TERMS))
+            times.append(n[asked[terms]])
+        else:
+            terms = np.frombuffer(ids.as_buffer(), "<u2")
+            parts.append(terms[asked[terms]] + np.uint32(k * TERMS))
+    if parts:
+        found, n = np.unique(np.concatenate(parts), return_counts=True)
+        places.append(found)
+        times.append(n)
+    place = np.concatenate(places) if places else np.zeros(0, np.uint32)
+    if not len(place):
+        return out
+    order = np.argsort(place)
+    piece, term, n = place[order] // TERMS, place[order] % TERMS, np.concatenate(times)[order].astype(np.int64)
+    weight = weights.of(term, n, batch.column("doc_tokens").to_numpy()[piece])
+    begins = np.flatnonzero(np.diff(piece.astype(np.int64), prepend=-1))
+    best = np.repeat(np.maximum.reduceat(weight, begins), np.diff(np.append(begins, len(piece))))
+    top = np.flatnonzero((weight == best) & (weight > 0))[::-1]
+    out[piece[top]] = term[top]  # backwards, so that the first stays
+    return out
+
+
 def deal(counts: dict[int, int], shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """First shard of each key, and over how many shards it is spread.  Key TERMS stands for none."""
     first, spread = np.zeros(TERMS + 1, np.int64), np.ones(TERMS + 1, np.int64)
@@ -154,15 +186,10 @@ def sharded(pieces: DataFrame, counts: np.ndarray, shard_rows: int) -> DataFrame
     least = min(shard_rows, int(counts[TERMS])) // 16
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
+        """The weightiest term of each piece among those that enough documents hold (of equal ones the first), TERMS if none weighs."""
         weights = Weights(shared.value)
-        out = np.full(batch.num_rows, TERMS, np.int64)
-        for k, (tokens, ids, whole) in enumerate(zip(*(batch.column(c) for c in ("doc_tokens", "ids", "terms")), strict=True)):
-            terms, times = terms_of(np.frombuffer(ids.as_buffer(), "<u2"), whole.as_py())
-            weight = np.where(weights.held[terms] >= least, weights.of(terms, times, tokens.as_py()), 0)
-            best = int(weight.argmax())
-            if weight[best] > 0:
-                out[k] = terms[best]
-        return out
+        asked = (weights.held >= least) & (weights.idf > 0)
+        return np.concatenate([weightiest(batch.slice(at, ROWS), weights, asked) for at in range(0, batch.num_rows, ROWS)] or [np.zeros(0, np.int64)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
