@@ -125,3 +125,24 @@ def test_hot_keys_are_spread():
 
 def test_empty_table(spark):
     assert neighbours.packed(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_weightiest_terms_of_many_pieces_are_those_of_each():
+    rng = np.random.default_rng(3)
+    docs = [(rng.zipf(1.4, int(rng.integers(0, 300))) % 50).astype("<u2") for _ in range(600)] + [np.array([7, 3, 3, 7], "<u2")]
+    counts = np.zeros(neighbours.TERMS + 2, np.int64)
+    for d in docs:
+        counts[np.unique(d)] += 1
+        counts[neighbours.TERMS :] += (1, len(d))
+    cut = [None if k % 7 else np.concatenate([x.astype("<u4") for x in np.unique(np.append(d, d[:9]), return_counts=True)]).tobytes() for k, d in enumerate(docs)]
+    weights, least = neighbours.Weights(counts), 5
+    batch = pa.record_batch([pa.array([len(d) for d in docs]), pa.array([d.tobytes() for d in docs], pa.binary()), pa.array(cut, pa.binary())], ["doc_tokens", "ids", "terms"])
+    want = []
+    for d, whole in zip(docs, cut, strict=True):
+        terms, times = neighbours.terms_of(d, whole)
+        gained = np.where(weights.held[terms] >= least, weights.of(terms, times, len(d)), 0)
+        want.append(int(terms[gained.argmax()]) if len(terms) and gained.max() > 0 else neighbours.TERMS)
+    asked = (weights.held >= least) & (weights.idf > 0)
+    assert neighbours.weightiest(batch, weights, asked).tolist() == want and len(set(want)) > 5
+    assert neighbours.weightiest(batch.slice(600), weights, asked).tolist() == want[600:]
+    assert neighbours.weightiest(batch.slice(0, 0), weights, asked).tolist() == []
