@@ -81,9 +81,14 @@ class Fixtures:
             text("FR.", cust).alias("frameOfReferenceUID"),
         )
 
-    def arrivals(self) -> DataFrame:
-        """Every arrival of an image, with the arrival order as a struct that compares left to right."""
-        return self.table("lineitem").select(
+    def arrivals(self, of_series: DataFrame | None = None) -> DataFrame:
+        """Every arrival of an image, with the arrival order as a struct that compares left to right.  ``of_series`` adds columns by series_ref;
+        texts and the order are built after that join, so what is shuffled are the columns as they came."""
+        rows, more = self.table("lineitem"), []
+        if of_series is not None:
+            more = [c for c in of_series.columns if c != "series_ref"]
+            rows = rows.join(of_series, F.col("l_orderkey") == F.col("series_ref")).drop("series_ref")
+        return rows.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
             F.col("l_orderkey").alias("series_ref"),
             F.concat_ws(".", F.lit("SO"), "l_orderkey", "l_linenumber").alias("sopInstanceUID"),
@@ -96,6 +101,7 @@ class Fixtures:
             "l_partkey",
             "l_suppkey",
             "l_quantity",
+            *more,
         )
 
     def last_arrivals(self) -> DataFrame:

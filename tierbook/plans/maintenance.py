@@ -32,16 +32,14 @@ _WIDE = (
 )
 
 
-def wide_arrivals(fx: Fixtures, arrivals: DataFrame | None = None) -> DataFrame:
-    arrivals = fx.arrivals() if arrivals is None else arrivals
-    extra = arrivals.select("id", "arrival", "ship_date", "l_partkey", "l_suppkey", "series_ref", "sopInstanceUID",
-                            "imageType", "instanceNumber")
-    flat = (
-        extra.join(fx.series().drop("protocolName", "stationName").withColumnRenamed("id", "series_ref"), "series_ref")
+def wide_arrivals(fx: Fixtures) -> DataFrame:
+    """Arrivals with the properties of all levels.  Levels are joined from the top, so arrivals, of which there are most, meet one join."""
+    series = (
+        fx.series().drop("protocolName", "stationName").withColumnRenamed("id", "series_ref")
         .join(fx.studies().withColumnRenamed("id", "study_ref"), "study_ref")
         .join(fx.patients().withColumnRenamed("id", "patient_ref"), "patient_ref")
     )
-    return flat.withColumns({
+    return fx.arrivals(series).drop("l_quantity").withColumns({
         "protocolName": F.concat(F.lit("P"), (F.col("l_partkey") % 10).cast("string")),
         "stationName": F.concat(F.lit("S"), (F.col("l_suppkey") % 12).cast("string")),
     })
