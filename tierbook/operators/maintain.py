@@ -242,13 +242,17 @@ def merge_elements(elements: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def level_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Natural keys added, kept and deleted on every level between two sets of image rows."""
-    out = None
+    """Natural keys added, kept and deleted on every level between two sets of image rows.
+
+    The keys of both sets are written once, whatever it takes to derive them; keys of a level combine before their shuffle.
+    """
+    keys = key_path("image")
+    both = before.select(*keys, F.lit(True).alias("__old")).unionByName(after.select(*keys, F.lit(False).alias("__old")))
+    both, out = materialise(both, "level-keys"), None
     for name in S.LEVELS:
         key = F.concat_ws("|", *key_path(name)).alias("natural_key")
-        old = before.select(key).distinct().withColumn("__old", F.lit(True))
-        new = after.select(key).distinct().withColumn("__new", F.lit(True))
-        status = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "deleted").otherwise("kept")
-        rows = old.join(new, "natural_key", "full_outer").select(F.lit(name).alias("level"), "natural_key", status.alias("status"))
+        found = both.groupBy(key).agg(F.max("__old").alias("was"), F.min("__old").alias("gone"))
+        status = F.when(~F.col("was"), "added").when(F.col("gone"), "deleted").otherwise("kept")
+        rows = found.select(F.lit(name).alias("level"), "natural_key", status.alias("status"))
         out = rows if out is None else out.unionByName(rows)
     return out
