@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tierbook import schema as S
 from tierbook.functions.scalar import like_contains, like_prefix
+from tierbook.session import materialise
 
 
 #: Rows of a page when the caller names none.
@@ -143,15 +144,17 @@ def page_by_rank(frame: DataFrame, order_by: str, ascending: bool, start: int, c
     """The same page as ``page``, however deep, without the rows before it: the ranks are found by counting.
 
     Values from a sample part the rows into ranges, each is counted, and only the ranges that hold the page go on, until ``few`` rows are
-    left to be ordered; rows of one value are parted by id.  Every pass scans the order column and the id and reduces the rows
-    about ``splits`` times.  The driver sees the values between the ranges and their counts.
+    left to be ordered; rows of one value are parted by id.  Every pass scans the order column and the id, which are written once so that the
+    rows are not derived anew for it, and reduces the rows about ``splits`` times; whole rows are derived for the page alone.  The driver
+    sees the values between the ranges and their counts.
     """
     check_column(frame, order_by)
     order, row_id = F.col(order_by), F.col("id")
     left, by_id, depth = start, order_by == "id", 0
+    ranks = materialise(frame.select(*dict.fromkeys([order_by, "id"])), "ranks")
     while True:
         value = row_id if by_id else order
-        seen = frame.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("held")).first()
+        seen = ranks.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("held")).first()
         if seen["n"] <= few:
             break
         if seen["low"] == seen["high"] and seen["held"] in (0, seen["n"]):
@@ -160,12 +163,12 @@ def page_by_rank(frame: DataFrame, order_by: str, ascending: bool, start: int, c
             by_id = True
             continue
         depth += 1
-        sample = frame.where(F.pmod(F.xxhash64("id", F.lit(depth)), F.lit(max(1, seen["n"] // 4000))) == 0).where(value.isNotNull()).limit(8000)
+        sample = ranks.where(F.pmod(F.xxhash64("id", F.lit(depth)), F.lit(max(1, seen["n"] // 4000))) == 0).where(value.isNotNull()).limit(8000)
         values = sample.agg(F.array_sort(F.collect_set(value))).first()[0] or []
         bounds = [values[len(values) * k // splits] for k in range(splits)] if values else []
         bounds = list(dict.fromkeys([*bounds, seen["high"]]))
-        range_ = F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value)))
-        counts = {r["range"]: r["count"] for r in frame.groupBy(range_.alias("range")).count().collect()}
+        range_ = F.when(value.isNotNull(), _bounds_up_to(value, bounds))
+        counts = {r["range"]: r["count"] for r in ranks.groupBy(range_.alias("range")).count().collect()}
         upwards = ascending or (by_id and order_by != "id")
         ordered = sorted((r for r in counts if r is not None), reverse=not upwards)
         if None in counts:
@@ -179,12 +182,22 @@ def page_by_rank(frame: DataFrame, order_by: str, ascending: bool, start: int, c
             at += counts[r]
         left -= before
         some = [r for r in chosen if r is not None]
-        frame = frame.where(any_of([range_.isin(some) if some else F.lit(False), range_.isNull() if None in chosen else F.lit(False)]))
+        inside = any_of([range_.isin(some) if some else F.lit(False), range_.isNull() if None in chosen else F.lit(False)])
+        frame, ranks = frame.where(inside), ranks.where(inside)
         if len(chosen) == len(counts) or not chosen:
             break
     return page(frame, order_by, ascending, left, count)
 
 
+def _bounds_up_to(value: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the ascending bounds are not above the value, by halving."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    lower = _bounds_up_to(value, bounds[:half], first)
+    return F.when(value < F.lit(bounds[half]), lower).otherwise(_bounds_up_to(value, bounds[half + 1 :], first + half + 1))
+
+
 def text_filter(frame: DataFrame, columns: list[str], value: str | None, prefix: bool = False) -> DataFrame:
     """Free text: any of the columns holds the value, case ignored."""
     if value is None:
