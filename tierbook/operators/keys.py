@@ -85,9 +85,9 @@ def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) ->
     true = all_of([(F.col("depth") <= k) | (F.col(f"asked.{c}") == F.col(f"key.{c}")) for k, c in enumerate(series)])
     answers = hits.where(true).groupBy("of_series").agg(F.max(F.struct("depth", "key.id", "asked")).alias("above"))
     own, up = path_hash([F.col(c) for c in REAL])[3], F.struct("above.depth", "above.id")
-    frame = requests.withColumns({"path": own, "of_series": paths[2]})
-    frame = frame.join(newest, "path", "left").withColumn("key", F.when(_agree("", "key.", REAL), F.col("key.id")))
-    frame = frame.join(answers, "of_series", "left").withColumn("above", F.when(_agree("", "above.asked.", series), up))
+    # a hash does not compress, so each is made for its own shuffle and not carried through the other
+    frame = requests.withColumn("path", own).join(newest, "path", "left").drop("path").withColumn("key", F.when(_agree("", "key.", REAL), F.col("key.id")))
+    frame = frame.withColumn("of_series", paths[2]).join(answers, "of_series", "left").withColumn("above", F.when(_agree("", "above.asked.", series), up))
     level = F.when(F.col("key").isNotNull(), F.lit(S.LEVEL_RANK["IMAGE"]))
     for name, depth in DEPTH.items():
         level = level.when(F.col("above.depth") == depth, F.lit(S.LEVEL_RANK[name]))

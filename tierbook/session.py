@@ -17,6 +17,8 @@ SQL_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # merge session windows inside each input partition before they are shuffled
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # the JVM interprets methods of more than 8000 bytes; wide steps, as the spread of all elements, run in smaller ones instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -69,5 +71,5 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read again: computed once, whatever reads them, and safe from lost executors."""
     spark = frame.sparkSession
     path = work_dir(spark, label)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
