@@ -82,7 +82,7 @@ def _finish(query: StreamingQuery) -> None:
 def delta_writer(work: str, shape: Callable[[DataFrame], DataFrame]) -> Batch:
     """Write ``shape(batch)`` to the folder of its batch id."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        shape(batch).write.mode("overwrite").parquet(f"{work}/delta/batch={batch_id}")
+        shape(batch).write.mode("overwrite").option("compression", "zstd").parquet(f"{work}/delta/batch={batch_id}")
 
     return handle
 
@@ -123,7 +123,7 @@ def resolve(deltas: DataFrame, keys: list[str], props: list[str], order: Column)
 def compact(deltas: DataFrame, keys: list[str], props: list[str], order: str, path: str) -> None:
     """Fold deltas into a new base at another path; readers switch over when it is complete."""
     kept = deltas.groupBy(*keys).agg(F.max_by(F.struct(*props, order), F.col(order)).alias("__row"))
-    kept.select(*keys, "__row.*").write.mode("errorifexists").parquet(path)
+    kept.select(*keys, "__row.*").write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
 # -- arrivals --------------------------------------------------------------------------------------------------
