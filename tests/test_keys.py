@@ -57,3 +57,17 @@ def test_paths_are_chained(spark):
     found = frame.select(*K.path_hash([F.col(c) for c in K.REAL])).collect()
     assert found[0][0] != found[1][0] and found[0][0] == found[2][0] == found[3][0]
     assert found[0][3] != found[2][3] and found[3][3] is None and found[3][2] == found[0][2] and set(found[4]) == {None}
+
+
+def test_a_key_is_collected_after_its_shuffle(spark):
+    keys = spark.createDataFrame([[1, 1, *"nisef", *"abcde"], [1, 2, *"nisef", *"Abcde"], [2, 1, *"nisef", *"vwxyz"], [None, 1, *"nisef", *"abcde"]], SCHEMA)
+    values = spark.createDataFrame([[1, "(0008,1030)", "x", "b"], [1, "(0008,1030)", "x", "a"], [3, "(0020,0010)", "x", None]], "key_id long, tag_path string, value string, anon_value string")
+    maps = K.key_maps(keys, values, "anon_value")
+    plan = maps._jdf.queryExecution().executedPlan().toString()
+    found = {r["key_id"]: r["pairs"] for r in maps.collect()}
+    name = K.IDENTITY_PATHS[0]
+    assert found[1] == dict(zip(K.IDENTITY_PATHS, "Abcde", strict=True)) | {"(0008,1030)": "a"}
+    assert found[2][name] == "v" and found[3] == {"(0020,0010)": None} and set(found) == {1, 2, 3}
+    # nothing is aggregated or spread below the shuffle, and one sort serves all
+    above, below = plan.split("Exchange", 1)
+    assert "SortAggregate" in above and "Aggregate" not in below and "Generate" not in below and above.count("Sort [") == 1

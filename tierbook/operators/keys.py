@@ -58,12 +58,16 @@ def newest_keys(keys: DataFrame, columns: list[str]) -> DataFrame:
     return named.groupBy("path").agg(F.max("key").alias("key"))
 
 
-def key_index(newest: DataFrame) -> DataFrame:
-    """The newest key below every series, study and patient path: ``path``, ``depth``, ``key``."""
-    paths = path_hash([F.col(f"key.{c}") for c in REAL[:4]])
-    rows = [F.struct(F.lit(d).alias("depth"), p.alias("path")) for d, p in zip((2, 3, 4), paths, strict=True)]
-    spread = newest.select("key", F.explode(F.array(*rows)).alias("at")).select("key", "at.*").where("path is not null")
-    return spread.groupBy("path", "depth").agg(F.max("key").alias("key"))
+def newest_above(newest: DataFrame, depth: int) -> DataFrame:
+    """The newest key below every path of ``depth`` values: ``path``, ``key``.  What was found for longer paths is reduced further for shorter
+    ones, so the keys are sorted by their series only once; a key that is not whole down to here lies at the deepest path it has."""
+    paths = path_hash([F.col(f"key.{c}") for c in REAL[:depth]])
+    return newest.select(F.coalesce(*reversed(paths)).alias("path"), "key").where("path is not null").groupBy("path").agg(F.max("key").alias("key"))
+
+
+def _hit(own: str, key: str, depth: int) -> Column:
+    """The key as an answer at this depth, if its values are those asked for."""
+    return F.when(_agree(own, f"{key}.", REAL[:depth]), F.struct(F.lit(depth).alias("depth"), f"{key}.id", *[f"{key}.{c}" for c in REAL[:3]]))
 
 
 def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) -> DataFrame:
@@ -72,19 +76,31 @@ def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) ->
     ``requests`` has one row per image with the five identity values under their plain names.  Adds ``match_level``
     (rank 1..4) and ``key_id``; without a hit the level is PATIENT and the key null.
 
-    Paths meet by their hashes, and a hit counts only if the values agree.  Series, study and patient are one join, on the distinct
-    series of the requests, of which there are far fewer than images and no hot ones; it returns the deepest hit of each.  The
-    images then meet their own key and the answer of their series.  Where the keys are few, Spark filters the requests by a Bloom filter of them.
+    Paths meet by their hashes, and a hit counts only if the values agree.  Patients are asked for by the distinct studies of the requests,
+    studies by the distinct series, of which there are far fewer than images; each series has the deepest hit above.  The
+    images then meet their own key and the answer of their series.
     """
     newest = newest_keys(keys, ANON if anonymous else REAL)
+    of_series = newest_above(newest, 4)
+    of_study = newest_above(of_series, 3)
+    of_patient = newest_above(of_study, 2)
     series = REAL[:4]
     paths = path_hash([F.col(c) for c in series])
     asked = requests.select(paths[2].alias("of_series"), F.struct(*series).alias("asked")).groupBy("of_series").agg(F.first("asked").alias("asked"))
-    spread = F.explode(F.array(*path_hash([F.col(f"asked.{c}") for c in series]))).alias("path")
-    hits = asked.where("of_series is not null").select("of_series", "asked", spread).join(key_index(newest), "path")
-    true = all_of([(F.col("depth") <= k) | (F.col(f"asked.{c}") == F.col(f"key.{c}")) for k, c in enumerate(series)])
-    answers = hits.where(true).groupBy("of_series").agg(F.max(F.struct("depth", "key.id", "asked")).alias("above"))
-    own, up = path_hash([F.col(c) for c in REAL])[3], F.struct("above.depth", "above.id")
+    asked = asked.where("of_series is not null")
+    up = path_hash([F.col(f"asked.{c}") for c in series])
+    studies = asked.select(up[1].alias("path"), F.struct(*[f"asked.{c}" for c in REAL[:3]]).alias("asked")).groupBy("path").agg(F.first("asked").alias("asked"))
+    studies = studies.join(of_study.withColumnRenamed("key", "of_study"), "path", "left")
+    studies = studies.withColumn("patient", path_hash([F.col(f"asked.{c}") for c in REAL[:2]])[0])
+    studies = studies.join(of_patient.select(F.col("path").alias("patient"), F.col("key").alias("of_patient")), "patient", "left")
+    found = studies.select("path", F.coalesce(_hit("asked.", "of_study", 3), _hit("asked.", "of_patient", 2)).alias("found")).where("found is not null")
+    answers = asked.join(of_series.select(F.col("path").alias("of_series"), "key"), "of_series", "left")
+    answers = answers.withColumn("own", F.when(_agree("asked.", "key.", series), F.struct(F.lit(4).alias("depth"), "key.id"))).drop("key")
+    answers = answers.withColumn("path", up[1]).join(found, "path", "left")
+    true = all_of([(F.col("found.depth") <= k) | (F.col(f"asked.{c}") == F.col(f"found.{c}")) for k, c in enumerate(REAL[:3])])
+    above = F.coalesce("own", F.when(true, F.struct("found.depth", "found.id")))
+    answers = answers.select("of_series", F.struct(above.alias("up"), "asked").alias("above")).where("above.up is not null")
+    own, up = path_hash([F.col(c) for c in REAL])[3], F.col("above.up")
     # a hash does not compress, so each is made for its own shuffle and not carried through the other
     frame = requests.withColumn("path", own).join(newest, "path", "left").drop("path").withColumn("key", F.when(_agree("", "key.", REAL), F.col("key.id")))
     frame = frame.withColumn("of_series", paths[2]).join(answers, "of_series", "left").withColumn("above", F.when(_agree("", "above.asked.", series), up))
@@ -98,26 +114,22 @@ def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) ->
     )
 
 
-def key_pairs(keys: DataFrame, values: DataFrame) -> DataFrame:
-    """(key_id, tag_path, value, anon_value): stored pairs and the five identity pairs in one shape."""
-    identity = F.array(
-        *[
-            F.struct(F.lit(path).alias("tag_path"), F.col(real).alias("value"), F.col(anon).alias("anon_value"))
-            for path, real, anon in zip(IDENTITY_PATHS, REAL, ANON, strict=True)
-        ]
-    )
-    own = keys.select(F.col("id").alias("key_id"), F.explode(identity).alias("p")).select("key_id", "p.*")
-    return values.select("key_id", "tag_path", "value", "anon_value").unionByName(own)
-
-
 def key_maps(keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """One map path -> value per key, small as there are few value attributes; of pairs that share a path the least value counts."""
-    pairs = key_pairs(keys, values).select("key_id", F.struct("tag_path", column).alias("e"))
-    return pairs.groupBy("key_id").agg(map_of(F.collect_set("e")).alias("pairs"))
+    """One map path -> value per key, of its stored pairs and the five identity pairs; of pairs that share a path the least value counts.
+
+    A key goes to its shuffle as one row, with its identity pairs as a list, and what it holds is collected after it: nearly every key has one
+    row, so aggregating before the shuffle would sort all pairs and spill them, and save nothing.
+    """
+    named = dict(zip(REAL, ANON, strict=True))
+    identity = [F.struct(F.lit(p).alias("tag_path"), F.col(real if column == "value" else named[real]).alias("value")) for p, real in zip(IDENTITY_PATHS, REAL, strict=True)]
+    own = keys.select(F.col("id").alias("key_id"), F.array(*identity).alias("held"))
+    more = values.select("key_id", F.array(F.struct("tag_path", F.col(column).alias("value"))).alias("held"))
+    met = own.unionByName(more).where("key_id is not null").repartition("key_id").sortWithinPartitions("key_id")
+    return met.groupBy("key_id").agg(map_of(F.flatten(F.collect_set("held"))).alias("pairs"))
 
 
 def with_key_values(matched: DataFrame, keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """The map of each row's key; maps combine before their shuffle, so keys that nobody asked for cost one row each."""
+    """The map of each row's key."""
     return matched.join(key_maps(keys, values, column), "key_id", "left")
 
 
