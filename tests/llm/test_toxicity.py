@@ -56,3 +56,32 @@ def test_one_id_with_many_texts_gives_one_text(spark, monkeypatch):
     toxicity.fit(docs, labels)
     toxicity.fit(docs.repartition(7), labels)
     assert len(seen[0][0]) == 3 and seen[0] == seen[1] and sorted(seen[0][1]) == [0, 0, 1]
+
+
+def test_every_labelled_text_is_trained_on(spark):
+    # no text of 50 kB or more and no more than 2000 of a class were looked at once
+    rows = [(i, f"fine words number {i % 7} here", 0) for i in range(40)] + [(i, "long words " * 5_000 + f"stupid clown number {i % 7}", 1) for i in range(40, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    found = {r["row"]["doc_id"]: r["score"] for r in toxicity.scored(docs.select("doc_id", "text"), model).collect()}
+    assert all((found[i] >= 0.5) == bool(y) for i, _, y in rows)
+
+
+def test_groups_train_one_model(spark):
+    rude, fine = ["clown", "stupid", "moron", "rotten"], ["nice", "warm", "kind", "calm"]
+    rows = [(i, f"these {rude[i % 4] if i % 3 == 0 else fine[i % 4]} words are number {i % 7}", int(i % 3 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    text, known = docs.drop("toxic"), docs.select("doc_id", "toxic")
+
+    def run(docs):
+        model = toxicity.fit(docs, known, at_once=600)
+        out = toxicity.scored(text, model, keep=["doc_id"]).collect()
+        return model, {r["row"]["doc_id"]: r["score"] for r in out}
+
+    model, found = run(text)
+    assert all((found[i] >= 0.5) == bool(y) for i, _, y in rows)
+    again = run(text.repartition(7))[1]
+    assert again == found
+    # rows are those of hashes in toxic texts, and only those that training has moved
+    assert 0 < len(model.rows) == len(model.embedding) - 1 and not model.embedding[-1].any() and model.embedding[:-1].any(axis=1).all()
+    assert not {zlib.crc32(b"=" + w.encode()) for w in fine} & set(model.rows)
