@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tierbook.operators import forwarding as W
@@ -79,3 +80,47 @@ def test_an_earlier_transaction_takes_a_report_over(spark, tmp_path):
     changes = J.read_deltas(spark, str(tmp_path / "job"))
     assert [(r["session_start"], r["change"]) for r in changes.orderBy("batch", "change").collect()] == [(300, 1), (300, -1), (200, 1)]
     assert [tuple(r) for r in S.delivered(changes).collect()] == [(11, 200)]
+
+
+class _Held(dict):
+    getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.pop  # noqa: N815
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.held = [], _Held()
+
+    def getMapState(self, *_):  # noqa: N802
+        return self.held
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+class _Now(int):
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return int(self)
+
+
+def test_the_images_of_a_part_are_one_group_and_go_when_due():
+    job, handle = S.Deliveries(timedelta(milliseconds=100)), _Handle()
+    job.init(handle)
+    columns = ["image_id", "known", "session_start", "rule_id", "ts_ms"]
+
+    def come(*rows):
+        found = job.handleInputRows(("box", 1, 0), iter([pd.DataFrame(rows, columns=columns)]), None)
+        return sorted(tuple(map(int, r)) for out in found for r in out[["image_id", "session_start", "rule_id", "change"]].itertuples(index=False))
+
+    none = float("nan")
+    assert come((5, True, 300, 2, 10), (5, True, none, none, 20), (6, True, 300, 2, 30), (7, True, none, none, 40), (0, False, 9, 9, 50)) == [(5, 300, 2, 1)]
+    assert come((7, True, 400, 3, 60), (5, True, 200, 1, 70), (0, True, none, none, 80)) == [(5, 200, 1, 1), (5, 300, 2, -1), (7, 400, 3, 1)]
+    assert handle.timers == [120] and len(handle.held) == 5
+    handle.timers.clear()
+    list(job.handleExpiredTimer(("box", 1, 0), _Now(135), None))
+    assert {i for i, _ in handle.held} == {5, 7, 0} and len(handle.held) == 4 and handle.timers == [150]

@@ -5,9 +5,9 @@ partition before the shuffle; who belongs to them is kept in keyed state that is
 most of the arrivals does not meet in one task.  When the watermark has closed a session, each part is told, hands out the images of
 that time and forgets them: state is that of open sessions, however long they last.
 
-Deliveries are keyed by destination and image.  A report delivers the first transaction of its destination that holds the image; reports
+Deliveries are kept by destination and image, in ``parts`` of every destination.  A report delivers the first transaction of its destination that holds the image; reports
 and members may come in any order, and an earlier transaction that closes later takes the report over, which is written as a change of
--1 and +1.  The state of a key is one value; a timer drops it ``keep`` after its last change in event time.
+-1 and +1.  The state of an image is one value; a timer drops it ``keep`` after its last change in event time.
 """
 
 from __future__ import annotations
@@ -64,39 +64,52 @@ class Members(StatefulProcessor):
 
 
 class Deliveries(StatefulProcessor):
-    """The first transaction of a destination that holds an image, and whether it was reported."""
+    """The first transaction of a destination that holds an image, and whether it was reported; for one part of the images of a destination,
+    so a group is a batch of many images and not a call for each.  One timer drops those that are due and waits for the next."""
 
     def __init__(self, keep: timedelta):
         self.keep_ms = int(keep.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "session_start long, rule_id long, reported boolean, last_ms long")
+        self.images = handle.getMapState("images", "image_id long, known boolean", "session_start long, rule_id long, reported boolean, last_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start, rule, reported, last = self.state.get() or (None, None, False, 0)
-        best, now = (start, rule), reported
-        for part in rows:
-            last = max(last, int(part["ts_ms"].max()))
-            now = now or bool(part["session_start"].isna().any())
-            held = part.dropna(subset=["session_start"])[["session_start", "rule_id"]].astype("int64")
-            for found in held.itertuples(index=False, name=None):
-                best = found if best[0] is None else min(best, found)
-        best = tuple(None if x is None else int(x) for x in best)
-        self.state.update((*best, now, last))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last + self.keep_ms)
-        out = []
-        if best[0] is not None and now and (best != (start, rule) or not reported):
-            if reported and start is not None:
-                out.append((rule, start, key[2], -1))
-            out.append((best[1], best[0], key[2], 1))
+        image = ["image_id", "known"]
+        came = pd.concat(list(rows))
+        held = came.dropna(subset=["session_start"]).astype({"session_start": "int64", "rule_id": "int64"})
+        first = held.sort_values(["session_start", "rule_id"]).drop_duplicates(image)
+        first = {(int(i), bool(k)): (int(s), int(r)) for i, k, s, r in zip(first["image_id"], first["known"], first["session_start"], first["rule_id"], strict=True)}
+        met = came.assign(reported=came["session_start"].isna()).groupby(image, as_index=False).agg(last=("ts_ms", "max"), reported=("reported", "any"))
+        out, due = [], None
+        for i, known, latest, now in zip(met["image_id"].tolist(), met["known"].tolist(), met["last"].tolist(), met["reported"].tolist(), strict=True):
+            at = (int(i), bool(known))
+            start, rule, reported, last = self.images.getValue(at) or (None, None, False, 0)
+            best, last, now = (start, rule), max(last, int(latest)), bool(now or reported)
+            if at in first:
+                best = first[at] if start is None else min(best, first[at])
+            best = tuple(None if x is None else int(x) for x in best)
+            self.images.updateValue(at, (*best, now, last))
+            due = last if due is None else min(due, last)
+            if best[0] is not None and now and (best != (start, rule) or not reported):
+                if reported and start is not None:
+                    out.append((rule, start, *at, -1))
+                out.append((best[1], best[0], *at, 1))
+        timers = [int(t) for t in self.handle.listTimers()]
+        if not timers or due + self.keep_ms < min(timers):
+            self.handle.registerTimer(due + self.keep_ms)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in HITS.split(", ")])
+            yield pd.DataFrame(out, columns=["rule_id", "session_start", *image, "change"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.state.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        left = [(at, held[3] + self.keep_ms) for at, held in self.images.iterator()]
+        for at, due in left:
+            if due <= now:
+                self.images.removeKey(at)
+        later = [due for _, due in left if due > now]
+        if later:
+            self.handle.registerTimer(min(later))
         yield from ()
 
     def close(self) -> None:
@@ -115,7 +128,7 @@ def members(stream: DataFrame, rules: DataFrame, idle: str, delay: str, parts: i
         statefulProcessor=Members(), outputStructType=MEMBERS, outputMode="Append", timeMode="None")
 
 
-def deliveries(placed: DataFrame, reports: DataFrame, late: str = "1 day", keep: timedelta = timedelta(days=30)) -> DataFrame:
+def deliveries(placed: DataFrame, reports: DataFrame, late: str = "1 day", keep: timedelta = timedelta(days=30), parts: int = PARTS) -> DataFrame:
     """Changes of who was delivered, from members with their destination and from reports (destination, image, ts).
 
     Either may come ``late`` after the latest of its kind; ``keep`` after the last of a key a report finds nothing to deliver.
@@ -123,9 +136,12 @@ def deliveries(placed: DataFrame, reports: DataFrame, late: str = "1 day", keep:
     none = F.lit(None).cast("long")
     held = placed.select(*TARGET, "session_start", "rule_id", F.timestamp_millis("updated").alias("ts"))
     both = held.unionByName(reports.select(*TARGET, none.alias("session_start"), none.alias("rule_id"), "ts")).withWatermark("ts", late)
-    timed = both.withColumn("ts_ms", F.unix_millis("ts"))
-    return timed.groupBy(*TARGET).transformWithStateInPandas(
-        statefulProcessor=Deliveries(keep), outputStructType=HITS, outputMode="Append", timeMode="EventTime")
+    # a null in a column would make its numbers floating
+    timed = both.select(*TARGET[:2], F.pmod(F.xxhash64("image_id"), F.lit(parts)).cast("long").alias("part"), F.coalesce("image_id", F.lit(0)).alias("image_id"),
+                        F.col("image_id").isNotNull().alias("known"), "session_start", "rule_id", F.unix_millis("ts").alias("ts_ms"), "ts")
+    changes = timed.groupBy(*TARGET[:2], "part").transformWithStateInPandas(
+        statefulProcessor=Deliveries(keep), outputStructType=HITS.replace("change", "known boolean, change"), outputMode="Append", timeMode="EventTime")
+    return changes.select("rule_id", "session_start", F.when(F.col("known"), F.col("image_id")).alias("image_id"), "change")
 
 
 def run(arrivals: DataFrame, reports: DataFrame, rules: DataFrame, work: str, idle: str, delay: str) -> None:
