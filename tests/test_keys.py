@@ -71,3 +71,20 @@ def test_a_key_is_collected_after_its_shuffle(spark):
     # nothing is aggregated or spread below the shuffle, and one sort serves all
     above, below = plan.split("Exchange", 1)
     assert "SortAggregate" in above and "Aggregate" not in below and "Generate" not in below and above.count("Sort [") == 1
+
+
+def test_requests_and_keys_go_through_one_shuffle(spark, tmp_path):
+    spark.createDataFrame([[1, "n", "i", "s", "e", "o", "x"], [2, None, "i", "s", "e", "o", "y"]], "image_id long, " + ", ".join(f"{c} string" for c in (*K.REAL, "note"))).write.parquet(f"{tmp_path}/asked")
+    spark.createDataFrame([[7, 1, "n", "i", "s", "e", "z", *"abcde"], [8, 2, "n", "i", "t", "e", "z", *"abcde"], [9, 3, None, "i", "s", "e", "o", *"abcde"]], SCHEMA).write.parquet(f"{tmp_path}/keys")
+    matched = K.match_keys(spark.read.parquet(f"{tmp_path}/asked"), spark.read.parquet(f"{tmp_path}/keys"))
+    assert sorted(tuple(r) for r in matched.select("image_id", "note", "match_level", "key_id").collect()) == [(1, "x", 3, 7), (2, "y", 1, None)]
+    above: list[tuple[int, str]] = []  # the path from the root to a line of the plan
+    shuffles = {}
+    for line in matched._jdf.queryExecution().sparkPlan().treeString().splitlines():
+        text = line.lstrip(" :+-")
+        above = [*[(d, t) for d, t in above if d < len(line) - len(text)], (len(line) - len(text), text)]
+        if text.startswith("FileScan"):
+            shuffles[text] = ("note" in text, sum(t.startswith("Exchange") for _, t in above), any("Join" in t for _, t in above))
+    # the wide rows of the requests, and the keys as they are, meet no join
+    assert [n for wide, n, joined in shuffles.values() if wide] == [1] and [j for wide, _, j in shuffles.values() if wide] == [False]
+    assert sum(not joined for _, _, joined in shuffles.values()) == 2

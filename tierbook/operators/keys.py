@@ -5,7 +5,7 @@ A key row pairs the five real identity values of an image with the anonymous one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierbook import schema as S
@@ -46,56 +46,45 @@ def path_hash(columns: list[Column]) -> list[Column]:
     return out
 
 
-def _agree(left: str, right: str, columns: list[str]) -> Column:
-    return all_of([F.col(f"{left}{c}") == F.col(f"{right}{c}") for c in columns])
-
-
-def newest_keys(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """``path`` (the deepest that is whole) and the newest ``key`` of it: created, id and the five identity values under their plain names."""
-    values = [F.col(c).alias(r) for c, r in zip(columns, REAL, strict=True)]
-    paths = path_hash([F.col(c) for c in columns])
-    named = keys.select(F.coalesce(*reversed(paths)).alias("path"), F.struct("created", "id", *values).alias("key")).where("path is not null")
-    return named.groupBy("path").agg(F.max("key").alias("key"))
-
-
-def key_index(newest: DataFrame) -> DataFrame:
-    """The newest key below every series, study and patient path: ``path``, ``depth``, ``key``."""
-    paths = path_hash([F.col(f"key.{c}") for c in REAL[:4]])
-    rows = [F.struct(F.lit(d).alias("depth"), p.alias("path")) for d, p in zip((2, 3, 4), paths, strict=True)]
-    spread = newest.select("key", F.explode(F.array(*rows)).alias("at")).select("key", "at.*").where("path is not null")
-    return spread.groupBy("path", "depth").agg(F.max("key").alias("key"))
-
-
 def match_keys(requests: DataFrame, keys: DataFrame, anonymous: bool = False) -> DataFrame:
-    """Deepest level with a key: image, series, study, then patient.
+    """Deepest level with a key: image, series, study, then patient; of the keys of a level the newest (created, then id).
 
     ``requests`` has one row per image with the five identity values under their plain names.  Adds ``match_level``
-    (rank 1..4) and ``key_id``; without a hit the level is PATIENT and the key null.
+    (rank 1..4) and ``key_id``; without a hit the level is PATIENT and the key null.  Null equals nothing, and a request asks for
+    nothing unless its series path is whole.
 
-    Paths meet by their hashes, and a hit counts only if the values agree.  Series, study and patient are one join, on the distinct
-    series of the requests, of which there are far fewer than images and no hot ones; it returns the deepest hit of each.  The
-    images then meet their own key and the answer of their series.  Where the keys are few, Spark filters the requests by a Bloom filter of them.
+    Requests and keys go through one shuffle, on their study path, and lie sorted by their values there: what is known of an image, its series
+    and its study are three windows over the same rows.  Keys of patients come in with the distinct studies of the requests, of which there are
+    far fewer than images, so a patient with many images is no hot key.  Requests that ask for nothing are spread evenly.
     """
-    newest = newest_keys(keys, ANON if anonymous else REAL)
-    series = REAL[:4]
-    paths = path_hash([F.col(c) for c in series])
-    asked = requests.select(paths[2].alias("of_series"), F.struct(*series).alias("asked")).groupBy("of_series").agg(F.first("asked").alias("asked"))
-    spread = F.explode(F.array(*path_hash([F.col(f"asked.{c}") for c in series]))).alias("path")
-    hits = asked.where("of_series is not null").select("of_series", "asked", spread).join(key_index(newest), "path")
-    true = all_of([(F.col("depth") <= k) | (F.col(f"asked.{c}") == F.col(f"key.{c}")) for k, c in enumerate(series)])
-    answers = hits.where(true).groupBy("of_series").agg(F.max(F.struct("depth", "key.id", "asked")).alias("above"))
-    own, up = path_hash([F.col(c) for c in REAL])[3], F.struct("above.depth", "above.id")
-    # a hash does not compress, so each is made for its own shuffle and not carried through the other
-    frame = requests.withColumn("path", own).join(newest, "path", "left").drop("path").withColumn("key", F.when(_agree("", "key.", REAL), F.col("key.id")))
-    frame = frame.withColumn("of_series", paths[2]).join(answers, "of_series", "left").withColumn("above", F.when(_agree("", "above.asked.", series), up))
-    level = F.when(F.col("key").isNotNull(), F.lit(S.LEVEL_RANK["IMAGE"]))
-    for name, depth in DEPTH.items():
-        level = level.when(F.col("above.depth") == depth, F.lit(S.LEVEL_RANK[name]))
-    return frame.select(
-        *requests.columns,
-        level.otherwise(F.lit(S.LEVEL_RANK["PATIENT"])).cast("bigint").alias("match_level"),
-        F.coalesce("key", "above.id").alias("key_id"),
-    )
+    image, series, study, patient = REAL, REAL[:4], REAL[:3], REAL[:2]
+    others = [f for f in requests.schema if f.name not in image]
+    told = [f.name for f in requests.schema if "map<" not in f.dataType.simpleString()]
+    newest = F.struct("depth", "created", "id")
+    named = keys.select(*[F.col(c).alias(r) for c, r in zip(ANON if anonymous else REAL, REAL, strict=True)], F.lit(DEPTH["STUDY"]).alias("depth"), "created", "id")
+    known = named.where(_whole(study)).select(*image, newest.alias("__key"))
+    of_patient = named.where(_whole(patient)).groupBy(*patient).agg(F.max(F.struct("created", "id")).alias("k"))
+    asked = requests.where(_whole(series)).select(*study).distinct().join(of_patient, patient)
+    asked = asked.select(*study, *[F.lit(None).cast("string").alias(c) for c in image[3:]], F.struct(F.lit(DEPTH["PATIENT"]).alias("depth"), "k.created", "k.id").alias("__key"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in others]
+    rows = requests.select(*image, *[f.name for f in others], F.lit(None).cast(known.schema["__key"].dataType).alias("__key"), F.lit(True).alias("__asks"),
+                           F.when(~_whole(series), F.xxhash64(*told)).alias("__apart"))
+    held = known.unionByName(asked).select(*image, *nothing, "__key", F.lit(False).alias("__asks"), F.lit(None).cast("bigint").alias("__apart"))
+    # the hash is made after the shuffle, where it costs no bytes and spares most comparisons of texts
+    met = rows.unionByName(held).repartition("__apart", *study).withColumn("__study", path_hash([F.col(c) for c in study])[1]["high"])
+
+    def best(columns: list[str]) -> Column:
+        return F.when(_whole(columns), F.max("__key").over(Window.partitionBy("__study", "__apart", *columns)))
+
+    found = met.withColumns({"__image": best(image), "__series": best(series), "__of_study": best(study)}).where("__asks")
+    above, own = F.when(_whole(series), F.coalesce("__series", "__of_study")), F.when(_whole(series), F.col("__image.id"))
+    level = F.when(own.isNotNull(), F.lit(S.LEVEL_RANK["IMAGE"])).when(_whole(series) & F.col("__series").isNotNull(), F.lit(S.LEVEL_RANK["SERIES"]))
+    level = level.when(_whole(series) & (F.col("__of_study.depth") == DEPTH["STUDY"]), F.lit(S.LEVEL_RANK["STUDY"])).otherwise(F.lit(S.LEVEL_RANK["PATIENT"]))
+    return found.select(*requests.columns, level.cast("bigint").alias("match_level"), F.coalesce(own, above["id"]).alias("key_id"))
+
+
+def _whole(columns: list[str]) -> Column:
+    return all_of([F.col(c).isNotNull() for c in columns])
 
 
 def key_maps(keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
