@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierbook import schema as S
@@ -84,47 +84,70 @@ class Ingest:
 def empty_catalogue(spark: SparkSession) -> Catalogue:
     def frame(columns: list[str]) -> DataFrame:
         kinds = {"id": "bigint", "sourceid": "bigint"} | {lv.ref: "bigint" for lv in S.LEVELS.values()}
-        return spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns))
+        # known to be empty while the plan is made, so nothing is shuffled to meet it
+        return spark.range(1).selectExpr(*[f"cast(null AS {kinds.get(c, 'string')}) AS {c}" for c in columns]).where("false")
 
     return Catalogue(**{name: frame(lv.columns) for name, lv in S.LEVELS.items()}, series_sources=frame(["id", *SOURCE]))
 
 
+def _last_writes(batch: DataFrame) -> dict[str, DataFrame]:
+    """The last write of every image, series, study and patient.
+
+    Arrivals are shuffled once, on their series: the last row of an image is reduced there, and what it says of the levels above is kept only on
+    the last one of its series, so series are read out of the same rows.
+    """
+    levels = list(S.LEVELS)
+    upper = [p for name in levels[:-1] for p in own_props(name)] + [*SOURCE, "__order"]
+    own, path = own_props("image"), key_path("series")
+    last = batch.repartition(*path).groupBy(*key_path("image")).agg(F.max_by(F.struct(*own, *upper), "__order").alias("r")).select(*key_path("image"), "r.*")
+    top = F.row_number().over(Window.partitionBy(*path).orderBy(F.col("__order").desc())) == 1
+    last = last.withColumn("__top", top).select(*key_path("image"), *own, "__top", *[F.when(F.col("__top"), F.col(c)).alias(c) for c in upper])
+    last = materialise(last, "ingest-image")
+    rolled = {"image": last.select(*key_path("image"), *own), "series": last.filter("__top").select(*path, *upper)}
+    for rank in range(len(levels) - 2, 0, -1):
+        name = levels[rank - 1]
+        props = [p for above in levels[:rank] for p in own_props(above)]
+        below = rolled[levels[rank]].groupBy(*key_path(name)).agg(F.max_by(F.struct(*props, "__order"), "__order").alias("r"))
+        rolled[name] = materialise(below.select(*key_path(name), "r.*"), f"ingest-{name}")
+    return rolled
+
+
 def ingest(cat: Catalogue, arrivals: DataFrame, order: Column) -> Ingest:
     """Insert or update all four levels and the sources of their series; the result is a catalogue for the next query.
 
     ``arrivals`` has one row per arrival of an image with the properties of all levels and its source; the last one in
     ``order`` wins.  A row that is known by its natural key inside its parent keeps its id, a new one gets the next free id.
-    Arrivals are read once: they are reduced to the last write of each image, and every level is rolled up from the one below.
+    Arrivals are read once: they are reduced to the last write of each image, and every level is rolled up from the one below.  What an image
+    meets on the way to its id is written once, as known rows, new rows and the offsets of their ids all read it.
     """
     batch = arrivals.withColumn("patientName", F.substring("patientName", 1, S.NAME_LIMIT)).withColumn("__order", order)
-    levels = list(S.LEVELS)
-    rolled: dict[str, DataFrame] = {}
-    for rank in range(len(levels), 0, -1):
-        name, below = levels[rank - 1], batch if rank == len(levels) else rolled[levels[rank]]
-        props = [p for upper in levels[:rank] for p in own_props(upper)] + (list(SOURCE) if rank >= S.SERIES.rank else [])
-        last = below.groupBy(*key_path(name)).agg(F.max_by(F.struct(*props, "__order"), "__order").alias("r"))
-        rolled[name] = materialise(last.select(*key_path(name), "r.*"), f"ingest-{name}")
+    rolled = _last_writes(batch)
     tables: dict[str, DataFrame] = {}
     with_ids: dict[str, DataFrame] = {}
     for name, lv in S.LEVELS.items():
         rows, known = rolled[name], cat.level(name)
         on = [*lv.key, *([lv.ref] if lv.ref else [])]
+        # the path leads the level below to its parent; images have none below them
+        path = [] if name == "image" else key_path(name)
+        columns = list(dict.fromkeys([*lv.columns, *path, *(SOURCE if name == "series" else ()), "added"]))
         if lv.parent:
             above = with_ids[lv.parent].select(*key_path(lv.parent), F.col("id").alias(lv.ref))
             rows = rows.join(above, key_path(lv.parent))
-        rows = rows.join(known.select(F.col("id").alias("__known"), *on), on, "left")
+        rows = rows.select(*[c for c in columns if c not in ("id", "added")]).join(known.select(F.col("id").alias("__known"), *on), on, "left")
+        rows = materialise(rows, f"ingest-met-{name}")
         free = F.coalesce(known.agg(F.max("id")).scalar(), F.lit(0)) + 1
-        new = allocate_ids(rows.filter("__known IS NULL"), key_path(name), free).withColumn("added", F.lit(True))
+        new = allocate_ids(rows.filter("__known IS NULL"), path or on, free).withColumn("added", F.lit(True))
         old = rows.filter("__known IS NOT NULL").withColumn("id", F.col("__known")).withColumn("added", F.lit(False))
-        columns = list(dict.fromkeys([*lv.columns, *key_path(name), *(SOURCE if name == "series" else ()), "added"]))
         with_ids[name] = materialise(old.select(*columns).unionByName(new.select(*columns)), f"ingest-ids-{name}")
         tables[name] = known.select(*lv.columns).join(with_ids[name], "id", "left_anti").unionByName(with_ids[name].select(*lv.columns))
     came = with_ids["series"].select("id", *SOURCE)
     sources = cat.series_sources.select("id", *SOURCE).join(came, "id", "left_anti").unionByName(came)
-    added = with_ids["image"].select(F.col("id").alias("image_id"), F.col("series_ref").alias("series_id"), F.col("added").alias("image_added"))
-    for name, lv in ((n, S.LEVELS[n]) for n in ("series", "study", "patient")):
+    parents = None  # joined from the top, so images meet one join
+    for name, lv in ((n, S.LEVELS[n]) for n in ("patient", "study", "series")):
         parent = [F.col(lv.ref).alias(f"{lv.parent}_id")] if lv.parent else []
-        added = added.join(with_ids[name].select(F.col("id").alias(f"{name}_id"), *parent, F.col("added").alias(f"{name}_added")), f"{name}_id")
+        rows = with_ids[name].select(F.col("id").alias(f"{name}_id"), *parent, F.col("added").alias(f"{name}_added"))
+        parents = rows if parents is None else rows.join(parents, f"{lv.parent}_id")
+    added = with_ids["image"].select(F.col("id").alias("image_id"), F.col("series_ref").alias("series_id"), F.col("added").alias("image_added")).join(parents, "series_id")
     return Ingest(replace(cat, **tables, series_sources=sources), added)
 
 

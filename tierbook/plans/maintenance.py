@@ -135,7 +135,7 @@ def ingest_catalogue(fx: Fixtures):
     )
     once = cat.image.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("known_once"))
     return (
-        cat.image.join(series, "series_ref").join(once, "id").join(last.added.withColumnRenamed("image_id", "id"), "id", "left")
+        cat.image.join(once, "id").join(last.added.withColumnRenamed("image_id", "id"), "id", "left").join(series, "series_ref")
         .select("sopInstanceUID", "seriesInstanceUID", "studyInstanceUID", "patientName", "imageType", "sourcetype", "patient_added", "study_added",
                 "series_added", "image_added", "known_once")
     )

@@ -17,6 +17,8 @@ SQL_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # rows that lie sorted by their group are aggregated in that order: no hash table, no second sort where groups are many
     "spark.sql.execution.replaceHashWithSortAgg": "true",
+    # column files hold rows in a fraction of the memory they take: a side is broadcast by that size, or the driver would hold it whole
+    "spark.sql.sources.fileCompressionFactor": "16.0",
     # merge session windows inside each input partition before they are shuffled
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # the JVM interprets methods of more than 8000 bytes; wide steps, as the spread of all elements, run in smaller ones instead
