@@ -88,3 +88,14 @@ def test_requests_and_keys_go_through_one_shuffle(spark, tmp_path):
     # the wide rows of the requests, and the keys as they are, meet no join
     assert [n for wide, n, joined in shuffles.values() if wide] == [1] and [j for wide, _, j in shuffles.values() if wide] == [False]
     assert sum(not joined for _, _, joined in shuffles.values()) == 2
+
+
+def test_keys_travel_without_their_paths(spark):
+    keys = spark.createDataFrame([[1, 1, *"nisef", *"abcde"], [1, 1, "n", None, *"sef", "a", None, *"cde"]], SCHEMA)
+    values = spark.createDataFrame([[1, K.IDENTITY_PATHS[0], "x", "A"], [1, None, "x", "y"], [2, "(0020,0010)", "x", None]], "key_id long, tag_path string, value string, anon_value string")
+    maps = K.key_maps(keys, values.where("tag_path is not null"), "anon_value")
+    below = maps._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+    found = {r["key_id"]: r["pairs"] for r in maps.collect()}
+    # a stored pair of an identity path counts beside the key's own, the least value first, null before all
+    assert found[1][K.IDENTITY_PATHS[0]] == "A" and found[1][K.IDENTITY_PATHS[1]] is None and found[1][K.IDENTITY_PATHS[4]] == "e" and found[2] == {"(0020,0010)": None}
+    assert K.IDENTITY_PATHS[0] not in below

@@ -90,14 +90,18 @@ def _whole(columns: list[str]) -> Column:
 def key_maps(keys: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """One map path -> value per key, of its stored pairs and the five identity pairs; of pairs that share a path the least value counts.
 
-    A key goes to its shuffle as one row, with its identity pairs as a list, and what it holds is collected after it: nearly every key has one
-    row, so aggregating before the shuffle would sort all pairs and spill them, and save nothing.
+    A key goes to its shuffle as one row, with its identity values side by side and without their paths, and what it holds is collected after it:
+    nearly every key has one row, so aggregating before the shuffle would sort all pairs and spill them, and save nothing.
     """
     named = dict(zip(REAL, ANON, strict=True))
-    identity = [F.struct(F.lit(p).alias("tag_path"), F.col(real if column == "value" else named[real]).alias("value")) for p, real in zip(IDENTITY_PATHS, REAL, strict=True)]
-    own = keys.select(F.col("id").alias("key_id"), F.array(*identity).alias("held"))
-    more = values.select("key_id", F.array(F.struct("tag_path", F.col(column).alias("value"))).alias("held"))
+    texts = {f"v{i}": F.col(real if column == "value" else named[real]) for i, real in enumerate(REAL)}
+    none = F.lit(None).cast("string")
+    own = keys.select(F.col("id").alias("key_id"), *[c.alias(v) for v, c in texts.items()], none.alias("path"), F.lit(True).alias("own"))
+    more = values.select("key_id", F.col(column).alias("v0"), *[none.alias(v) for v in list(texts)[1:]], F.col("tag_path").alias("path"), F.lit(False).alias("own"))
     met = own.unionByName(more).where("key_id is not null").repartition("key_id").sortWithinPartitions("key_id")
+    identity = [F.struct(F.lit(p).alias("tag_path"), F.col(v).alias("value")) for p, v in zip(IDENTITY_PATHS, texts, strict=True)]
+    single = F.array(F.struct(F.col("path").alias("tag_path"), F.col("v0").alias("value")))
+    met = met.select("key_id", F.when(F.col("own"), F.array(*identity)).otherwise(single).alias("held"))
     return met.groupBy("key_id").agg(map_of(F.flatten(F.collect_set("held"))).alias("pairs"))
 
 
