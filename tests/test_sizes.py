@@ -82,3 +82,15 @@ def test_rows_without_an_image_id_are_not_replaced(spark, tmp_path):
     # the two rows of series 7 go, what was put in place of the one with an id comes; patient and study stay for series 8
     assert found == sorted([("patient", "kept"), ("patient", "added"), ("study", "kept"), ("study", "added"), ("series", "kept"), ("series", "deleted"), ("series", "added"),
                             ("image", "kept"), ("image", "deleted"), ("image", "deleted"), ("image", "added")])
+
+
+def test_tasks_are_joined_to_no_more_than_they_can_sort(spark):
+    from tierbook.session import DEFAULTS, configure
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert spark.conf.get(key) == DEFAULTS[key] == "16m"
+    try:
+        spark.conf.set(key, "8m")
+        assert configure(spark).conf.get(key) == "8m"  # a session's own size stays
+    finally:
+        spark.conf.set(key, DEFAULTS[key])
